@@ -74,9 +74,8 @@ def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS, max_share: float
     Documents are counted once a text, so that copies don't make their lines boilerplate; and lines that stand
     between the same lines nearly everywhere, as in near copies of one document, are left to near-duplicate removal.
     """
-    once = lines.groupBy("host", "line", "h1", "h2").agg(F.min(F.struct(F.coalesce("before", F.lit(0)), F.coalesce("after", F.lit(0)))).alias("place"))
-    hosts = lines.where("k = 0").groupBy("host", "h1", "h2").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    spread = once.groupBy("host", "line", "place").agg(F.count(F.lit(1)).alias("c")).groupBy("host", "line").agg(F.sum("c").alias("n_docs"), F.count(F.lit(1)).alias("n_places"))
+    hosts = lines.where("k = 0").select("host", "h1", "h2").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    spread = lines.groupBy("host", "line").agg(F.count_distinct("h1", "h2").alias("n_docs"), F.count_distinct(F.struct("before", "after")).alias("n_places"))
     return spread.where(F.col("n_docs") > min_docs).join(hosts, "host").where((F.col("n_docs") > max_share * F.col("host_docs")) & (F.col("n_places") > min_spread * F.col("n_docs"))).select("host", "line")
 
 

@@ -20,9 +20,8 @@ base AS (SELECT d.rid, d.host, d.t, d.doc_id, len(w.w) AS n_words, length({BLANK
       length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words
       FROM d JOIN w USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN again USING (rid)),
 nl AS (SELECT rid, host, t, k, line, lag(line) OVER o AS before, lead(line) OVER o AS after, len(string_split(line, ' ')) AS n
-      FROM (SELECT l.rid, d.host, d.t, l.k, trim(lower({BLANK.format('l.line', ' ')})) AS line FROM l JOIN d USING (rid)) WINDOW o AS (PARTITION BY rid ORDER BY k)),
-once AS (SELECT host, line, t, min(row(before, after)) AS place FROM (SELECT host, line, t, coalesce(before, '') AS before, coalesce(after, '') AS after FROM nl) GROUP BY ALL),
-spread AS (SELECT host, line, count(*) AS n_docs, count(DISTINCT place) AS n_places FROM once GROUP BY ALL),
+      FROM (SELECT l.rid, d.host, d.t, l.k, trim(translate({BLANK.format('l.line', ' ')}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS line FROM l JOIN d USING (rid)) WINDOW o AS (PARTITION BY rid ORDER BY k)),
+spread AS (SELECT host, line, count(DISTINCT t) AS n_docs, count(DISTINCT row(before, after)) AS n_places FROM nl GROUP BY ALL),
 hosts AS (SELECT host, count(DISTINCT t) AS n FROM nl GROUP BY host),
 freq AS (SELECT host, line FROM spread JOIN hosts USING (host) WHERE n_docs > {quality.MIN_DOCS} AND n_docs > {quality.MAX_SHARE} * n AND n_places > {quality.MIN_SPREAD} * n_docs),
 cut AS (SELECT rid, sum(n) AS n FROM nl JOIN freq USING (host, line) GROUP BY rid)
