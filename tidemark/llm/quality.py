@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, let, words, written
+from .common import BLANKS, WORD, let, written
 
 #: A line is boilerplate of its host if more documents than both have it.
 MIN_DOCS, MAX_SHARE = 10, 0.02
@@ -16,34 +16,27 @@ MIN_LEFT = 0.3
 SYMBOLS = "#*$%&|<>"
 
 
-def repeated_words(w: Column) -> Column:
-    """Words within 3-word windows that occur twice or more in w, the first occurrence included.
+def with_repeats(rows: DataFrame) -> DataFrame:
+    """rows (with _w, an array of words) and n_repeat_words: words within 3-word windows that occur twice or more, the first included.
 
-    Windows are hashed (64 bits) and sorted with their places; equal neighbours are repeats, whose places,
-    sorted again, cover 3 words each, overlaps once.
+    A window is a 64-bit hash whose low bits, as many as the document's size needs, give way to the window's place:
+    sorted as plain numbers, equal windows are neighbours. Their places, sorted, cover 3 words each, overlaps once.
+    Columns are used several times below on purpose: Spark then computes each once and doesn't inline it.
     """
-
-    def gaps(at: Column) -> Column:
-        return F.aggregate(F.transform(at, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1), p + 3) - p)), F.lit(0), lambda a, b: a + b)
-
-    def places(s: Column) -> Column:
-        same = F.filter(s, lambda x, i: x["h"].eqNullSafe(F.get(s, i - 1)["h"]) | x["h"].eqNullSafe(F.get(s, i + 1)["h"]))
-        return F.sort_array(F.transform(same, lambda x: x["i"]))
-
-    def windows(x: Column) -> Column:
-        return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(x) - 3), lambda i: F.struct(F.xxhash64(x[i], x[i + 1], x[i + 2]).alias("h"), i.alias("i"))))
-
-    return F.when(F.size(w) < 4, F.lit(0)).otherwise(let(let(windows(w), places), gaps))
+    rows = rows.withColumn("_m", F.expr("shiftleft(1L, length(bin(size(_w)))) - 1"))
+    rows = rows.withColumn("_s", F.expr("sort_array(if(size(_w) < 4, cast(array() as array<bigint>), transform(sequence(0, size(_w) - 3), i -> (xxhash64(_w[i], _w[i + 1], _w[i + 2]) & ~_m) | i)))"))
+    rows = rows.withColumn("_p", F.expr("sort_array(transform(filter(_s, (x, i) -> (i > 0 and (get(_s, i - 1) & ~_m) = (x & ~_m)) or (get(_s, i + 1) & ~_m) = (x & ~_m)), x -> x & _m))"))
+    return rows.withColumn("n_repeat_words", F.expr("aggregate(transform(_p, (x, i) -> least(3, coalesce(get(_p, i + 1), x + 3) - x)), 0L, (a, b) -> a + b)")).drop("_m", "_s", "_p")
 
 
 def measured(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns kept, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; null text: no words."""
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(BLANKS)) != "")
     dup = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    both = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).cast("long").alias("r")))
-    rows = docs.select(*keep, F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"), (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"), dup.cast("long").alias("n_dup_lines"), both.alias("_b"))
-    rows = rows.withColumn("n_words", F.col("_b.n")).withColumn("n_repeat_words", F.col("_b.r")).drop("_b")
+    symbols = F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", ""))
+    rows = docs.select(*keep, symbols.cast("long").alias("n_symbols"), dup.cast("long").alias("n_dup_lines"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_w"))
+    rows = with_repeats(rows).withColumn("n_words", F.size("_w").cast("long")).withColumn("word_chars", F.length(F.array_join("_w", "")).cast("long")).drop("_w")
     return rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 

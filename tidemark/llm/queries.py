@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, linededup, quality, sharding, sql
+from . import fingerprints, linededup, quality, sharding, sql, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
@@ -31,5 +35,5 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op6_document_fingerprints, op7_sharding, op9_line_dedup)}
-ORACLES: dict[str, str] = {"op2_quality_rules": sql.QUALITY, "op6_document_fingerprints": sql.FINGERPRINTS, "op9_line_dedup": sql.LINE_DEDUP}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_quality_rules, op6_document_fingerprints, op7_sharding, op9_line_dedup)}
+ORACLES: dict[str, str] = {"op1_warc": sql.WARC, "op2_quality_rules": sql.QUALITY, "op6_document_fingerprints": sql.FINGERPRINTS, "op9_line_dedup": sql.LINE_DEDUP}

@@ -7,6 +7,17 @@ from . import fingerprints, quality
 WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
 BLANK = r"regexp_replace({}, '[\x20\x09-\x0D]+', '{}', 'g')"
 
+# Base 32 of a hexadecimal digest, five bits a letter: DuckDB has no function for it.
+WARC = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS x FROM p),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY x) AS best, array_to_string(list_transform(range(0, 40), lambda i: format('{:04b}', ('0x' || substr(x, i::BIGINT + 1, 1))::INTEGER)), '') AS bits FROM h)
+SELECT page_id, n AS payload_bytes,
+      array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(0, 5), lambda k: substr(bits, (5 * j + k + 1)::BIGINT, 1)::INTEGER * [16, 8, 4, 2, 1][k + 1]))::BIGINT, 1)), '') AS payload_digest,
+      CASE WHEN page_id < best THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < best THEN best END AS refers_to
+FROM t
+"""
+
 QUALITY = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, {WORDS} AS w FROM d),
