@@ -68,7 +68,7 @@ class Bundle:
         self.uri = f"{folder}/{uuid.uuid4().hex}.warc.zst"
         store, path = opened(self.uri)
         store.create_dir(path.rpartition("/")[0], recursive=True)
-        self.out = store.open_output_stream(path)
+        self.out = store.open_output_stream(path, compression=None)
         self.sizes: list[tuple[int, int]] = []
         self.bytes = 0
 
