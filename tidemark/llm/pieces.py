@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 import re
 import struct
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,11 +57,11 @@ class Trie:
     """A double-array trie over UTF-8 bytes: from state s byte b leads to t = base[s] + b if check[t] == s; value[s] is a piece or -1."""
 
     def __init__(self, keys: list[tuple[bytes, int]]) -> None:
-        size = 1 << 12
-        base, check, value = array("i", [0]) * size, array("i", [-1]) * size, array("i", [-1]) * size
+        size = 1 << 17
+        base, check, value = (np.full(size, fill, np.int32) for fill in (0, -1, -1))
         check[0] = 0
         keys = sorted(keys)
-        work, free = [(0, 0, len(keys), 0)], 1
+        work, hint = [(0, 0, len(keys), 0)], 1
         while work:
             state, low, high, depth = work.pop()
             if len(keys[low][0]) == depth:
@@ -76,17 +75,20 @@ class Trie:
                 if not edges or edges[-1][0] != b:
                     edges.append([b, i, i])
                 edges[-1][2] = i + 1
-            while free < size and check[free] >= 0:
-                free += 1
-            start = max(1, free - edges[0][0])
+            start = hint
             while True:
-                if start + 256 > size:
-                    for a, fill in ((base, 0), (check, -1), (value, -1)):
-                        a.extend(array("i", [fill]) * size)
+                if start + 1024 > size:
+                    base, check, value = (np.concatenate([a, np.full(size, fill, np.int32)]) for a, fill in ((base, 0), (check, -1), (value, -1)))
                     size *= 2
-                if all(check[start + b] < 0 for b, _, _ in edges):
+                fits = np.ones(512, bool)
+                for b, _, _ in edges:
+                    fits &= check[start + b : start + b + 512] < 0
+                if fits.any():
+                    start += int(fits.argmax())
                     break
-                start += 1
+                start += 512
+            if start > hint + 4096:  # what lies below is nearly full
+                hint = start - 2048
             base[state] = start
             for b, i, j in edges:
                 check[start + b] = state
