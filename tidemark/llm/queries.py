@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, linededup, packing, pieces, pii, quality, sharding, sql, warc
+from . import fingerprints, linededup, ngram_join, packing, pieces, pii, quality, sharding, sql, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.clustered(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = linededup.deduplicated(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -47,5 +51,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.extracted(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_sentencepiece, op4_packing, op6_document_fingerprints, op7_sharding, op9_line_dedup, op10_pii)}
-ORACLES: dict[str, str] = {"op1_warc": sql.WARC, "op2_quality_rules": sql.QUALITY, "op6_document_fingerprints": sql.FINGERPRINTS, "op9_line_dedup": sql.LINE_DEDUP}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_sentencepiece, op4_packing, op6_document_fingerprints, op7_sharding, op8_ngram_join, op9_line_dedup, op10_pii)}
+ORACLES: dict[str, str] = {"op1_warc": sql.WARC, "op2_quality_rules": sql.QUALITY, "op6_document_fingerprints": sql.FINGERPRINTS, "op8_ngram_join": sql.NGRAM_JOIN, "op9_line_dedup": sql.LINE_DEDUP}
