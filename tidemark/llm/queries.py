@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, linededup, ngram_join, packing, pieces, pii, quality, sharding, sql, warc
+from . import fingerprints, linededup, ngram_join, packing, pieces, pii, quality, repeats, sharding, sql, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
 
@@ -51,5 +55,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.extracted(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_sentencepiece, op4_packing, op6_document_fingerprints, op7_sharding, op8_ngram_join, op9_line_dedup, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_sentencepiece, op4_packing, op5_suffix_dedup, op6_document_fingerprints, op7_sharding, op8_ngram_join, op9_line_dedup, op10_pii)}
 ORACLES: dict[str, str] = {"op1_warc": sql.WARC, "op2_quality_rules": sql.QUALITY, "op6_document_fingerprints": sql.FINGERPRINTS, "op8_ngram_join": sql.NGRAM_JOIN, "op9_line_dedup": sql.LINE_DEDUP}
