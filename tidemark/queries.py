@@ -202,3 +202,6 @@ def b0(spark, d):
     levels = bars.select(*SERIES, F.col("i").alias("level_index"), (F.col("i") + 1).alias("start"), F.col("high").alias("price"))
     found = crossing.first_crossing(levels, bars, ["level_index"], "start", F.col("close") > F.col("price"), F.col("top_close") > F.col("price"))
     return found.select(*SERIES, F.col("level_index").alias("i"), "price", "crossed")
+
+
+from . import queries_ops  # noqa: E402,F401  registers its queries
