@@ -204,4 +204,4 @@ def b0(spark, d):
     return found.select(*SERIES, F.col("level_index").alias("i"), "price", "crossed")
 
 
-from . import queries_ops  # noqa: E402,F401  registers its queries
+from . import queries_ops, queries_scan  # noqa: E402,F401  register their queries

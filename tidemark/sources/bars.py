@@ -49,7 +49,8 @@ def exact(bars: DataFrame) -> DataFrame:
     return bars.select("symbol", "timeframe", "open_time_ms", "close_time_ms", *[F.col(c).cast(PRICE).alias(c) for c in ("open", "high", "low", "close")], F.col("volume").cast(VOLUME).alias("volume"))
 
 
-KLINE = "stream string, data struct<e: string, k: struct<s: string, i: string, t: bigint, T: bigint, o: string, h: string, l: string, c: string, v: string, x: boolean>>"
+#: Keys of a bar differ in case only (t and T), so it is read as a map.
+KLINE = "stream string, data struct<e: string, k: map<string, string>>"
 
 
 def feed_messages(lines: DataFrame, symbols: list[str] | None = None, timeframes: list[str] | None = None) -> DataFrame:
@@ -58,10 +59,10 @@ def feed_messages(lines: DataFrame, symbols: list[str] | None = None, timeframes
     Ignored: other events, unfinished bars, symbols or timeframes not followed. Invalid: broken JSON, prices that
     aren't finite numbers, or bars whose low and high don't hold the others. Works alike on streams.
     """
-    parsed = lines.withColumn("_m", F.from_json("value", KLINE)).select("value", F.col("_m.data.e").alias("e"), "_m.data.k.*")
-    number = lambda c, kind: F.expr(f"try_cast({c} as {kind})")
-    bar = F.struct(F.col("s").alias("symbol"), F.col("i").alias("timeframe"), F.col("t").alias("open_time_ms"), F.col("`T`").alias("close_time_ms"), *[number(c, PRICE).alias(n) for c, n in (("o", "open"), ("h", "high"), ("l", "low"), ("c", "close"))], number("v", VOLUME).alias("volume"))
-    parsed = parsed.withColumn("bar", bar)
+    parsed = lines.select("value", F.from_json("value", KLINE)["data"].alias("_d"))
+    part = lambda key, kind: F.expr(f"try_cast(_d.k['{key}'] as {kind})")
+    bar = F.struct(part("s", "string").alias("symbol"), part("i", "string").alias("timeframe"), part("t", "bigint").alias("open_time_ms"), part("T", "bigint").alias("close_time_ms"), *[part(c, PRICE).alias(n) for c, n in (("o", "open"), ("h", "high"), ("l", "low"), ("c", "close"))], part("v", VOLUME).alias("volume"))
+    parsed = parsed.select("value", F.col("_d.e").alias("e"), part("s", "string").alias("s"), part("i", "string").alias("i"), part("x", "boolean").alias("x"), bar.alias("bar"))
     followed = (F.col("s").isin(symbols) if symbols else F.lit(True)) & F.col("i").isin(timeframes or list(TIMEFRAMES))
     return parsed.select("value", F.when(F.col("e").isNull() & F.col("s").isNull(), "invalid").when(~F.coalesce((F.col("e") == "kline") & F.col("x") & followed, F.lit(False)), "ignored").when(F.coalesce(sound("bar."), F.lit(False)), "ok").otherwise("invalid").alias("outcome"), "bar")
 
