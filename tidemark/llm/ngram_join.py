@@ -9,10 +9,10 @@ from .common import WORD, written
 
 GRAM, PERCENT = 4, 85
 #: Share of its tokens that a document's prefix has over the shortest one: partners must share so many more tokens in it.
-#: The first is used on all documents, the second on those that passed.
-SLACK, SLACK_2 = 0.05, 0.15
+#: Used on all documents; of those that pass, all tokens are counted.
+SLACK = 0.05
 #: Rounds in which a document is compared with one partner before all pairs that are still open are.
-ROUNDS = 2
+ROUNDS = 3
 
 
 def shingles(text: Column, gram: int = GRAM) -> Column:
@@ -48,12 +48,12 @@ def other_order(token: Column) -> Column:
     return F.xxhash64(token, F.lit("order"))
 
 
-def sharing(rows: DataFrame, key: list[str], percent: int, slack: float) -> DataFrame:
-    """key and shared (tokens that others have too, rarest first) of the rows (key, n, tokens: a prefix) that share enough of these."""
+def sharing(rows: DataFrame, key: list[str], need: Column) -> DataFrame:
+    """key and shared (tokens that others have too, rarest first) of the rows (key, n, tokens) that share at least `need` of these."""
     tokens = rows.select(*key, "n", F.explode("tokens").alias("t"))
     counts = written(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "ngram-counts")  # so that both sides of the join are dealt anew and frequent tokens can be split
     found = tokens.join(counts, "t").groupBy(*key, "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("s"))
-    return found.where(F.size("s") >= needed(F.col("n"), percent, slack)).select(*key, "n", F.transform("s", lambda x: x["t"]).alias("shared"))
+    return found.where(F.size("s") >= need).select(*key, "n", F.transform("s", lambda x: x["t"]).alias("shared"))
 
 
 def components(links: DataFrame, name: str) -> DataFrame:
@@ -71,51 +71,62 @@ def components(links: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough: prefixes under the second order must meet, then all tokens are compared."""
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, common (tokens in both) and similar of pairs (a, b) whose prefixes under the second hash order meet; others are none."""
     left = sets.select(F.col("uid").alias("a"), F.col("tokens").alias("x"), F.col("second").alias("p"))
     right = sets.select(F.col("uid").alias("b"), F.col("tokens").alias("y"), F.col("second").alias("q"))
-    both = pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("p", "q"))
-    common = F.size(F.array_intersect("x", "y"))
-    return both.withColumn("i", common).where(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b")
+    both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
+    similar = F.arrays_overlap("p", "q") & (100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common")))
+    return both.select("a", "b", "common", similar.alias("similar"))
 
 
 def linked(sets: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame:
     """node and label of the components of sets (uid, n, tokens sorted by hash), for those with a partner.
 
-    Orders: the hash (its prefixes must share enough), then rarity among what these share (the rarest must meet,
-    which names the candidates), then a second hash (prefixes must meet), then all tokens. Members of one bucket
-    of a rare token are first compared with one of them each; then, members of the bucket's largest component
-    being joined already, only pairs of different components are left, and all of these are compared.
+    Orders: the hash (its prefixes must share enough), then rarity among the tokens that several sets have (partners
+    meet in one of the rarest, which names the candidates), then a second hash (prefixes must meet), then all tokens.
+
+    Members of a bucket are first compared with one of them each, a few times, and joined with those they are similar
+    to. Then, members of the bucket's largest component being joined already, only pairs of different components are
+    left, and of these only those that could be similar: x and y share no tokens that they alone have, and, having
+    c_x and c_y tokens in common with the same pivot, at most min(c_x, c_y) of the pivot's and min(s_x - c_x, s_y - c_y)
+    others (s: tokens that several sets have). All that are left are compared.
     """
-    shared = sharing(sets.select("uid", "n", prefix(F.col("tokens"), percent, SLACK_2).alias("tokens")), ["uid"], percent, SLACK_2)
-    rare = shared.select("uid", "n", F.explode(F.slice("shared", 1, F.size("shared") - needed(F.col("n"), percent, SLACK_2) + 1)).alias("t"))
+    shared = sharing(sets.select("uid", "n", "tokens"), ["uid"], least(F.col("n"), percent))
+    rare = shared.select("uid", "n", F.size("shared").alias("s"), F.explode(F.slice("shared", 1, (F.size("shared") - least(F.col("n"), percent) + 1).cast("int"))).alias("t"))
     buckets = written(rare, "ngram-buckets")
     second = F.slice(F.sort_array(F.transform("tokens", other_order)), 1, (F.col("n") - least(F.col("n"), percent) + 1).cast("int"))
     sets = written(sets.join(shared.select("uid"), "uid", "left_semi").withColumn("second", second), "ngram-sets")
     fits = lambda m, n: (100 * F.least(m, n) >= percent * F.greatest(m, n))
-    links, labels = None, None
+    enough = lambda o, m, n: 100 * o >= percent * (m + n - o)
+    links, labels, pivoted = None, None, None
+    own = buckets.withColumn("label", F.col("uid"))
     for number in range(rounds):
-        own = buckets if labels is None else buckets.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-        own = own if labels is not None else own.withColumn("label", F.col("uid"))
-        pivots = own.groupBy("t").agg(F.min(F.struct(F.xxhash64("t", "uid", F.lit(number)), "uid", "n", "label")).alias("v"), F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("c")).where("low < high")
-        pivots = written(pivots.select("t", F.col("v.uid").alias("b"), F.col("v.n").alias("m"), F.col("v.label").alias("bl"), "c"), "ngram-pivots")
-        near = own.join(pivots, "t").where((F.col("label") != F.col("bl")) & fits(F.col("n"), F.col("m")))
-        pairs = near.groupBy("uid").agg(F.max_by("b", F.struct("c", "t")).alias("b")).select(F.col("uid").alias("a"), "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = written(verified(pairs, sets, percent), "ngram-links")
+        rank = F.xxhash64("uid", F.lit(number))  # the same in every bucket, so that a group of copies agrees on its pivot
+        pivots = own.groupBy("t").agg(F.min(F.struct(rank.alias("rank"), "uid", "n", "s", "label")).alias("v"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        pivots = written(pivots.select("t", F.col("v.rank").alias("rank"), F.col("v.uid").alias("b"), F.col("v.n").alias("m"), F.col("v.s").alias("bs"), F.col("v.label").alias("bl")), "ngram-pivots")
+        near = own.join(pivots, "t").where((F.col("label") != F.col("bl")) & fits(F.col("n"), F.col("m")) & enough(F.least("s", "bs"), F.col("n"), F.col("m")))
+        pairs = near.groupBy("uid").agg(F.min_by("b", "rank").alias("b")).select(F.col("uid").alias("a"), "b")
+        found = written(compared(pairs, sets, percent), "ngram-compared")
+        new = found.where("similar").select("a", "b")
         links = new if links is None else links.unionByName(new)
+        if number == 0:
+            pivoted = found.select(F.col("a").alias("uid"), F.col("b").alias("pivot"), F.col("common").alias("c"))
+            pivoted = pivoted.unionByName(found.select("b").distinct().join(buckets.select(F.col("uid").alias("b"), "s").distinct(), "b").select(F.col("b").alias("uid"), F.col("b").alias("pivot"), F.col("s").alias("c")))
+            pivoted = written(pivoted.groupBy("uid").agg(F.min_by(F.struct("pivot", "c"), F.when(F.col("uid") == F.col("pivot"), 0).otherwise(1)).alias("v")).select("uid", "v.*"), "ngram-pivoted")
         labels = components(links, "ngram")
-    own = buckets.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-    own = written(own, "ngram-open")
+        own = written(buckets.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid")), "ngram-labelled")
     sizes = own.groupBy("t", "label").agg(F.count(F.lit(1)).alias("k"))
     largest = written(sizes.groupBy("t").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("t", "main"), "ngram-main")
-    own = written(own.join(largest, "t"), "ngram-open")
-    minor = written(own.where("label <> main").select("t", F.col("uid").alias("b"), F.col("n").alias("m"), F.col("label").alias("bl")), "ngram-minor")
-    pairs = own.select("t", F.col("uid").alias("a"), "n", "label").join(minor, "t").where((F.col("label") != F.col("bl")) & fits(F.col("n"), F.col("m")))
+    own = written(own.join(largest, "t").join(pivoted, "uid", "left"), "ngram-open")
+    minor = written(own.where("label <> main").select("t", F.col("uid").alias("b"), F.col("n").alias("m"), F.col("s").alias("bs"), F.col("label").alias("bl"), F.col("pivot").alias("bp"), F.col("c").alias("bc")), "ngram-minor")
+    same = F.coalesce(F.col("pivot") == F.col("bp"), F.lit(False))
+    most = F.when(same, F.least(F.col("c"), F.col("bc")) + F.greatest(F.lit(0), F.least(F.col("s") - F.col("c"), F.col("bs") - F.col("bc")))).otherwise(F.least("s", "bs"))
+    pairs = own.select("t", F.col("uid").alias("a"), "n", "s", "label", "pivot", "c").join(minor, "t").where((F.col("label") != F.col("bl")) & fits(F.col("n"), F.col("m")) & enough(most, F.col("n"), F.col("m")))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = written(verified(written(pairs, "ngram-pairs"), sets, percent), "ngram-links")
-    return components(links.unionByName(rest), "ngram-all")
+    rest = compared(written(pairs, "ngram-pairs"), sets, percent).where("similar").select("a", "b")
+    return components(links.unionByName(written(rest, "ngram-links")), "ngram-all")
 
 
 def clustered(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
@@ -131,7 +142,7 @@ def clustered(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> Data
     # columns used twice stay computed once
     own = own.select("doc_id", "h1", "h2", F.size("s").alias("n"), F.transform(prefix(F.col("s"), percent, SLACK), lambda t: F.shiftright(t, 24)).alias("tokens"))
     rows = written(own.withColumn("uid", F.monotonically_increasing_id()), "ngram-rows")
-    passed = sharing(rows.select("uid", "n", "tokens"), ["uid"], percent, SLACK).select("uid")
+    passed = sharing(rows.select("uid", "n", "tokens"), ["uid"], needed(F.col("n"), percent, SLACK)).select("uid")
     classes = rows.select("doc_id", "h1", "h2", "uid", "n").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "uid")).alias("r"), F.count(F.lit(1)).alias("k"))
     classes = written(classes.select("h1", "h2", "n", "low", "k", F.col("r.uid").alias("uid")), "ngram-classes")
     alive = written(rows.select("uid", "doc_id", "h1", "h2").join(classes.select("uid"), "uid", "left_semi").join(passed, "uid", "left_semi"), "ngram-alive")

@@ -213,8 +213,8 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
+            for low in range(0, batch.num_rows, 64):
+                part = batch.slice(low, 64)
                 ids = [np.array(own.encode(t), np.int32) for t in part.column(1).to_pylist()]
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
@@ -231,8 +231,10 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
         for batch in batches:
-            texts = [own.decode(x or []) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+            for low in range(0, batch.num_rows, 64):
+                part = batch.slice(low, 64)
+                texts = [own.decode(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     return rows.select("doc_id", "ids").mapInArrow(decode, "doc_id bigint, ids array<int>, text string")
 
