@@ -17,7 +17,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: What an unknown character scores below the least piece.
 PENALTY = 10.0
-#: Words that a worker keeps encoded.
+#: Words that a worker keeps encoded, twice.
 KEPT = 200_000
 
 
@@ -122,6 +122,7 @@ class Model:
         self.cuts = not any(a != MARK and b == MARK for p, _, kind in self.pieces if kind in (NORMAL, USER) for a, b in zip(p, p[1:], strict=False))
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.kept: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def normalized(self, text: str) -> str:
         """Blanks as markers, one before the text; runs of blanks squeezed if the model says so."""
@@ -185,10 +186,13 @@ class Model:
         for word in self.words.findall(whole):
             own = kept.get(word)
             if own is None:
-                own = self.best(word)
+                own = self.older.get(word)
+                if own is None:
+                    own = self.best(word)
                 if len(word) <= 64:
-                    if len(kept) >= KEPT:
-                        kept.clear()
+                    if len(kept) >= KEPT:  # what was used lately stays, in the older half
+                        self.older, self.kept = kept, {}
+                        kept = self.kept
                     kept[word] = own
             ids += own
         return ids
