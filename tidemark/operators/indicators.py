@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.bars import SERIES
-from .structure import W
+from .structure import in_order
 
 #: Bars in a chunk of the recursion.
 CHUNK = 256
@@ -20,7 +20,7 @@ def atr(bars: DataFrame, period: int = 14, column: str = "atr") -> DataFrame:
     that a chunk hands on, one row in CHUNK bars, is folded in order by an Arrow function. Null before period - 1.
     """
     q = (period - 1) / period
-    last = F.lag("close").over(W)
+    last = F.lag("close").over(in_order())
     reach = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - last), F.abs(F.col("low") - last))
     rows = bars.withColumn("_tr", F.when(last.isNull(), F.col("high") - F.col("low")).otherwise(reach))
     rows = rows.withColumn("_j", F.col("i") - period).withColumn("_c", F.when(F.col("i") >= period, (F.col("_j") / CHUNK).cast("int")).otherwise(-1))
@@ -40,12 +40,12 @@ def atr(bars: DataFrame, period: int = 14, column: str = "atr") -> DataFrame:
 
     carried = ends.groupBy(*SERIES).applyInPandas(carry, "symbol string, timeframe string, _c int, carried double")
     rows = rows.join(carried, [*SERIES, "_c"])
-    seed = F.avg("_tr").over(W.rowsBetween(-(period - 1), 0))
+    seed = F.avg("_tr").over(in_order().rowsBetween(-(period - 1), 0))
     value = F.when(F.col("i") == period - 1, seed).when(F.col("i") >= period, F.col("carried") * F.pow(F.lit(q), k + 1) + F.col("_sum"))
     return rows.withColumn(column, value).drop("_tr", "_j", "_c", "_sum", "carried")
 
 
 def average_volume(bars: DataFrame, period: int = 20, column: str = "average_volume") -> DataFrame:
     """bars with the mean volume of the last `period` bars, null before period - 1."""
-    own = W.rowsBetween(-(period - 1), 0)
+    own = in_order().rowsBetween(-(period - 1), 0)
     return bars.withColumn(column, F.when(F.col("i") >= period - 1, F.avg("volume").over(own)))

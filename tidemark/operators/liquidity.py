@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from ..sources.bars import SERIES
 from .crossing import first_crossing
-from .structure import W
+from .structure import in_order
 
-DAY = F.floor(F.col("open_time_ms") / 86_400_000)
+
+def day_of() -> Column:
+    """The UTC day of a bar."""
+    return F.floor(F.col("open_time_ms") / 86_400_000)
 
 
 def pools(points: DataFrame, bars: DataFrame, tolerance: float = 0.1, max_age: int = 500) -> DataFrame:
@@ -63,7 +66,7 @@ def sweeps(bars: DataFrame, levels: DataFrame, key: list[str], max_age: int = 50
 
 def previous_days(bars: DataFrame) -> DataFrame:
     """kind, price, source_index, confirmation_index and known_at of each UTC day's extremes, once a later day began; earliest bar on ties."""
-    days = bars.withColumn("day", DAY).groupBy(*SERIES, "day").agg(F.max("high").alias("h"), F.min("low").alias("l"), F.min_by("i", F.struct(-F.col("high"), "i")).alias("hi"), F.min_by("i", F.struct("low", "i")).alias("li"), F.max("i").alias("confirmation_index"))
+    days = bars.withColumn("day", day_of()).groupBy(*SERIES, "day").agg(F.max("high").alias("h"), F.min("low").alias("l"), F.min_by("i", F.struct(-F.col("high"), "i")).alias("hi"), F.min_by("i", F.struct("low", "i")).alias("li"), F.max("i").alias("confirmation_index"))
     order = Window.partitionBy(*SERIES).orderBy("day")
     days = days.withColumn("_later", F.lead("confirmation_index").over(order)).where("_later is not null")
     each = F.explode(F.array(F.struct(F.lit("high").alias("kind"), F.col("h").alias("price"), F.col("hi").alias("source_index")), F.struct(F.lit("low").alias("kind"), F.col("l").alias("price"), F.col("li").alias("source_index"))))
@@ -74,8 +77,8 @@ def previous_days(bars: DataFrame) -> DataFrame:
 
 def current_day(bars: DataFrame) -> DataFrame:
     """kind, price, source_indices (all ties) and confirmation_index of the extremes of each series' last UTC day, before its last bar."""
-    ends = bars.groupBy(*SERIES).agg(F.max("i").alias("_end"), F.max_by(DAY, "i").alias("_day"))
-    day = bars.join(ends, SERIES).where((DAY == F.col("_day")) & (F.col("i") < F.col("_end")))
+    ends = bars.groupBy(*SERIES).agg(F.max("i").alias("_end"), F.max_by(day_of(), "i").alias("_day"))
+    day = bars.join(ends, SERIES).where((day_of() == F.col("_day")) & (F.col("i") < F.col("_end")))
     tops = day.groupBy(*SERIES).agg(F.max("high").alias("h"), F.min("low").alias("l"), F.max("i").alias("confirmation_index"))
     ties = day.join(tops, SERIES).groupBy(*SERIES, "h", "l", "confirmation_index").agg(F.sort_array(F.collect_list(F.when(F.col("high") == F.col("h"), F.col("i")))).alias("hs"), F.sort_array(F.collect_list(F.when(F.col("low") == F.col("l"), F.col("i")))).alias("ls"))
     each = F.explode(F.array(F.struct(F.lit("high").alias("kind"), F.col("h").alias("price"), F.col("hs").alias("source_indices")), F.struct(F.lit("low").alias("kind"), F.col("l").alias("price"), F.col("ls").alias("source_indices"))))
@@ -85,7 +88,7 @@ def current_day(bars: DataFrame) -> DataFrame:
 def intraday_sweeps(bars: DataFrame) -> DataFrame:
     """direction, candle_index, level, level_kind and known_at of bars that sweep the extreme of the UTC day's earlier bars."""
     own = Window.partitionBy(*SERIES, "day").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    seen = bars.withColumn("day", DAY).select(*SERIES, "i", "high", "low", "close", "close_time_ms", F.max("high").over(own).alias("h"), F.min("low").over(own).alias("l"))
+    seen = bars.withColumn("day", day_of()).select(*SERIES, "i", "high", "low", "close", "close_time_ms", F.max("high").over(own).alias("h"), F.min("low").over(own).alias("l"))
     high = F.when((F.col("high") > F.col("h")) & (F.col("close") < F.col("h")), F.struct(F.lit("bearish").alias("direction"), F.col("h").alias("level"), F.lit("high").alias("level_kind")))
     low = F.when((F.col("low") < F.col("l")) & (F.col("close") > F.col("l")), F.struct(F.lit("bullish").alias("direction"), F.col("l").alias("level"), F.lit("low").alias("level_kind")))
     return seen.select(*SERIES, F.col("i").alias("candle_index"), F.col("close_time_ms").alias("known_at"), F.explode(F.array_compact(F.array(high, low))).alias("x")).select(*SERIES, "candle_index", "known_at", "x.*")

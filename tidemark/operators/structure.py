@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from ..sources.bars import SERIES
 from .crossing import first_crossing
 
-W = Window.partitionBy(*SERIES).orderBy("open_time_ms")
+
+def in_order():
+    """The window over a series in order of time."""
+    return Window.partitionBy(*SERIES).orderBy("open_time_ms")
 
 
 def indexed(bars: DataFrame) -> DataFrame:
     """bars with i, their number in the series from 0."""
-    return bars.withColumn("i", F.row_number().over(W) - 1)
+    return bars.withColumn("i", F.row_number().over(in_order()) - 1)
 
 
 def swings(bars: DataFrame, left: int = 2, right: int = 2) -> DataFrame:
@@ -22,8 +25,8 @@ def swings(bars: DataFrame, left: int = 2, right: int = 2) -> DataFrame:
     A high tops all of the bars before it in its window and none after it tops it: of a plateau the earliest. Only
     bars with full windows count.
     """
-    before, after = W.rowsBetween(-left, -1), W.rowsBetween(1, right)
-    seen = bars.select(*SERIES, "i", "high", "low", F.max("high").over(before).alias("hb"), F.min("low").over(before).alias("lb"), F.max("high").over(after).alias("ha"), F.min("low").over(after).alias("la"), F.count("high").over(after).alias("n"), F.lead("close_time_ms", right).over(W).alias("known_at"))
+    before, after = in_order().rowsBetween(-left, -1), in_order().rowsBetween(1, right)
+    seen = bars.select(*SERIES, "i", "high", "low", F.max("high").over(before).alias("hb"), F.min("low").over(before).alias("lb"), F.max("high").over(after).alias("ha"), F.min("low").over(after).alias("la"), F.count("high").over(after).alias("n"), F.lead("close_time_ms", right).over(in_order()).alias("known_at"))
     seen = seen.where((F.col("i") >= left) & (F.col("n") == right))
     high = F.when((F.col("high") > F.col("hb")) & (F.col("high") >= F.col("ha")), F.struct(F.lit("high").alias("kind"), F.col("high").alias("price")))
     low = F.when((F.col("low") < F.col("lb")) & (F.col("low") <= F.col("la")), F.struct(F.lit("low").alias("kind"), F.col("low").alias("price")))
@@ -56,5 +59,5 @@ def breaks(bars: DataFrame, points: DataFrame) -> DataFrame:
 def internal_direction(bars: DataFrame, max_age: int = 2, least: int = 5) -> DataFrame:
     """bars with internal_direction: that of the last break of 1-bar swings, no older than max_age bars; null without one or in the first bars."""
     events = breaks(bars, swings(bars, 1, 1)).select(*SERIES, F.col("candle_index").alias("i"), F.col("direction").alias("_d"))
-    run = W.rowsBetween(-max_age, 0)
+    run = in_order().rowsBetween(-max_age, 0)
     return bars.join(events, [*SERIES, "i"], "left").withColumn("internal_direction", F.when(F.col("i") >= least - 1, F.last("_d", ignorenulls=True).over(run))).drop("_d")

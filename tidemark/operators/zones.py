@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..sources.bars import SERIES
 from .crossing import first_crossing
-from .structure import W
+from .structure import in_order
 
-BULL = F.col("direction") == "bullish"
+
+def bull() -> Column:
+    return F.col("direction") == "bullish"
 
 
 def order_blocks(bars: DataFrame, events: DataFrame) -> DataFrame:
@@ -18,10 +20,10 @@ def order_blocks(bars: DataFrame, events: DataFrame) -> DataFrame:
     The body of the last candle against the break's direction strictly between broken swing and break; one block a
     candle and direction, that of the first break.
     """
-    before = W.rowsBetween(Window.unboundedPreceding, -1)
+    before = in_order().rowsBetween(Window.unboundedPreceding, -1)
     body = F.struct("i", F.least("open", "close").alias("lower"), F.greatest("open", "close").alias("upper"))
     seen = bars.select(*SERIES, F.col("i").alias("candle_index"), F.last(F.when(F.col("close") < F.col("open"), body), ignorenulls=True).over(before).alias("down"), F.last(F.when(F.col("close") > F.col("open"), body), ignorenulls=True).over(before).alias("up"))
-    found = events.join(seen, [*SERIES, "candle_index"]).withColumn("b", F.when(BULL, F.col("down")).otherwise(F.col("up")))
+    found = events.join(seen, [*SERIES, "candle_index"]).withColumn("b", F.when(bull(), F.col("down")).otherwise(F.col("up")))
     found = found.where(F.col("b.i") >= F.col("swing_index") + 1)
     first = F.row_number().over(Window.partitionBy(*SERIES, "direction", "b.i").orderBy("candle_index"))
     found = found.withColumn("_n", first).where("_n = 1")
@@ -30,13 +32,13 @@ def order_blocks(bars: DataFrame, events: DataFrame) -> DataFrame:
 
 def mitigated_by(close: Column) -> Column:
     """Whether a close goes through a block."""
-    return F.when(BULL, close < F.col("lower")).otherwise(close > F.col("upper"))
+    return F.when(bull(), close < F.col("lower")).otherwise(close > F.col("upper"))
 
 
 def mitigation(bars: DataFrame, blocks: DataFrame, as_of: str | None = None) -> DataFrame:
     """blocks with mitigation_index, the first close through the block after its confirmation (up to the bar in column as_of), and dead_at, its time."""
     named = blocks.withColumn("_next", F.col("confirmation_index") + 1)
-    possible = F.when(BULL, F.col("low_close") < F.col("lower")).otherwise(F.col("top_close") > F.col("upper"))
+    possible = F.when(bull(), F.col("low_close") < F.col("lower")).otherwise(F.col("top_close") > F.col("upper"))
     found = first_crossing(named, bars, ["direction", "candle_index"], "_next", mitigated_by(F.col("close")), possible, "mitigation_index", until=as_of).drop("_next")
     return with_time(found, bars, "mitigation_index", "dead_at")
 
@@ -48,7 +50,7 @@ def with_time(rows: DataFrame, bars: DataFrame, index: str, name: str) -> DataFr
 
 def gaps(bars: DataFrame) -> DataFrame:
     """direction, first_candle_index, confirmation_index, lower, upper and known_at of fair value gaps; touching bars leave none."""
-    seen = bars.select(*SERIES, "i", "high", "low", F.lag("high", 2).over(W).alias("h"), F.lag("low", 2).over(W).alias("l"), F.col("close_time_ms").alias("known_at"))
+    seen = bars.select(*SERIES, "i", "high", "low", F.lag("high", 2).over(in_order()).alias("h"), F.lag("low", 2).over(in_order()).alias("l"), F.col("close_time_ms").alias("known_at"))
     up = F.when(F.col("low") > F.col("h"), F.struct(F.lit("bullish").alias("direction"), F.col("h").alias("lower"), F.col("low").alias("upper")))
     down = F.when(F.col("high") < F.col("l"), F.struct(F.lit("bearish").alias("direction"), F.col("high").alias("lower"), F.col("l").alias("upper")))
     return seen.withColumn("g", F.coalesce(up, down)).where("g is not null").select(*SERIES, "g.direction", (F.col("i") - 2).alias("first_candle_index"), F.col("i").alias("confirmation_index"), "g.lower", "g.upper", "known_at")
@@ -56,16 +58,16 @@ def gaps(bars: DataFrame) -> DataFrame:
 
 def fills(bars: DataFrame, found: DataFrame) -> DataFrame:
     """gaps with fill_percent and fully_filled at the series' end, and fill_index and dead_at of the bar that filled them."""
-    after = W.rowsBetween(1, Window.unboundedFollowing)
+    after = in_order().rowsBetween(1, Window.unboundedFollowing)
     deepest = bars.select(*SERIES, F.col("i").alias("confirmation_index"), F.min("low").over(after).alias("_low"), F.max("high").over(after).alias("_high"))
     rows = found.join(deepest, [*SERIES, "confirmation_index"])
     width = F.col("upper") - F.col("lower")
-    depth = F.when(BULL, F.col("upper") - F.coalesce("_low", "upper")).otherwise(F.coalesce("_high", "lower") - F.col("lower"))
+    depth = F.when(bull(), F.col("upper") - F.coalesce("_low", "upper")).otherwise(F.coalesce("_high", "lower") - F.col("lower"))
     depth = F.least(width, F.greatest(F.lit(0.0), depth))
     rows = rows.withColumn("fully_filled", depth >= width).withColumn("fill_percent", F.when(depth >= width, 100.0).otherwise(F.least(F.round(depth / width * 100, 8), F.lit(99.99999999)))).drop("_low", "_high")
     named = rows.withColumn("_next", F.col("confirmation_index") + 1)
-    hit = F.when(BULL, F.col("upper") - F.col("low") >= width).otherwise(F.col("high") - F.col("lower") >= width)
-    possible = F.when(BULL, F.col("upper") - F.col("low_low") >= width).otherwise(F.col("top_high") - F.col("lower") >= width)
+    hit = F.when(bull(), F.col("upper") - F.col("low") >= width).otherwise(F.col("high") - F.col("lower") >= width)
+    possible = F.when(bull(), F.col("upper") - F.col("low_low") >= width).otherwise(F.col("top_high") - F.col("lower") >= width)
     return with_time(first_crossing(named, bars, ["confirmation_index"], "_next", hit, possible, "fill_index").drop("_next"), bars, "fill_index", "dead_at")
 
 

@@ -105,7 +105,7 @@ def live_levels(trigger: dict, pools: DataFrame) -> DataFrame:
     """symbol, price and the bars from and until which a liquidity level of the trigger timeframe stands."""
     a = pools.select("symbol", "price", F.col("confirmation_index").alias("from_i"), F.col("superseded_at").alias("until_i"))
     b = liquidity.previous_days(trigger["bars"]).select("symbol", "price", (F.col("confirmation_index") + 1).alias("from_i"), F.lit(None).cast("int").alias("until_i"))
-    w = Window.partitionBy("symbol", liquidity.DAY).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("symbol", liquidity.day_of()).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     day = trigger["bars"].select("symbol", "i", F.max("high").over(w).alias("h"), F.min("low").over(w).alias("l")).where("h is not null")
     c = day.select("symbol", F.explode(F.array("h", "l")).alias("price"), F.col("i").alias("from_i"), (F.col("i") + 1).alias("until_i"))
     return a.unionByName(b).unionByName(c)
