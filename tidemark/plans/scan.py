@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import risk
 from ..operators import indicators, liquidity, ranges, structure, zones
 from ..operators.crossing import asof
+from ..operators.shared import kept
 from ..sources.bars import SERIES
 
 
@@ -49,8 +50,8 @@ class Options:
 def facts(bars: DataFrame, timeframe: str, width: int) -> dict[str, DataFrame]:
     """What one timeframe's bars say, each computed once over the whole history with the time it became known."""
     own = bars.where(F.col("timeframe") == timeframe)
-    points = structure.swings(own, width, width)
-    events = structure.breaks(own, points)
+    points = kept(structure.swings(own, width, width))
+    events = kept(structure.breaks(own, points))
     return {"bars": own, "swings": points, "breaks": events}
 
 
@@ -69,6 +70,7 @@ def swept(bars: DataFrame, pools: DataFrame, within: int = 12) -> DataFrame:
 
 def snapshots(bars: DataFrame, profile: Profile) -> tuple[DataFrame, dict]:
     """One row per trigger bar: its own values and, as of its close, what the other timeframes know."""
+    bars = kept(bars.where(F.col("timeframe").isin(*{profile.bias, profile.zone, profile.trigger, profile.extra or profile.trigger})))
     bias, zone, trigger = facts(bars, profile.bias, profile.width), facts(bars, profile.zone, profile.width), facts(bars, profile.trigger, 2)
     own = indicators.average_volume(indicators.atr(structure.internal_direction(trigger["bars"])))
     w = Window.partitionBy("symbol").orderBy("i")
@@ -88,8 +90,9 @@ def snapshots(bars: DataFrame, profile: Profile) -> tuple[DataFrame, dict]:
         rows = asof(rows, extra["breaks"], ["symbol"], "t", "known_at", "extra_break", ["direction", "candle_index"], ["candle_index"])
     else:
         rows = rows.withColumn("extra_bar", F.lit(None).cast("struct<i:int,close_time_ms:bigint>")).withColumn("extra_break", F.lit(None).cast("struct<direction:string,candle_index:int>"))
-    found = zones.zones(zone["bars"], zones.order_blocks(zone["bars"], zone["breaks"]), zones.gaps(zone["bars"]))
-    pools = liquidity.pools(trigger["swings"], own.select(*SERIES, "i", "atr"))
+    rows = kept(rows)
+    found = kept(zones.zones(zone["bars"], zones.order_blocks(zone["bars"], zone["breaks"]), zones.gaps(zone["bars"])))
+    pools = kept(liquidity.pools(trigger["swings"], own.select(*SERIES, "i", "atr")))
     return rows, {"zones": found, "pools": pools, "trigger": trigger}
 
 
