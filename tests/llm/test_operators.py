@@ -185,7 +185,7 @@ def test_pieces_equal_the_library():
     random.seed(5)
     for text in ["the", "lere***", "hello world", "  two  blanks ", "héllo 😀 中文字 ☃\t\x00z", *(words(i, 3) for i in range(40))]:
         ids = own.encode(text)
-        best = theirs.nbest_encode_as_ids(text, 1)[0]
+        best = theirs.nbest_encode_as_ids(text, 5)[0]  # the lattice search; of one alone it makes a greedy one
         assert ids == best or sum(own.scores[i] for i in ids) == pytest.approx(sum(own.scores[i] for i in best)), text
         assert own.decode(ids) == text
 
