@@ -116,14 +116,18 @@ def linked(sets: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame:
             pivoted = pivoted.unionByName(found.select("b").distinct().join(buckets.select(F.col("uid").alias("b"), "s").distinct(), "b").select(F.col("b").alias("uid"), F.col("b").alias("pivot"), F.col("s").alias("c")))
             pivoted = written(pivoted.groupBy("uid").agg(F.min_by(F.struct("pivot", "c"), F.when(F.col("uid") == F.col("pivot"), 0).otherwise(1)).alias("v")).select("uid", "v.*"), "ngram-pivoted")
         labels = components(links, "ngram")
+        links = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))  # says the same in fewer links
         own = written(buckets.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid")), "ngram-labelled")
     sizes = own.groupBy("t", "label").agg(F.count(F.lit(1)).alias("k"))
     largest = written(sizes.groupBy("t").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("t", "main"), "ngram-main")
     own = written(own.join(largest, "t").join(pivoted, "uid", "left"), "ngram-open")
-    minor = written(own.where("label <> main").select("t", F.col("uid").alias("b"), F.col("n").alias("m"), F.col("s").alias("bs"), F.col("label").alias("bl"), F.col("pivot").alias("bp"), F.col("c").alias("bc")), "ngram-minor")
+    met = own.groupBy("uid").agg(F.collect_list("t").alias("buckets"))
+    own = written(own.join(written(met, "ngram-met"), "uid"), "ngram-open")
+    minor = written(own.where("label <> main").select("t", F.col("uid").alias("b"), F.col("n").alias("m"), F.col("s").alias("bs"), F.col("label").alias("bl"), F.col("pivot").alias("bp"), F.col("c").alias("bc"), F.col("buckets").alias("bb")), "ngram-minor")
     same = F.coalesce(F.col("pivot") == F.col("bp"), F.lit(False))
     most = F.when(same, F.least(F.col("c"), F.col("bc")) + F.greatest(F.lit(0), F.least(F.col("s") - F.col("c"), F.col("bs") - F.col("bc")))).otherwise(F.least("s", "bs"))
-    pairs = own.select("t", F.col("uid").alias("a"), "n", "s", "label", "pivot", "c").join(minor, "t").where((F.col("label") != F.col("bl")) & fits(F.col("n"), F.col("m")) & enough(most, F.col("n"), F.col("m")))
+    once = F.array_min(F.array_intersect("buckets", "bb")) == F.col("t")  # of the buckets that both are in only the first names the pair
+    pairs = own.select("t", F.col("uid").alias("a"), "n", "s", "label", "pivot", "c", "buckets").join(minor, "t").where((F.col("label") != F.col("bl")) & fits(F.col("n"), F.col("m")) & enough(most, F.col("n"), F.col("m")) & once)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = compared(written(pairs, "ngram-pairs"), sets, percent).where("similar").select("a", "b")
     return components(links.unionByName(written(rest, "ngram-links")), "ngram-all")
