@@ -279,7 +279,8 @@ def h5(spark, d):
 
 def log(rows: DataFrame) -> DataFrame:
     """The events that setups leave: detected, accepted, and the final one twice, as a replay would."""
-    each = F.array(F.struct(F.col("confirmation_time_ms").alias("event_time_ms"), F.lit(0).alias("seq"), F.lit("CANDIDATE").alias("status")), F.struct(F.col("confirmation_time_ms"), F.lit(1), F.lit("ACCEPTED")), F.struct(F.col("closed_at_ms"), F.lit(2), F.col("final_status")), F.struct(F.col("closed_at_ms"), F.lit(3), F.col("final_status")))
+    one = lambda at, seq, status: F.struct(F.col(at).alias("event_time_ms"), F.lit(seq).alias("seq"), status.alias("status"))
+    each = F.array(one("confirmation_time_ms", 0, F.lit("CANDIDATE")), one("confirmation_time_ms", 1, F.lit("ACCEPTED")), one("closed_at_ms", 2, F.col("final_status")), one("closed_at_ms", 3, F.col("final_status")))
     return rows.select("key", F.explode(F.filter(each, lambda x: x["event_time_ms"].isNotNull())).alias("x")).select("key", "x.*")
 
 
