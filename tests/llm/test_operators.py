@@ -174,6 +174,17 @@ def test_encoder_equals_the_library(spark):
         assert encode(text) == own.encode(text, add_special_tokens=False).ids, text
 
 
+def test_added_tokens_are_ids_of_their_own(spark):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(packing.default_vocabulary())
+    texts = ["<|endoftext|>", "a b<|endoftext|> c  d\n<|endoftext|><|endoftext|>", "<|endoftext", "plain text", "a  b <|endoftext|>"]
+    want = {i: [*own.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert 50256 in want[0] and 50256 not in want[2]
+    got = {r["doc_id"]: r["ids"] for r in packing.packed(table(spark, texts), with_ids=True).collect()}
+    assert got == want
+
+
 def test_pieces_equal_the_library():
     import sentencepiece
 

@@ -37,10 +37,11 @@ def byte_letters() -> dict[str, int]:
 
 
 @functools.cache
-def encoder(path: str):
+def encoder(path: str, added: bool = False):
     """A function from a text to its ids, once for a worker.
 
-    Where the file's merges are numbered in order, as a table of ranks needs them, the faster of the two libraries
+    With added, the file's added tokens are recognised where a text holds them literally, as the library's plain
+    call does; else they are text like other text. Where the file's merges are numbered in order, as a table of ranks needs them, the faster of the two libraries
     does the work, with the same ids (a test holds them together); else the one the file is made for.
     """
     model = json.load(open(path, encoding="utf-8"))
@@ -53,11 +54,21 @@ def encoder(path: str):
         ranks = {bytes(letters[c] for c in piece): i for piece, i in vocabulary.items() if i < 256 + len(merges)}
         full, single = (tiktoken.Encoding(name, pat_str=split, mergeable_ranks=ranks, special_tokens={}) for name, split in (("full", SPLIT), ("single", SINGLE)))
         twice = re.compile(r"\s\s")
-        return lambda text: (full if twice.search(text) else single).encode_ordinary(text)
+        fast = lambda text: (full if twice.search(text) else single).encode_ordinary(text)
+        contents = [re.escape(t["content"]) for t in model.get("added_tokens") or []]
+        if not added or not contents:
+            return fast
+        holds, exact = re.compile("|".join(contents)).search, library(path)
+        return lambda text: exact(text) if holds(text) else fast(text)
+    return library(path, plain=not added)
+
+
+def library(path: str, plain: bool = False):
+    """The encoder of the library that the file is made for; plain: special tokens are text like other text."""
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
+    own.encode_special_tokens = plain
     return lambda text: own.encode(text, add_special_tokens=False).ids
 
 
@@ -66,7 +77,7 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_
     path = vocabulary or default_vocabulary()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(path)
+        ids_of = encoder(path, added=True)
         for batch in batches:
             n, wide, packed = [], [], []
             for text in batch.column(2).to_pylist():
