@@ -15,24 +15,58 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; only where the cluster names none, as in tests, a local one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share, as the cluster names it; one of its own only where all run on one machine, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        context = spark.sparkContext
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-        named = context.getCheckpointDir()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back: its lineage ends here and a lost executor costs nothing."""
+    """df as a table in the shared folder, read back: its lineage ends here and a lost executor costs nothing. See cleared()."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cleared(spark: SparkSession) -> None:
+    """Deletes the tables written by this application. Results that read them are to be stored before."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables/{context.applicationId}")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, row: beside it an operator's own columns cannot clash with any name in docs."""
+    return F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("row")
+
+
+def unpacked(docs: DataFrame, text: Column | None = None) -> list[Column]:
+    """The columns of docs out of row; with text, that is the new text and n_chars, if there, its length where it differs."""
+    found = []
+    for c in docs.columns:
+        value = F.col("row").getField(c)
+        if text is not None and c == "text":
+            value = text
+        elif text is not None and c == "n_chars":
+            value = F.when(text.eqNullSafe(F.col("row").getField("text")), value).otherwise(F.length(text)).cast(docs.schema[c].dataType)
+        found.append(value.alias(c))
+    return found
+
+
+def kept_where(rows: DataFrame, condition: Column) -> DataFrame:
+    """rows.where(condition), with the columns of rows computed below and once.
+
+    Spark pushes a filter below the columns it reads and computes them there again, inside lambdas even once an element.
+    It pushes none below a column that is no function of the row.
+    """
+    return rows.withColumn("_task", F.spark_partition_id()).where(condition & (F.col("_task") >= 0)).drop("_task")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, let, written
+from .common import BLANKS, let, unpacked, whole_row, written
 
 WIDTH = 3
 
@@ -40,19 +40,12 @@ def later_windows(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id", "h1", "h2").agg(F.sort_array(F.collect_set("k")).alias("later"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with text cut, and n_lines (lines with a word) and n_removed.
-
-    Lines are trimmed for comparison; blank lines don't count and stay. A window of three consecutive lines
-    with a word that stands at an earlier place too is covered; covered lines, overlaps merged, are removed.
-    Every removed line so has an equal line at an earlier place, and the earliest of these stays. Documents with
-    fewer than three such lines have no window and stay as they are; null texts stay null; rows with equal doc_id
-    and text are one document and are treated alike; other columns are kept.
-    """
-    own = docs.select(*[F.col(c) for c in docs.columns], *[c.alias(f"_{n}") for c, n in zip(_own(), ("id", "h1", "h2"), strict=True)])
-    later = later_windows(docs).select(F.col("doc_id").alias("_lid"), F.col("h1").alias("_l1"), F.col("h2").alias("_l2"), F.col("later").alias("_later"))
-    rows = own.join(later, F.col("_id").eqNullSafe(F.col("_lid")) & (F.col("_h1") == F.col("_l1")) & (F.col("_h2") == F.col("_l2")), "left")
-    covered = F.array_distinct(F.flatten(F.transform("_later", lambda k: F.array(*[k + j for j in range(WIDTH)]))))
+def _cut(docs: DataFrame) -> DataFrame:
+    """row, left (the text that stays), n_lines and n_removed."""
+    own = docs.select(whole_row(docs), *[c.alias(n) for c, n in zip(_own(), ("id", "h1", "h2"), strict=True)])
+    later = later_windows(docs).select(F.col("doc_id").alias("l_id"), F.col("h1").alias("l1"), F.col("h2").alias("l2"), "later")
+    rows = own.join(later, F.col("id").eqNullSafe(F.col("l_id")) & (F.col("h1") == F.col("l1")) & (F.col("h2") == F.col("l2")), "left")
+    covered = F.array_distinct(F.flatten(F.transform("later", lambda k: F.array(*[k + j for j in range(WIDTH)]))))
 
     def parts(x: Column) -> Column:
         full = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: F.translate(x[i], BLANKS, "") != "")
@@ -60,19 +53,31 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         def cut(at: Column) -> Column:
             gone = F.transform(covered, lambda k: at[k])
             left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone), lambda i: x[i])
-            hit = F.col("_later").isNotNull()
+            hit = F.col("later").isNotNull()
             return F.struct(F.when(hit, F.array_join(left, "\n")).alias("t"), F.size(at).cast("long").alias("n"), F.when(hit, F.size(gone)).otherwise(0).cast("long").alias("r"))
 
         return let(full, cut)
 
-    rows = rows.withColumn("_p", let(F.split(F.coalesce("text", F.lit("")), "\n"), parts))
-    text = F.when(F.col("_later").isNull(), F.col("text")).otherwise(F.col("_p.t"))
-    return rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.col("_p.n").alias("n_lines"), F.col("_p.r").alias("n_removed"))
+    rows = rows.withColumn("p", let(F.split(F.coalesce("row.text", F.lit("")), "\n"), parts))
+    text = F.when(F.col("later").isNull(), F.col("row.text")).otherwise(F.col("p.t"))
+    return rows.select("row", text.alias("left"), F.col("p.n").alias("n_lines"), F.col("p.r").alias("n_removed"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs with text cut, and n_lines (lines with a word) and n_removed; columns of docs with these two names give way.
+
+    Lines are trimmed for comparison; blank lines don't count and stay. A window of three consecutive lines
+    with a word that stands at an earlier place too is covered; covered lines, overlaps merged, are removed.
+    Every removed line so has an equal line at an earlier place, and the earliest of these stays. Documents with
+    fewer than three such lines have no window and stay as they are; null texts stay null; rows with equal doc_id
+    and text are one document and are treated alike; other columns are kept, whatever their names.
+    """
+    told = ("n_lines", "n_removed")
+    columns = [c for c, name in zip(unpacked(docs), docs.columns, strict=True) if name not in told]
+    columns = [F.col("left").alias("text") if name == "text" else c for c, name in zip(columns, [n for n in docs.columns if n not in told], strict=True)]
+    return _cut(docs).select(*columns, *told)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """As deduplicated(), with the columns of docs only; n_chars, if there, counts what is left."""
-    rows = deduplicated(docs)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    """As deduplicated(), with the columns of docs only and all of them; n_chars, if there, counts what is left."""
+    return _cut(docs).select(*unpacked(docs, text=F.col("left")))

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, WORD, let, written
+from .common import BLANKS, WORD, kept_where, let, unpacked, whole_row, written
 
 #: A line is boilerplate of its host if more documents than both have it.
 MIN_DOCS, MAX_SHARE = 10, 0.02
-#: Boilerplate stands in ever new places: more than this share of the documents must show it between other lines.
-MIN_SPREAD = 0.5
 #: A document is depleted if less than this share of its words is left.
 MIN_LEFT = 0.3
 SYMBOLS = "#*$%&|<>"
@@ -29,86 +27,78 @@ def with_repeats(rows: DataFrame) -> DataFrame:
     return rows.withColumn("n_repeat_words", F.expr("aggregate(transform(_p, (x, i) -> least(3, coalesce(get(_p, i + 1), x + 3) - x)), 0L, (a, b) -> a + b)")).drop("_m", "_s", "_p")
 
 
-def measured(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns kept, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; null text: no words."""
+def measured(rows: DataFrame, *keep: str) -> DataFrame:
+    """The columns kept, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed of rows with a text; null text: no words."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(BLANKS)) != "")
     dup = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     symbols = F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", ""))
-    rows = docs.select(*keep, symbols.cast("long").alias("n_symbols"), dup.cast("long").alias("n_dup_lines"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_w"))
+    rows = rows.select(*keep, symbols.cast("long").alias("n_symbols"), dup.cast("long").alias("n_dup_lines"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_w"))
     rows = with_repeats(rows).withColumn("n_words", F.size("_w").cast("long")).withColumn("word_chars", F.length(F.array_join("_w", "")).cast("long")).drop("_w")
     return rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def identity() -> list[Column]:
-    """What a document is told by: rows equal in these are copies and get the same verdict; nulls are a value like others."""
-    text = F.coalesce("text", F.lit(""))
-    return [F.coalesce("source", F.lit("")).alias("host"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("2"), text).alias("h2")]
-
-
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def document_lines(docs: DataFrame) -> DataFrame:
-    """host, h1, h2 and for each line with a word: k (its place among these), line, before, after (hashes) and n_words.
+def normal(line: Column) -> Column:
+    """A line with A-Z in lower case, white space collapsed to single blanks and none at its ends."""
+    return F.trim(F.regexp_replace(lower_ascii(line), r"[\x20\x09-\x0D]+", " "))
 
-    Hashed is the normalised line: A-Z in lower case, white space collapsed to single blanks, ends trimmed.
-    """
-    clean = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(lower_ascii(x), r"[\x20\x09-\x0D]+", " ")))
-    pairs = F.transform(F.filter(clean, lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n")))
-    told = let(pairs, lambda p: F.transform(p, lambda x, i: F.struct(i.alias("k"), x["h"].alias("line"), F.get(p, i - 1)["h"].alias("before"), F.get(p, i + 1)["h"].alias("after"), x["n"].cast("long").alias("n_words"))))
-    return docs.select(*identity(), F.explode(told).alias("_x")).select("host", "h1", "h2", "_x.*")
 
+def host_of(source: str = "source") -> Column:
+    """Null sources are a host of their own, named by the empty string."""
+    return F.coalesce(source, F.lit(""))
 
-def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_spread: float = MIN_SPREAD) -> DataFrame:
-    """host and line of the lines above the limits.
 
-    Documents are counted once a text, so that copies don't make their lines boilerplate; and lines that stand
-    between the same lines nearly everywhere, as in near copies of one document, are left to near-duplicate removal.
-    """
-    hosts = lines.where("k = 0").select("host", "h1", "h2").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    spread = lines.groupBy("host", "line").agg(F.count_distinct("h1", "h2").alias("n_docs"), F.count_distinct(F.struct("before", "after")).alias("n_places"))
-    return spread.where(F.col("n_docs") > min_docs).join(hosts, "host").where((F.col("n_docs") > max_share * F.col("host_docs")) & (F.col("n_places") > min_spread * F.col("n_docs"))).select("host", "line")
+def line_hashes(text: Column) -> Column:
+    """The hashes of a text's normalised lines with a word, in order."""
+    clean = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), normal)
+    return F.transform(F.filter(clean, lambda x: x != ""), lambda x: F.xxhash64(x))
 
 
-def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_spread: float = MIN_SPREAD) -> DataFrame:
-    """host, h1, h2, n_cut (words in boilerplate lines) and cut (those lines' places among lines with a word), for texts with such lines."""
-    lines = document_lines(docs)
-    frequent = written(frequent_lines(lines, min_docs, max_share, min_spread), "quality")  # so that both sides of the join are dealt anew and hot lines can be split
-    hit = lines.join(frequent, ["host", "line"]).groupBy("host", "h1", "h2", "k").agg(F.max("n_words").alias("n_words"))
-    return hit.groupBy("host", "h1", "h2").agg(F.sum("n_words").alias("n_cut"), F.sort_array(F.collect_list("k")).alias("cut"))
+def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """host and frequent, the hashes of its lines that more than min_docs documents and more than max_share of its documents have.
 
-
-def judged(docs: DataFrame, min_left: float = MIN_LEFT) -> DataFrame:
+    A document counts once for each line it has; every row is a document. A host has fewer than 1 / max_share times
+    its mean number of lines of these, whatever its size. Counts are partial before they are dealt, so that neither
+    a hot host nor a hot line meets in one task.
+    """
+    hosts = docs.groupBy(host_of().alias("host")).agg(F.count(F.lit(1)).alias("host_docs"))
+    lines = docs.select(host_of().alias("host"), F.explode(F.array_distinct(line_hashes(F.col("text")))).alias("line"))
+    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > min_docs)
+    above = counts.join(hosts, "host").where(F.col("n_docs") > max_share * F.col("host_docs"))
+    return written(above.groupBy("host").agg(F.collect_list("line").alias("frequent")), "quality")
+
+
+def weighed(docs: DataFrame, min_left: float, min_docs: int, max_share: float) -> DataFrame:
+    """row, the base measures, hit (hashes of the document's lines above the limits), n_cut (their words) and kept."""
+    rows = docs.select(whole_row(docs), host_of().alias("host"), "text")
+    rows = rows.join(frequent_lines(docs, min_docs, max_share), "host", "left")
+    rows = rows.withColumn("hit", F.when(F.col("frequent").isNull(), F.array().cast("array<bigint>")).otherwise(F.array_intersect(line_hashes(F.col("text")), F.col("frequent"))))
+    cut = F.filter(F.transform(F.split(F.col("text"), "\n"), normal), lambda x: F.array_contains("hit", F.xxhash64(x)))
+    words = F.aggregate(cut, F.lit(0).cast("long"), lambda n, x: n + F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
+    rows = rows.withColumn("n_cut", F.when(F.size("hit") > 0, words).otherwise(F.lit(0).cast("long")))
+    rows = measured(rows, "row", "hit", "n_cut")
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_cut") >= min_left * F.col("n_words")))
+
+
+def judged(docs: DataFrame, min_left: float = MIN_LEFT, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """Contract columns for documents, n_cut (words in removed lines) and kept.
 
-    Null text: no words, so base_failed; null source: a host of its own; repeated rows and copies get one verdict;
-    an empty table stays empty; other columns don't matter. A document is rejected as depleted when less than
-    min_left of its words stand outside of lines that too many documents of its host have.
+    Null text: no words, so base_failed; null source: a host of its own; every row is a document, repeated ones and
+    copies too; an empty table stays empty; other columns, whatever their names, don't matter. A document is
+    rejected as depleted when less than min_left of its words stand outside of lines above the limits.
     """
-    rows = measured(docs.select("doc_id", "text", *identity()), "doc_id", "host", "h1", "h2")
-    rows = rows.join(verdicts(docs), ["host", "h1", "h2"], "left").withColumn("n_cut", F.coalesce("n_cut", F.lit(0)).cast("long"))
-    kept = ~F.col("base_failed") & (F.col("n_words") - F.col("n_cut") >= min_left * F.col("n_words"))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_cut")
-
-
-def filtered(docs: DataFrame, min_left: float = MIN_LEFT) -> DataFrame:
-    """The documents that are kept, without their boilerplate lines; n_chars, if there, counts what is left. Columns as in docs."""
-    own = docs.select(*[F.col(c) for c in docs.columns], F.struct(*identity()).alias("_id"))
-    cut = verdicts(docs).select(F.struct("host", "h1", "h2").alias("_cut_id"), "n_cut", F.col("cut").alias("_cut"))
-    rows = own.join(cut, F.col("_id") == F.col("_cut_id"), "left")
-    rows = measured(rows, *docs.columns, "n_cut", "_cut")
-    rows = rows.where(~F.col("base_failed") & (F.col("n_words") - F.coalesce("n_cut", F.lit(0)) >= min_left * F.col("n_words")))
-    lines = F.split("text", "\n")
-
-    def left(x: Column) -> Column:
-        full = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: F.translate(x[i], BLANKS, "") != "")
-        gone = let(full, lambda at: F.transform(F.col("_cut"), lambda k: at[k]))
-        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone), lambda i: x[i]), "\n")
-
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(let(lines, left))
-    rows = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    rows = weighed(docs, min_left, min_docs, max_share)
+    return rows.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_cut")
+
+
+def filtered(docs: DataFrame, min_left: float = MIN_LEFT, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """The documents that are kept, without their lines above the limits; n_chars, if there, counts what is left. Columns as in docs, as judged()."""
+    rows = kept_where(weighed(docs, min_left, min_docs, max_share), F.col("kept"))
+    own = F.col("row.text")
+    left = F.array_join(F.filter(F.split(own, "\n"), lambda x: ~F.array_contains("hit", F.xxhash64(normal(x)))), "\n")
+    rows = rows.select("row", F.when(F.size("hit") > 0, left).otherwise(own).alias("left"))
+    return rows.select(*unpacked(docs, text=F.col("left")))

@@ -27,14 +27,14 @@ again AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1,
 l AS (SELECT rid, k, line FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM d)
       WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM l GROUP BY rid),
-base AS (SELECT d.rid, d.host, d.t, d.doc_id, len(w.w) AS n_words, length({BLANK.format('t', '')}) AS word_chars,
+base AS (SELECT d.rid, d.doc_id, len(w.w) AS n_words, length({BLANK.format('t', '')}) AS word_chars,
       length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words
       FROM d JOIN w USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN again USING (rid)),
-nl AS (SELECT rid, host, t, k, line, lag(line) OVER o AS before, lead(line) OVER o AS after, len(string_split(line, ' ')) AS n
-      FROM (SELECT l.rid, d.host, d.t, l.k, trim(translate({BLANK.format('l.line', ' ')}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS line FROM l JOIN d USING (rid)) WINDOW o AS (PARTITION BY rid ORDER BY k)),
-spread AS (SELECT host, line, count(DISTINCT t) AS n_docs, count(DISTINCT row(before, after)) AS n_places FROM nl GROUP BY ALL),
-hosts AS (SELECT host, count(DISTINCT t) AS n FROM nl GROUP BY host),
-freq AS (SELECT host, line FROM spread JOIN hosts USING (host) WHERE n_docs > {quality.MIN_DOCS} AND n_docs > {quality.MAX_SHARE} * n AND n_places > {quality.MIN_SPREAD} * n_docs),
+nl AS (SELECT rid, host, line, len(string_split(line, ' ')) AS n
+      FROM (SELECT l.rid, d.host, trim(translate({BLANK.format('l.line', ' ')}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS line FROM l JOIN d USING (rid))),
+per_line AS (SELECT host, line, count(DISTINCT rid) AS n_docs FROM nl GROUP BY ALL),
+hosts AS (SELECT host, count(*) AS n FROM d GROUP BY host),
+freq AS (SELECT host, line FROM per_line JOIN hosts USING (host) WHERE n_docs > {quality.MIN_DOCS} AND n_docs > {quality.MAX_SHARE} * n),
 cut AS (SELECT rid, sum(n) AS n FROM nl JOIN freq USING (host, line) GROUP BY rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - coalesce(cut.n, 0) >= {quality.MIN_LEFT} * n_words AS kept,
