@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, unpacked, whole_row, written
 
 GRAM, PERCENT = 4, 85
 #: Share of its tokens that a document's prefix has over the shortest one: partners must share so many more tokens in it.
 #: Used on all documents; of those that pass, all tokens are counted.
 SLACK = 0.05
-#: Rounds in which a document is compared with one partner before all pairs that are still open are.
-ROUNDS = 3
+#: Times that a document's family is replaced by its family's; any number gives the same result.
+JUMPS = 3
 
 
 def shingles(text: Column, gram: int = GRAM) -> Column:
@@ -43,9 +43,10 @@ def needed(n: Column, percent: int, slack: float) -> Column:
     return extra(least(n, percent), slack)
 
 
-def other_order(token: Column) -> Column:
-    """A second order of the tokens, independent of the first."""
-    return F.xxhash64(token, F.lit("order"))
+def other_prefixes(tokens: Column, length: Column) -> list[Column]:
+    """The first tokens of a set under two more orders, independent of each other and of the tokens themselves: second and third."""
+    order = lambda name: F.slice(F.sort_array(F.transform(tokens, lambda t: F.xxhash64(t, F.lit(name)))), F.lit(1), length.cast("int")).alias(name)
+    return [order("second"), order("third")]
 
 
 def sharing(rows: DataFrame, key: list[str], need: Column) -> DataFrame:
@@ -71,66 +72,124 @@ def components(links: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, common (tokens in both) and similar of pairs (a, b) whose prefixes under the second hash order meet; others are none."""
-    left = sets.select(F.col("uid").alias("a"), F.col("tokens").alias("x"), F.col("second").alias("p"))
-    right = sets.select(F.col("uid").alias("b"), F.col("tokens").alias("y"), F.col("second").alias("q"))
-    both = pairs.join(left, "a").join(right, "b")
-    both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
-    similar = F.arrays_overlap("p", "q") & (100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common")))
-    return both.select("a", "b", "common", similar.alias("similar"))
+def families(buckets: DataFrame) -> DataFrame:
+    """uid and family of buckets (t, uid): each set follows the first, by a hash, of all that it shares a bucket with, and that one in turn.
 
+    Near copies of one set so come together. Families only bring sets near that are cheap to compare; no result hangs on them.
+    """
+    rank = F.struct(F.xxhash64("uid").alias("rank"), "uid")
+    first = buckets.groupBy("t").agg(F.min(rank).alias("v"))
+    follows = buckets.join(first, "t").groupBy("uid").agg(F.min("v").alias("v")).select("uid", F.col("v.uid").alias("family"))
+    follows = written(follows, "ngram-follows")
+    for _ in range(JUMPS):
+        onward = follows.select(F.col("uid").alias("family"), F.col("family").alias("next"))
+        follows = written(follows.join(onward, "family").select("uid", F.col("next").alias("family")), "ngram-follows")
+    return follows
+
+
+def centred(members: DataFrame, percent: int) -> DataFrame:
+    """uid, family, d and w of members (uid, family, n, shared).
+
+    A family's centre holds the tokens that more than half of its members have; d are the tokens in which a set
+    differs from it. With H differing tokens, x and y are linked when (100 + p) H <= (100 - p) (n_x + n_y), and
+    H = |d_x| + |d_y| - 2 |d_x & d_y|. So with w = (100 + p) |d| - (100 - p) n they are when
+    w_x + w_y <= 2 (100 + p) |d_x & d_y|: near copies are told by the little in which they differ.
+    Tokens that no other set has lie in no d but count in w.
+    """
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    common = members.select("family", F.explode("shared").alias("t")).groupBy("family", "t").agg(F.count(F.lit(1)).alias("c"))
+    centres = common.join(sizes, "family").where("2 * c > size").groupBy("family").agg(F.collect_list("t").alias("centre"))
+    rows = members.join(written(centres, "ngram-centres"), "family", "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<bigint>")))
+    rows = rows.withColumn("d", F.concat(F.array_except("shared", "centre"), F.array_except("centre", "shared")))
+    w = F.lit(2 * percent) * F.col("n") + F.lit(100 + percent) * (F.size("d") - F.size("shared"))
+    return written(rows.select("uid", "family", w.cast("long").alias("w"), "d"), "ngram-centred")
 
-def linked(sets: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame:
-    """node and label of the components of sets (uid, n, tokens sorted by hash), for those with a partner.
 
-    Orders: the hash (its prefixes must share enough), then rarity among the tokens that several sets have (partners
-    meet in one of the rarest, which names the candidates), then a second hash (prefixes must meet), then all tokens.
+def confirmed(pairs: DataFrame, sets: DataFrame, unit: int) -> DataFrame:
+    """Those of pairs (a, b) that are linked, for sets (uid, w, tokens, length): w_a + w_b <= unit * tokens in both.
+
+    The pairs met in the first order's prefixes; of them only those whose prefixes of `length` tokens meet under
+    the second and under the third order as well are left before any set is joined in.
+    """
+    pairs = written(pairs.distinct(), "ngram-pairs")
+    there = written(sets.join(pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct(), "uid"), "ngram-there")
+    starts = there.select("uid", *other_prefixes(F.col("tokens"), F.col("length")))
+    one = starts.select(F.col("uid").alias("a"), F.col("second").alias("a2"), F.col("third").alias("a3"))
+    both = pairs.join(one, "a").join(starts.withColumnRenamed("uid", "b"), "b").where(F.arrays_overlap("a2", "second") & F.arrays_overlap("a3", "third")).select("a", "b")
+    left = there.select(F.col("uid").alias("a"), F.col("w").alias("v"), F.col("tokens").alias("x"))
+    full = written(both, "ngram-met").join(left, "a").join(there.select(F.col("uid").alias("b"), "w", "tokens"), "b")
+    return full.where(F.col("v") + F.col("w") <= unit * F.size(F.array_intersect("x", "tokens"))).select("a", "b")
+
+
+def within_families(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that span the same components as all links inside of families, of rows as from centred().
+
+    Pairs with w_x + w_y <= 0 need not share any token of d. The member with the least w is linked with all that are in
+    such a pair, so links with that one say as much as all of them. Every other pair has a member that is not linked
+    with it and must share tokens of d: enough of them to lie in prefixes, rarest first, and enough from the first one on.
+    """
+    unit = 2 * (100 + percent)
+    least_w = rows.groupBy("family").agg(F.min(F.struct("w", "uid")).alias("v")).select("family", F.col("v.w").alias("least"), F.col("v.uid").alias("main"))
+    rows = rows.join(written(least_w, "ngram-main"), "family").withColumn("outer", (F.col("uid") != F.col("main")) & (F.col("w") + F.col("least") > 0))
+    rows = rows.withColumn("label", F.when(F.col("outer"), F.col("uid")).otherwise(F.col("main")))
+    stars = rows.where(~F.col("outer") & (F.col("uid") != F.col("main"))).select(F.col("uid").alias("a"), F.col("main").alias("b"))
+    outside = rows.where("outer").groupBy("family").agg(F.min("w").alias("least_outer"))
+    rows = rows.join(written(outside, "ngram-outer"), "family")
+    need = F.greatest(F.lit(1), F.ceil((F.col("w") + F.when(F.col("outer"), F.col("least")).otherwise(F.col("least_outer"))) / unit)).cast("int")
+    rows = written(rows.where(F.size("d") >= need).select("uid", "family", "w", "label", need.alias("need"), "d"), "ngram-open")
+    tokens = rows.select("uid", "family", F.explode("d").alias("t"))
+    counts = written(tokens.groupBy("family", "t").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "ngram-counts")
+    d = tokens.join(counts, ["family", "t"]).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("d"))
+    rows = rows.drop("d").join(d, "uid").where(F.size("d") >= F.col("need")).withColumn("d", F.transform("d", lambda x: x["t"]))
+    rows = written(rows.withColumn("length", F.size("d") - F.col("need") + 1), "ngram-open")
+    buckets = rows.select("uid", "family", "w", "label", F.size("d").alias("s"), F.posexplode(F.expr("slice(d, 1, length)")).alias("k", "t"))
+    mixed = buckets.groupBy("family", "t").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("family", "t")
+    buckets = written(buckets.join(written(mixed, "ngram-mixed"), ["family", "t"], "left_semi"), "ngram-buckets")
+    others = buckets.select("family", "t", F.col("uid").alias("b"), F.col("w").alias("bw"), F.col("label").alias("bl"), (F.col("s") - F.col("k")).alias("left"))
+    enough = unit * F.least(F.col("s") - F.col("k"), F.col("left")) >= F.col("w") + F.col("bw")
+    pairs = buckets.join(others, ["family", "t"]).where((F.col("uid") < F.col("b")) & (F.col("label") != F.col("bl")) & enough).select(F.col("uid").alias("a"), "b")
+    return written(stars, "ngram-stars").unionByName(confirmed(pairs, rows.select("uid", "w", F.col("d").alias("tokens"), "length"), unit))
+
+
+def between_families(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links (a, b) of sets (uid, n, tokens, least) that share a bucket and are of different families; buckets (t, uid, family, n, s, k)."""
+    sizes = buckets.groupBy("t", "family").agg(F.count(F.lit(1)).alias("c"))
+    largest = sizes.groupBy("t").agg(F.max(F.struct("c", "family")).alias("v"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    largest = written(largest.select("t", F.col("v.family").alias("main")), "ngram-largest")
+    mixed = written(buckets.join(largest, "t"), "ngram-mixed")  # pairs of the largest family's members are none of these
+    minor = mixed.where("family <> main").select("t", F.col("uid").alias("b"), F.col("family").alias("bf"), F.col("n").alias("m"), (F.col("s") - F.col("k")).alias("left"))
+    enough = (100 + percent) * F.least(F.col("s") - F.col("k"), F.col("left")) >= percent * (F.col("n") + F.col("m"))
+    once = (F.col("family") == F.col("main")) | (F.col("uid") < F.col("b"))
+    fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    pairs = mixed.join(minor, "t").where((F.col("family") != F.col("bf")) & once & fits & enough).select(F.least("uid", "b").alias("a"), F.greatest("uid", "b").alias("b"))
+    length = F.size("tokens") - F.col("least") + 1
+    return confirmed(pairs, sets.select("uid", (2 * percent * F.col("n")).cast("long").alias("w"), "tokens", length.alias("length")), 2 * (100 + percent))
+
+
+def linked(sets: DataFrame, percent: int) -> DataFrame:
+    """node and label of the components of different sets (uid, n, tokens sorted by hash), for those with a partner.
 
-    Members of a bucket are first compared with one of them each, a few times, and joined with those they are similar
-    to. Then, members of the bucket's largest component being joined already, only pairs of different components are
-    left, and of these only those that could be similar: x and y share no tokens that they alone have, and, having
-    c_x and c_y tokens in common with the same pivot, at most min(c_x, c_y) of the pivot's and min(s_x - c_x, s_y - c_y)
-    others (s: tokens that several sets have). All that are left are compared.
+    Orders: the hash (its prefixes must share enough), then rarity among the tokens that several sets have (partners
+    meet in one of the rarest, which names the candidates, and may be no nearer the ends of their sets than what they
+    must share), then two more hashes (prefixes must meet under both), then all tokens. Only links are kept, never
+    all pairs of a group: near copies of one set are told by how they differ from what most of them have.
     """
-    shared = sharing(sets.select("uid", "n", "tokens"), ["uid"], least(F.col("n"), percent))
-    rare = shared.select("uid", "n", F.size("shared").alias("s"), F.explode(F.slice("shared", 1, (F.size("shared") - least(F.col("n"), percent) + 1).cast("int"))).alias("t"))
-    buckets = written(rare, "ngram-buckets")
-    second = F.slice(F.sort_array(F.transform("tokens", other_order)), 1, (F.col("n") - least(F.col("n"), percent) + 1).cast("int"))
-    sets = written(sets.join(shared.select("uid"), "uid", "left_semi").withColumn("second", second), "ngram-sets")
-    fits = lambda m, n: (100 * F.least(m, n) >= percent * F.greatest(m, n))
-    enough = lambda o, m, n: 100 * o >= percent * (m + n - o)
-    links, labels, pivoted = None, None, None
-    own = buckets.withColumn("label", F.col("uid"))
-    for number in range(rounds):
-        rank = F.xxhash64("uid", F.lit(number))  # the same in every bucket, so that a group of copies agrees on its pivot
-        pivots = own.groupBy("t").agg(F.min(F.struct(rank.alias("rank"), "uid", "n", "s", "label")).alias("v"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        pivots = written(pivots.select("t", F.col("v.rank").alias("rank"), F.col("v.uid").alias("b"), F.col("v.n").alias("m"), F.col("v.s").alias("bs"), F.col("v.label").alias("bl")), "ngram-pivots")
-        near = own.join(pivots, "t").where((F.col("label") != F.col("bl")) & fits(F.col("n"), F.col("m")) & enough(F.least("s", "bs"), F.col("n"), F.col("m")))
-        pairs = near.groupBy("uid").agg(F.min_by("b", "rank").alias("b")).select(F.col("uid").alias("a"), "b")
-        found = written(compared(pairs, sets, percent), "ngram-compared")
-        new = found.where("similar").select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        if number == 0:
-            pivoted = found.select(F.col("a").alias("uid"), F.col("b").alias("pivot"), F.col("common").alias("c"))
-            pivoted = pivoted.unionByName(found.select("b").distinct().join(buckets.select(F.col("uid").alias("b"), "s").distinct(), "b").select(F.col("b").alias("uid"), F.col("b").alias("pivot"), F.col("s").alias("c")))
-            pivoted = written(pivoted.groupBy("uid").agg(F.min_by(F.struct("pivot", "c"), F.when(F.col("uid") == F.col("pivot"), 0).otherwise(1)).alias("v")).select("uid", "v.*"), "ngram-pivoted")
-        labels = components(links, "ngram")
-        links = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))  # says the same in fewer links
-        own = written(buckets.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid")), "ngram-labelled")
-    sizes = own.groupBy("t", "label").agg(F.count(F.lit(1)).alias("k"))
-    largest = written(sizes.groupBy("t").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("t", "main"), "ngram-main")
-    own = written(own.join(largest, "t").join(pivoted, "uid", "left"), "ngram-open")
-    met = own.groupBy("uid").agg(F.collect_list("t").alias("buckets"))
-    own = written(own.join(written(met, "ngram-met"), "uid"), "ngram-open")
-    minor = written(own.where("label <> main").select("t", F.col("uid").alias("b"), F.col("n").alias("m"), F.col("s").alias("bs"), F.col("label").alias("bl"), F.col("pivot").alias("bp"), F.col("c").alias("bc"), F.col("buckets").alias("bb")), "ngram-minor")
-    same = F.coalesce(F.col("pivot") == F.col("bp"), F.lit(False))
-    most = F.when(same, F.least(F.col("c"), F.col("bc")) + F.greatest(F.lit(0), F.least(F.col("s") - F.col("c"), F.col("bs") - F.col("bc")))).otherwise(F.least("s", "bs"))
-    once = F.array_min(F.array_intersect("buckets", "bb")) == F.col("t")  # of the buckets that both are in only the first names the pair
-    pairs = own.select("t", F.col("uid").alias("a"), "n", "s", "label", "pivot", "c", "buckets").join(minor, "t").where((F.col("label") != F.col("bl")) & fits(F.col("n"), F.col("m")) & enough(most, F.col("n"), F.col("m")) & once)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = compared(written(pairs, "ngram-pairs"), sets, percent).where("similar").select("a", "b")
-    return components(links.unionByName(written(rest, "ngram-links")), "ngram-all")
+    shared = sharing(sets, ["uid"], least(F.col("n"), percent)).withColumn("least", least(F.col("n"), percent).cast("int"))
+    shared = written(shared.withColumn("s", F.size("shared")), "ngram-shared")
+    rare = shared.select("uid", "n", "s", F.posexplode(F.expr("slice(shared, 1, s - least + 1)")).alias("k", "t"))
+    several = written(rare.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t"), "ngram-several")
+    buckets = written(rare.join(several, "t"), "ngram-buckets")
+    family = families(buckets.select("t", "uid"))
+    members = shared.join(family, "uid")
+    inside = within_families(centred(members.select("uid", "family", "n", "shared"), percent), percent)
+    across = between_families(buckets.join(family, "uid"), members.select("uid", "n", F.col("shared").alias("tokens"), "least"), percent)
+    return components(written(inside.unionByName(across), "ngram-links"), "ngram")
+
+
+def identified(docs: DataFrame, *columns: Column) -> DataFrame:
+    """The columns given, doc_id and h1, h2 (the text's hash), by which a document is told."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(*columns, "doc_id", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("2"), text).alias("h2"))
 
 
 def clustered(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
@@ -139,34 +198,38 @@ def clustered(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> Data
     Documents are linked when their shingle sets' Jaccard similarity is percent / 100 at least; component_id is
     the smallest doc_id reachable by links, its own included. Null texts and texts without words have empty sets
     and no links, not even with each other. Null doc_ids take part; a component of these alone has a null id.
-    Rows repeated are copies like others. Other columns don't matter; an empty table stays empty.
+    Rows repeated are copies like others. Other columns, whatever their names, don't matter; an empty table stays
+    empty. Documents with equal sets are one from the start, told by 128 bits of their set's hash.
     """
-    text = F.coalesce("text", F.lit(""))
-    own = docs.select("doc_id", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("2"), text).alias("h2"), shingles(F.col("text"), gram).alias("s"))
+    own = identified(docs, shingles(F.col("text"), gram).alias("s"))
     # columns used twice stay computed once
-    own = own.select("doc_id", "h1", "h2", F.size("s").alias("n"), F.transform(prefix(F.col("s"), percent, SLACK), lambda t: F.shiftright(t, 24)).alias("tokens"))
+    tokens = F.transform(prefix(F.col("s"), percent, SLACK), lambda t: F.shiftright(t, 24)).alias("tokens")
+    own = own.select("doc_id", "h1", "h2", F.size("s").alias("n"), F.xxhash64("s").alias("s1"), F.xxhash64(F.lit("2"), "s").alias("s2"), tokens)
     rows = written(own.withColumn("uid", F.monotonically_increasing_id()), "ngram-rows")
-    passed = sharing(rows.select("uid", "n", "tokens"), ["uid"], needed(F.col("n"), percent, SLACK)).select("uid")
-    classes = rows.select("doc_id", "h1", "h2", "uid", "n").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "uid")).alias("r"), F.count(F.lit(1)).alias("k"))
-    classes = written(classes.select("h1", "h2", "n", "low", "k", F.col("r.uid").alias("uid")), "ngram-classes")
-    alive = written(rows.select("uid", "doc_id", "h1", "h2").join(classes.select("uid"), "uid", "left_semi").join(passed, "uid", "left_semi"), "ngram-alive")
-    texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64(text).alias("g1"), F.xxhash64(F.lit("2"), text).alias("g2"), "text")
-    texts = texts.join(alive, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("g1") == F.col("h1")) & (F.col("g2") == F.col("h2"))).select("uid", shingles(F.col("text"), gram).alias("tokens")).dropDuplicates(["uid"])
-    sets = written(texts.withColumn("n", F.size("tokens")), "ngram-sets")
-    labels = linked(sets, percent)
+    classes = rows.select("doc_id", "s1", "s2", "uid", "n").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("low"), F.min("uid").alias("uid"))
+    classes = written(classes, "ngram-classes")
+    copies = written(rows.select("uid").join(classes.select("uid"), "uid", "left_anti"), "ngram-copies")
+    passed = written(sharing(rows.select("uid", "n", "tokens").join(copies, "uid", "left_anti"), ["uid"], needed(F.col("n"), percent, SLACK)).select("uid"), "ngram-passed")
+    alive = written(rows.select("uid", "doc_id", "h1", "h2").join(passed, "uid", "left_semi"), "ngram-alive").withColumnRenamed("doc_id", "d")
+    alive = alive.select("uid", "d", F.col("h1").alias("g1"), F.col("h2").alias("g2"))
+    texts = identified(docs, F.col("text")).join(alive, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
+    sets = texts.select("uid", shingles(F.col("text"), gram).alias("tokens")).dropDuplicates(["uid"])
+    labels = linked(written(sets.withColumn("n", F.size("tokens")), "ngram-sets"), percent)
     groups = classes.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     lowest = groups.groupBy("label").agg(F.min("low").alias("component_id"))
-    told = written(groups.join(lowest, "label").select("h1", "h2", "n", "component_id"), "ngram-told")
-    ids = rows.select("doc_id", "h1", "h2", "n").join(told.select("h1", "h2", "component_id"), ["h1", "h2"])
+    told = written(groups.join(lowest, "label").select("s1", "s2", "component_id"), "ngram-told")
+    ids = rows.select("doc_id", "h1", "h2", "n", "s1", "s2").join(told, ["s1", "s2"])
     return ids.select("doc_id", "h1", "h2", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_each(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of every component: that of the smallest doc_id, of rows repeated with it one. Documents without words all stay."""
+    """docs with one row of every component: that of the smallest doc_id, of rows repeated with it one. Documents without words all stay.
+
+    Columns as in docs, whatever their names.
+    """
     found = clustered(docs, gram, percent)
-    keep = written(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("h1").alias("_1"), F.col("h2").alias("_2"), (F.col("n_shingles") == 0).alias("_empty")).distinct(), "ngram-keep")
-    text = F.coalesce("text", F.lit(""))
-    own = docs.select(*[F.col(c) for c in docs.columns], F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit("2"), text).alias("_h2"))
-    rows = own.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h1") == F.col("_1")) & (F.col("_h2") == F.col("_2")))
-    empty = rows.where("_empty").select(*docs.columns)
-    return rows.where("not _empty").dropDuplicates(["doc_id", "_h1", "_h2"]).select(*docs.columns).unionByName(empty)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_id"), F.col("h1").alias("k1"), F.col("h2").alias("k2"), (F.col("n_shingles") == 0).alias("empty")).distinct()
+    keep = written(keep, "ngram-keep")
+    rows = identified(docs, whole_row(docs)).join(keep, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
+    full = rows.where("not empty").dropDuplicates(["doc_id", "h1", "h2"])
+    return full.select(*unpacked(docs)).unionByName(rows.where("empty").select(*unpacked(docs)))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, WORD, kept_where, let, unpacked, whole_row, written
+from .common import BLANKS, kept_where, let, unpacked, whole_row, written
 
 #: A line is boilerplate of its host if more documents than both have it.
 MIN_DOCS, MAX_SHARE = 10, 0.02
 #: A document is depleted if less than this share of its words is left.
 MIN_LEFT = 0.3
 SYMBOLS = "#*$%&|<>"
+#: What separates words.
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def with_repeats(rows: DataFrame) -> DataFrame:
@@ -33,7 +35,7 @@ def measured(rows: DataFrame, *keep: str) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(BLANKS)) != "")
     dup = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     symbols = F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", ""))
-    rows = rows.select(*keep, symbols.cast("long").alias("n_symbols"), dup.cast("long").alias("n_dup_lines"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_w"))
+    rows = rows.select(*keep, symbols.cast("long").alias("n_symbols"), dup.cast("long").alias("n_dup_lines"), F.array_remove(F.split(text, SPACE), "").alias("_w"))
     rows = with_repeats(rows).withColumn("n_words", F.size("_w").cast("long")).withColumn("word_chars", F.length(F.array_join("_w", "")).cast("long")).drop("_w")
     return rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
@@ -44,7 +46,7 @@ def lower_ascii(text: Column) -> Column:
 
 def normal(line: Column) -> Column:
     """A line with A-Z in lower case, white space collapsed to single blanks and none at its ends."""
-    return F.trim(F.regexp_replace(lower_ascii(line), r"[\x20\x09-\x0D]+", " "))
+    return F.trim(F.regexp_replace(lower_ascii(line), SPACE, " "))
 
 
 def host_of(source: str = "source") -> Column:
