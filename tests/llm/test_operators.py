@@ -300,3 +300,52 @@ def test_contexts_give_identifiers_away(spark):
     assert all("id:" in got[20 + i] for i in range(3)) and not any("id:" in got[23 + i] for i in range(3))
     red = {r["doc_id"]: r["text"] for r in pii.redacted(docs).collect()}
     assert "<EMAIL>" in red[0] and "@" not in red[0] and "<ID>" in red[20] and red[23] == texts[23]
+
+
+def test_join_of_near_copies_of_near_copies(spark):
+    """Families whose members lie on both sides of the limit, and copies of members far from the first text."""
+    random.seed(21)
+    texts = []
+    for family in range(3):
+        base = words(400 + family, 90).split()
+        for _ in range(40):
+            own = list(base)
+            for _ in range(random.randrange(7)):
+                own[random.randrange(len(own))] = f"new{random.randrange(25)}"
+            texts.append(" ".join(own))
+        far = list(base)
+        for k in range(0, 90, 12):
+            far[k] = f"far{k}"
+        for _ in range(25):
+            own = list(far)
+            for _ in range(random.randrange(4)):
+                own[random.randrange(len(own))] = f"new{random.randrange(25)}"
+            texts.append(" ".join(own))
+    random.shuffle(texts)
+    for gram, percent in ((4, 85), (5, 80)):
+        sets = [shingled(t, gram) for t in texts]
+        label = joined(sets, percent)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.clustered(table(spark, texts), gram, percent).collect()}
+        assert got == {i: (len(s), label[i]) for i, s in enumerate(sets)}
+
+
+def shingled(text, gram):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return {tuple(w[i : i + gram]) for i in range(len(w) - gram + 1)} if len(w) >= gram else {tuple(w)} if w else set()
+
+
+def joined(sets, percent):
+    """The smallest index reachable by links, for each set, by comparing all pairs."""
+    label = list(range(len(sets)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                label[b] = a
+    return [root(i) for i in range(len(sets))]

@@ -67,6 +67,23 @@ def kept_where(rows: DataFrame, condition: Column) -> DataFrame:
     return rows.withColumn("_task", F.spark_partition_id()).where(condition & (F.col("_task") >= 0)).drop("_task")
 
 
+#: Bits of a bitmap of hashes: 2 MB, whatever goes into it.
+BITS = 1 << 24
+
+
+def perhaps_in(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """All rows whose key (a hash) is among wanted, and few others while wanted is small beside BITS: for use before a join with wanted.
+
+    The bitmap has a bit for each value of a hash's last digits, so its broadcast is bounded however many are wanted.
+    """
+    place = lambda c: F.pmod(c, F.lit(BITS)) + 1
+    bits = wanted.groupBy(F.bitmap_bucket_number(place(wanted_key)).alias("b_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(wanted_key))).alias("b_bits"))
+    at = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substring("b_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    there = rows.join(F.broadcast(bits), F.bitmap_bucket_number(place(key)) == F.col("b_bucket"))
+    return there.where((F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1)).select(*rows.columns)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, unpacked, whole_row, written
+from .common import WORD, perhaps_in, unpacked, whole_row, written
 
 GRAM, PERCENT = 4, 85
 #: Share of its tokens that a document's prefix has over the shortest one: partners must share so many more tokens in it.
 #: Used on all documents; of those that pass, all tokens are counted.
-SLACK = 0.05
+SLACK = 0.1
 #: Times that a document's family is replaced by its family's; any number gives the same result.
 JUMPS = 3
 
@@ -49,12 +49,26 @@ def other_prefixes(tokens: Column, length: Column) -> list[Column]:
     return [order("second"), order("third")]
 
 
-def sharing(rows: DataFrame, key: list[str], need: Column) -> DataFrame:
-    """key and shared (tokens that others have too, rarest first) of the rows (key, n, tokens) that share at least `need` of these."""
-    tokens = rows.select(*key, "n", F.explode("tokens").alias("t"))
-    counts = written(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "ngram-counts")  # so that both sides of the join are dealt anew and frequent tokens can be split
-    found = tokens.join(counts, "t").groupBy(*key, "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("s"))
-    return found.where(F.size("s") >= need).select(*key, "n", F.transform("s", lambda x: x["t"]).alias("shared"))
+def several(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tokens of rows (uid, tokens), one a row, and t and c of those that more than one row has."""
+    tokens = rows.select("uid", F.explode("tokens").alias("t"))
+    # written, so that both sides of a join are dealt anew and frequent tokens can be split
+    return tokens, written(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "ngram-counts")
+
+
+def sharing(rows: DataFrame, need: Column) -> DataFrame:
+    """uid of the rows (uid, n, tokens) that share at least `need` of their tokens with others."""
+    tokens, counts = several(rows)
+    found = tokens.join(counts.select("t"), "t").groupBy("uid").agg(F.count(F.lit(1)).alias("s"))
+    return rows.select("uid", "n").join(found, "uid").where(F.col("s") >= need).select("uid")
+
+
+def with_shared(rows: DataFrame, need: Column) -> DataFrame:
+    """uid, n and shared (tokens that others have too, rarest first) of the rows (uid, n, tokens) that share at least `need` of these."""
+    tokens, counts = several(rows)
+    found = tokens.join(counts, "t").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("s"))
+    found = rows.select("uid", "n").join(found, "uid").where(F.size("s") >= need)
+    return found.select("uid", "n", F.transform("s", lambda x: x["t"]).alias("shared"))
 
 
 def components(links: DataFrame, name: str) -> DataFrame:
@@ -174,11 +188,11 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
     must share), then two more hashes (prefixes must meet under both), then all tokens. Only links are kept, never
     all pairs of a group: near copies of one set are told by how they differ from what most of them have.
     """
-    shared = sharing(sets, ["uid"], least(F.col("n"), percent)).withColumn("least", least(F.col("n"), percent).cast("int"))
+    shared = with_shared(sets, least(F.col("n"), percent)).withColumn("least", least(F.col("n"), percent).cast("int"))
     shared = written(shared.withColumn("s", F.size("shared")), "ngram-shared")
     rare = shared.select("uid", "n", "s", F.posexplode(F.expr("slice(shared, 1, s - least + 1)")).alias("k", "t"))
-    several = written(rare.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t"), "ngram-several")
-    buckets = written(rare.join(several, "t"), "ngram-buckets")
+    met = written(rare.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t"), "ngram-several")
+    buckets = written(rare.join(met, "t"), "ngram-buckets")
     family = families(buckets.select("t", "uid"))
     members = shared.join(family, "uid")
     inside = within_families(centred(members.select("uid", "family", "n", "shared"), percent), percent)
@@ -209,10 +223,10 @@ def clustered(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> Data
     classes = rows.select("doc_id", "s1", "s2", "uid", "n").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("low"), F.min("uid").alias("uid"))
     classes = written(classes, "ngram-classes")
     copies = written(rows.select("uid").join(classes.select("uid"), "uid", "left_anti"), "ngram-copies")
-    passed = written(sharing(rows.select("uid", "n", "tokens").join(copies, "uid", "left_anti"), ["uid"], needed(F.col("n"), percent, SLACK)).select("uid"), "ngram-passed")
+    passed = written(sharing(rows.select("uid", "n", "tokens").join(copies, "uid", "left_anti"), needed(F.col("n"), percent, SLACK)), "ngram-passed")
     alive = written(rows.select("uid", "doc_id", "h1", "h2").join(passed, "uid", "left_semi"), "ngram-alive").withColumnRenamed("doc_id", "d")
     alive = alive.select("uid", "d", F.col("h1").alias("g1"), F.col("h2").alias("g2"))
-    texts = identified(docs, F.col("text")).join(alive, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
+    texts = perhaps_in(identified(docs, F.col("text")), F.col("h1"), alive, F.col("g1")).join(alive, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
     sets = texts.select("uid", shingles(F.col("text"), gram).alias("tokens")).dropDuplicates(["uid"])
     labels = linked(written(sets.withColumn("n", F.size("tokens")), "ngram-sets"), percent)
     groups = classes.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
