@@ -93,6 +93,19 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def sums_before(values: Column) -> Column:
+    """For each number of an array the sum of those before it, in near-linear time: sums of blocks of 32, of these, and so on."""
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v)
+    blocks = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / 32).cast("int")), lambda k: total(F.slice(x, k * 32 + 1, 32)))
+
+    def each(a: Column, b: Column, c: Column, d: Column) -> Column:
+        part = lambda x, i, unit: total(F.slice(x, (F.floor(i / (32 * unit)) * 32 + 1).cast("int"), (F.floor(i / unit) % 32).cast("int")))
+        return F.transform(F.sequence(F.lit(0), F.size(a) - 1), lambda i: total(F.slice(d, F.lit(1), F.floor(i / 32768).cast("int"))) + part(c, i, 1024) + part(b, i, 32) + part(a, i, 1))
+
+    some = let(values, lambda a: let(blocks(a), lambda b: let(blocks(b), lambda c: let(blocks(c), lambda d: each(a, b, c, d)))))
+    return F.when(F.size(values) > 0, some).otherwise(F.array().cast("array<bigint>"))
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; none for null."""
     plain = F.translate(F.coalesce(text, F.lit("")), BLANKS, " " * len(BLANKS))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import let, perhaps_in, sums_before, unpacked, whole_row, written
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "id"
@@ -20,25 +20,33 @@ PATTERNS = {
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 IP_VALID = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
-#: What may be an identifier: a run of letters, digits, _ and - with a digit, 6 characters at least.
-SHAPE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{6,}+"
-#: Characters of context on each side; rounds of scoring.
-REACH, ROUNDS = 48, 3
+#: Key-like runs: 16 characters at least, with a letter and a digit. They vote for the patterns they stand in, as seeds
+#: do, but are taken for identifiers only where patterns say so.
+KEY_LIKE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{16,}+"
+#: A text's pieces: runs of letters and digits, other characters, line ends. With the blanks before each they tile it.
+PIECE = r"(?:[\p{L}\p{N}_]++|\n|[^\s\p{L}\p{N}_])"
+TILE = r"[^\S\n]*+" + PIECE
+#: An identifier has so many code points at most and stands on one line.
+LONGEST = 256
 #: A pattern counts if so many distinct instances that are held true have it and their share of its instances is this.
 MIN_SUPPORT, MIN_PRECISION = 5, 0.6
+#: What follows is part of a pattern if it follows so many of the values that are held true behind the same words.
+USUAL = 0.9
 #: An instance is held true from this confidence on.
-MIN_CONFIDENCE = 0.8
+MIN_CONFIDENCE = 0.6
+_SPANS = "array<struct<value:string,start:int,end:int>>"
 
 
-def spans(text: Column, pattern: str) -> Column:
+def spans(text: Column, pattern: Column | str) -> Column:
     """(value, start, end) of all matches of a pattern without empty ones, in code points, end exclusive."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
 
     def placed(m: Column, parts: Column) -> Column:
-        before = lambda i: F.aggregate(F.slice(parts, 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(m, 1, i), F.lit(0), lambda a, x: a + F.length(x))
-        return F.transform(m, lambda x, i: let(before(i), lambda s: F.struct(x.alias("value"), s.alias("start"), (s + F.length(x)).alias("end"))))
+        steps = F.transform(m, lambda x, i: F.length(parts[i]) + F.length(x))
+        return let(sums_before(steps), lambda at: F.transform(m, lambda x, i: F.struct(x.alias("value"), (at[i] + F.length(parts[i])).cast("int").alias("start"), (at[i] + F.length(parts[i]) + F.length(x)).cast("int").alias("end"))))
 
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return let(matches, lambda m: F.when(F.size(m) == 0, F.array().cast("array<struct<value:string,start:int,end:int>>")).otherwise(let(F.split(text, pattern, -1), lambda p: placed(m, p))))
+    matches = F.regexp_extract_all(text, pattern, F.lit(0))
+    return let(matches, lambda m: F.when(F.size(m) == 0, F.array().cast(_SPANS)).otherwise(let(F.split(text, pattern, -1), lambda p: placed(m, p))))
 
 
 def luhn(digits: Column) -> Column:
@@ -67,96 +75,206 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[one(kind) for kind in KINDS])
 
 
-def own_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, h1, h2 (the text's hash), text (null: empty) and base (spans) of every document."""
+def own_rows(docs: DataFrame, *columns: Column) -> DataFrame:
+    """The columns given, doc_id, h1, h2 (the text's hash: what is found hangs on nothing else) and text (null: empty)."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("2"), text).alias("h2"), text.alias("text"), base_spans(text).alias("base"))
+    return docs.select(*columns, "doc_id", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("2"), text).alias("h2"), text.alias("text"))
 
 
-def instances(rows: DataFrame) -> DataFrame:
-    """doc_id, h1, h2, value, start, end, seed and contexts (lexical patterns) of base spans and of identifier-like runs outside of them.
+def plain(text: Column) -> Column:
+    """A-Z in lower case and digits as 0, each character in its place."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000")
 
-    Patterns: the last word before, the last three, and the next word after, lower case, digits as 0.
+
+def pieces(text: Column, pattern: str = PIECE) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
+def key_before(p: Column, i: Column) -> Column:
+    """The hash of the two pieces before the i-th one, a line's end before the first: the shorter of two lefts."""
+    return F.xxhash64(F.coalesce(F.get(p, i - 2), F.lit("\n")), F.get(p, i - 1))
+
+
+def longer_before(p: Column, i: Column) -> Column:
+    """The hash of the three pieces before the i-th one."""
+    return F.xxhash64(F.lit(3), F.coalesce(F.get(p, i - 3), F.lit("\n")), F.coalesce(F.get(p, i - 2), F.lit("\n")), F.get(p, i - 1))
+
+
+def seeds(rows: DataFrame) -> DataFrame:
+    """h1, h2, value, start and end of the fixed patterns' matches and of key-like runs outside of them; sure: of the former."""
+    base = F.transform(base_spans(F.col("text")), lambda b: F.struct(b["value"].alias("value"), b["start"].alias("start"), b["end"].alias("end"), F.lit(True).alias("sure")))
+    keys = F.when(F.col("text").rlike("[0-9]"), F.transform(spans(F.col("text"), KEY_LIKE), lambda s: F.struct(s["value"].alias("value"), s["start"].alias("start"), s["end"].alias("end"), F.lit(False).alias("sure"))))
+    found = rows.select("h1", "h2", base.alias("b"), F.coalesce(keys, F.array().cast("array<struct<value:string,start:int,end:int,sure:boolean>>")).alias("k"))
+    outside = F.filter("k", lambda s: ~F.exists("b", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return found.select("h1", "h2", F.explode(F.concat("b", F.when(F.size("k") > 0, outside).otherwise(F.col("k")))).alias("x")).select("h1", "h2", "x.*").distinct()
+
+
+def texts_of(rows: DataFrame, there: DataFrame) -> DataFrame:
+    """rows (h1, h2, text) joined with there (h1, h2 and more, one row a text), one row a text."""
+    there = there.withColumnRenamed("h1", "t1").withColumnRenamed("h2", "t2")
+    near = perhaps_in(rows.select("h1", "h2", "text"), F.col("h1"), there, F.col("t1"))
+    return near.join(there, (F.col("h1") == F.col("t1")) & (F.col("h2") == F.col("t2"))).drop("t1", "t2").dropDuplicates(["h1", "h2"])
+
+
+def patterns_of(rows: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """value, key, left and right of the patterns around occurrences (h1, h2, value, start, end).
+
+    left is the hash of the two or the three pieces before, key that of two; right is the next piece, with a blank if
+    one stands between, $ at a line's end; every left makes a pattern without right as well, whose instances end at
+    the next blank. Pieces and occurrences are joined by their places, so that no text is searched once an occurrence.
+    """
+    own = texts_of(rows, occurrences.select("h1", "h2").distinct()).select("h1", "h2", pieces(plain(F.col("text")), TILE).alias("t"))
+    own = own.select("h1", "h2", "t", F.transform("t", lambda x: F.ltrim(x)).alias("p"), sums_before(F.transform("t", lambda x: F.length(x))).alias("ends"))
+    told = lambda i: F.struct(F.get("ends", i).cast("int").alias("from"), (F.get("ends", i) + F.length(F.get("t", i)) - F.length(F.get("p", i))).cast("int").alias("at"), F.when(i > 0, key_before(F.col("p"), i)).alias("key"), F.when(i > 0, longer_before(F.col("p"), i)).alias("longer"), F.when(F.get("p", i) == "\n", "$").when(F.length(F.get("t", i)) > F.length(F.get("p", i)), F.concat(F.lit(" "), F.get("p", i))).otherwise(F.get("p", i)).alias("right"))
+    tiles = written(own.where(F.size("p") > 0).select("h1", "h2", F.explode(F.transform(F.sequence(F.lit(0), F.size("p") - 1), told)).alias("x")).select("h1", "h2", "x.*"), "pii-tiles")
+    before = occurrences.join(tiles.where("key is not null").select("h1", "h2", F.col("at").alias("start"), "key", "longer"), ["h1", "h2", "start"])
+    both = before.join(tiles.select("h1", "h2", F.col("from").alias("end"), "right"), ["h1", "h2", "end"], "left")
+    each = both.select("value", "key", "right", F.explode(F.array("key", "longer")).alias("left"))
+    return each.where("right is not null").unionByName(each.withColumn("right", F.lit(""))).distinct()
+
+
+def slots(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """h1, h2, key, left, right, value, start and end of all that stands in the slots of patterns (key, left, right) in rows.
+
+    A slot holds what follows left on its line: up to the next blank, or up to right; signs at its ends don't count.
     """
-    clear = lambda s, base: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    seeds = F.transform("base", lambda b: F.struct(b["value"].alias("value"), b["start"].alias("start"), b["end"].alias("end"), F.lit(True).alias("seed")))
-    others = F.when(F.col("text").rlike("[0-9]"), F.transform(F.filter(spans(F.col("text"), SHAPE), lambda s: clear(s, F.col("base"))), lambda s: F.struct(s["value"].alias("value"), s["start"].alias("start"), s["end"].alias("end"), F.lit(False).alias("seed"))))
-    found = rows.select("doc_id", "h1", "h2", "text", F.explode(F.concat(seeds, F.coalesce(others, F.array().cast("array<struct<value:string,start:int,end:int,seed:boolean>>")))).alias("x"))
-    left = F.expr(f"substring(text, greatest(x.start - {REACH}, 0) + 1, least(x.start, {REACH}))")
-    right = F.expr(f"substring(text, x.end + 1, {REACH})")
-    plain = lambda c: F.lower(F.regexp_replace(c, "[0-9]", "0"))
-    tidy = found.select("doc_id", "h1", "h2", "x.*", plain(left).alias("left"), plain(right).alias("right"))
-    last = F.regexp_extract("left", r"(\S+)\s*$", 1)
-    three = F.regexp_replace(F.regexp_extract("left", r"(\S+\s+\S+\s+\S+)\s*$", 1), r"\s+", " ")
-    after = F.regexp_extract("right", r"^\s*(\S+)", 1)
-    named = [F.when(c != "", F.concat(F.lit(k), c)) for k, c in (("1:", last), ("3:", three), ("r:", after))]
-    return tidy.select("doc_id", "h1", "h2", "value", "start", "end", "seed", F.array_compact(F.array(*named)).alias("contexts"))
-
-
-def believed(found: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_precision: float = MIN_PRECISION, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """The values that are no seeds and are held true after some rounds over the graph of patterns and instances.
+    keys = lambda p: F.when(F.size(p) > 1, F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: key_before(p, i)))
+    there = rows.select("h1", "h2", F.posexplode(let(pieces(plain(F.col("text"))), keys)).alias("i", "key"))
+    hits = there.join(patterns.select("key").distinct(), "key").select("h1", "h2", (F.col("i") + 1).alias("i")).distinct().groupBy("h1", "h2").agg(F.collect_list("i").alias("at"))
+    found = texts_of(rows, written(hits, "pii-hits")).select("h1", "h2", "text", "at", pieces(plain(F.col("text")), TILE).alias("t"))
+    found = found.select("h1", "h2", "text", "at", F.transform("t", lambda x: F.ltrim(x)).alias("p"), sums_before(F.transform("t", lambda x: F.length(x))).alias("ends"))
+    # the line's rest is cut before rows are made, so that no row holds a whole text
+    tail = lambda at: F.substring_index(F.col("text").substr(at + 1, F.lit(LONGEST + 64)), "\n", 1)
+    told = lambda i: let(F.get("ends", i).cast("int"), lambda at: F.struct(at.alias("from"), tail(at).alias("tail"), F.array(key_before(F.col("p"), i), longer_before(F.col("p"), i)).alias("lefts")))
+    found = found.select("h1", "h2", F.explode(F.transform("at", told)).alias("x")).select("h1", "h2", "x.from", "x.tail", F.explode("x.lefts").alias("left"))
+    found = found.join(patterns, "left")
+    signs = F.regexp_extract("tail", r"^\s*[^\p{L}\p{N}\s+]*", 0)
+    found = found.withColumn("start", F.col("from") + F.length(signs)).withColumn("tail", F.expr("substring(tail, start - from + 1, length(tail))"))
+    upto = let(F.position(F.col("right"), plain(F.col("tail"))), lambda n: F.when(n > 1, F.col("tail").substr(F.lit(1), n - 1)).otherwise(""))
+    upto = F.when(F.col("right") == "$", F.col("tail")).otherwise(upto)
+    run = F.when(F.col("right") == "", F.regexp_extract("tail", r"^\S+", 0)).otherwise(upto)
+    value = F.regexp_replace(run, r"[^\p{L}\p{N}]+$", "")
+    found = found.withColumn("value", value).where(F.length("value").between(1, LONGEST))
+    return found.select("h1", "h2", "key", "left", "right", "value", "start", (F.col("start") + F.length("value")).alias("end")).distinct()
+
+
+def scored(edges: DataFrame, sure: DataFrame, min_support: int, min_precision: float, min_confidence: float) -> DataFrame:
+    """left, right and value of the edges (key, left, right, value) between accepted patterns and values that are held true.
 
     A round scores each pattern by the share of its distinct instances that are held true, then each instance by
-    1 - the product of (1 - precision) over its patterns that count. Edges are distinct before they are dealt,
-    and sums are partial, so that a frequent pattern or value costs no more than its distinct partners.
+    1 - the product of (1 - precision) over its patterns that count, of those with the same two pieces before it over
+    the best, as they say the same; those that are sure stay held. Rounds follow
+    until no value is added. Sums are partial: a frequent pattern or value costs no more than its distinct partners.
     """
-    edges = written(found.select("value", F.explode("contexts").alias("pattern")).distinct(), "pii-edges")
-    seeds = found.where("seed").select("value").distinct()
-    held = written(seeds, "pii-seeds")
-    first = held
-    for _ in range(rounds):
+    held, size = sure, -1
+    while True:
         marked = edges.join(held.withColumn("true", F.lit(1)), "value", "left")
-        patterns = marked.groupBy("pattern").agg(F.count("true").alias("support"), (F.count("true") / F.count(F.lit(1))).alias("precision"))
-        patterns = written(patterns.where((F.col("support") >= min_support) & (F.col("precision") >= min_precision)), "pii-patterns")
-        scored = edges.join(patterns, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("precision"), F.lit(1e-9)))))).alias("confidence"))
-        new = scored.where(F.col("confidence") >= min_confidence).select("value")
-        held = written(first.unionByName(new).distinct(), "pii-held")
-    return held.join(first, "value", "left_anti")
+        good = marked.groupBy("left", "right").agg(F.count("true").alias("support"), (F.count("true") / F.count(F.lit(1))).alias("precision"))
+        good = good.where((F.col("support") >= min_support) & (F.col("precision") >= min_precision))
+        graph = written(edges.join(good, ["left", "right"]), "pii-graph")
+        belief = graph.groupBy("value", "key").agg(F.max("precision").alias("precision")).groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("precision"), F.lit(1e-9)))))).alias("confidence"))
+        new = belief.where(F.col("confidence") >= min_confidence).select("value")
+        held = written(sure.unionByName(new).distinct(), "pii-held")
+        n = held.count()
+        if n == size:
+            return graph.join(new, "value").select("left", "right", "value")
+        size = n
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, h1, h2, text, base and found (start, end of identifiers that contexts gave away, in order) of every document."""
-    rows = own_rows(docs)
-    found = written(instances(rows), "pii-instances")
-    new = found.where("not seed").join(believed(found), "value").groupBy("doc_id", "h1", "h2").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("found"))
-    new = new.select(F.col("doc_id").alias("_id"), F.col("h1").alias("_1"), F.col("h2").alias("_2"), "found")
-    joined = rows.join(new, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h1") == F.col("_1")) & (F.col("h2") == F.col("_2")), "left")
-    return joined.drop("_id", "_1", "_2").withColumn("found", F.coalesce("found", F.array().cast("array<struct<start:int,end:int>>")))
+def elsewhere(rows: DataFrame, values: DataFrame) -> DataFrame:
+    """h1, h2, value, start and end of every place where one of values stands between blanks or signs."""
+    first = lambda c: F.regexp_extract(c, r"[\p{L}\p{N}]+", 0)
+    there = rows.select("h1", "h2", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("w"))
+    hits = there.join(values.select("value", first("value").alias("w")), "w").select("h1", "h2", "value").distinct()
+    found = texts_of(rows, written(hits.groupBy("h1", "h2").agg(F.collect_list("value").alias("values")), "pii-there"))
+    quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.col("v"), F.lit(r"\E(?![\p{L}\p{N}])"))
+    found = found.select("h1", "h2", "text", F.explode("values").alias("v"))
+    return found.select("h1", "h2", F.explode(spans(F.col("text"), quoted)).alias("x")).select("h1", "h2", "x.*")
+
+
+def discovered(rows: DataFrame, min_support: int = MIN_SUPPORT, min_precision: float = MIN_PRECISION, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """h1, h2, start and end of identifiers that no fixed pattern finds, for rows (h1, h2, text).
+
+    Seeds induce patterns: what several of them stand behind. Those that hold little else even in the seeds' own
+    documents are looked for in all documents, and patterns and instances are scored over all of them. Values held
+    true for the first time are looked for everywhere; where they stand, they induce further patterns, until none comes.
+    """
+    found = written(seeds(rows), "pii-seeds")
+    voters = written(found.select("value").distinct(), "pii-voters")
+    new, tried, edges, places = found.select("h1", "h2", "value", "start", "end"), None, None, None
+    sides = None
+    pattern = ["key", "left", "right"]
+    while True:
+        around = patterns_of(rows, new)
+        sides = written(around if sides is None else sides.unionByName(around).distinct(), "pii-sides")
+        wanted = sides.groupBy(*pattern).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_support)
+        usual = wanted.where("right = ''").select("left", F.col("c").alias("of"))
+        wanted = wanted.join(usual, "left").where((F.col("right") == "") | (F.col("c") >= USUAL * F.col("of"))).select(*pattern)
+        wanted = written(wanted if tried is None else wanted.join(tried, pattern, "left_anti"), "pii-wanted")
+        tried = wanted if tried is None else written(tried.unionByName(wanted), "pii-tried")
+        if wanted.isEmpty():
+            break
+        own = rows.join(written(new.select("h1", "h2").distinct(), "pii-own"), ["h1", "h2"], "left_semi")
+        near = slots(own, wanted).select("left", "right", "value").distinct().join(voters.withColumn("true", F.lit(1)), "value", "left")
+        likely = near.groupBy("left", "right").agg((F.count("true") / F.count(F.lit(1))).alias("p")).where(F.col("p") >= min_precision).select("left", "right")
+        wanted = written(wanted.join(likely, ["left", "right"], "left_semi"), "pii-wanted")
+        if wanted.isEmpty():
+            break
+        here = slots(rows, wanted)
+        places = written(here if places is None else places.unionByName(here), "pii-places")
+        edges = written(places.select("key", "left", "right", "value").distinct(), "pii-edges")
+        graph = scored(edges, voters, min_support, min_precision, min_confidence)
+        added = written(graph.select("value").distinct().join(voters, "value", "left_anti"), "pii-added")
+        if added.isEmpty():
+            break
+        voters = written(voters.unionByName(added), "pii-voters")
+        new = written(elsewhere(rows, added), "pii-elsewhere")
+    if places is None:
+        return found.select("h1", "h2", "start", "end").limit(0)
+    graph = scored(edges, voters, min_support, min_precision, min_confidence)
+    sure = found.where("sure").groupBy("h1", "h2").agg(F.collect_list(F.struct("start", "end")).alias("base"))
+    told = places.join(graph, ["left", "right", "value"]).groupBy("h1", "h2", "start").agg(F.max("end").alias("end"))  # the longest that starts there
+    told = told.join(sure, ["h1", "h2"], "left")
+    free = F.col("base").isNull() | ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
+    return written(merged(told.where(free).select("h1", "h2", "start", "end", F.lit(FOUND).alias("kind"))).select("h1", "h2", "start", "end"), "pii-found")
+
+
+def merged(found: DataFrame) -> DataFrame:
+    """found (h1, h2, start, end, kind) with overlapping spans of a text as one, of the first one's kind."""
+    order = Window.partitionBy("h1", "h2").orderBy("start", "end", "kind")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    heads = found.withColumn("head", F.when(reach.isNull() | (reach <= F.col("start")), 1).otherwise(0))
+    groups = heads.withColumn("number", F.sum("head").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return groups.groupBy("h1", "h2", "number").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "end", "kind")).alias("kind")).drop("number")
 
 
 def extracted(docs: DataFrame) -> DataFrame:
-    """Contract columns for documents; identifiers found by context are spans of kind id, after the others.
+    """Contract columns for documents; identifiers found by context are spans of kind id, after the others, disjoint from them.
 
-    Null text: empty, no spans. Rows with equal doc_id and text get equal spans. Other columns don't matter.
+    Null text: empty, no spans. Rows with equal texts get equal spans. Other columns, whatever their names, don't
+    matter. An empty table stays empty.
     """
     told = lambda x, kind: F.concat_ws(":", kind, x["start"].cast("string"), x["end"].cast("string"))
-    rows = with_spans(docs).drop("text")
+    new = discovered(own_rows(docs)).groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("found"))
+    rows = own_rows(docs).select("doc_id", "h1", "h2", base_spans(F.col("text")).alias("base")).join(new, ["h1", "h2"], "left")
     base = F.transform("base", lambda x: told(x, x["kind"]))
-    rows = rows.select("doc_id", "base", base.alias("_told"), F.transform("found", lambda x: told(x, F.lit(FOUND))).alias("_new"))
+    rows = rows.select("doc_id", "base", base.alias("_told"), F.transform(F.coalesce("found", F.array().cast("array<struct<start:int,end:int>>")), lambda x: told(x, F.lit(FOUND))).alias("_new"))
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(kind) for kind in KINDS]
     return rows.select("doc_id", *counts, F.sha2(F.array_join("_told", ","), 256).alias("base_sha256"), F.array_join(F.concat("_told", "_new"), ",").alias("spans"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with every span replaced by its kind in angle brackets, overlapping ones together by the first's; n_chars, if there, counts the new text."""
-    text = F.col("_text")
-    keyed = docs.select(*[F.col(c) for c in docs.columns], F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h1"), F.xxhash64(F.lit("2"), F.coalesce("text", F.lit(""))).alias("_h2"), F.coalesce("text", F.lit("")).alias("_text"))
-    found = written(instances(own_rows(docs)), "pii-instances")
-    new = found.where("not seed").join(believed(found), "value")
-    both = found.where("seed").select("doc_id", "h1", "h2", "start", "end", "value").withColumn("rank", F.lit(0)).unionByName(new.select("doc_id", "h1", "h2", "start", "end", "value").withColumn("rank", F.lit(1)))
-    kind = F.when(F.col("rank") == 1, FOUND).when(F.instr("value", "@") > 0, "email").when(F.instr("value", "+") == 1, "phone").when(F.col("value").rlike(IP_VALID), "ip").otherwise("card")
-    per = both.groupBy("doc_id", "h1", "h2").agg(F.array_sort(F.collect_set(F.struct("start", "end", kind.alias("kind")))).alias("_s"))
-    per = per.select(F.col("doc_id").alias("_pid"), F.col("h1").alias("_p1"), F.col("h2").alias("_p2"), "_s")
-    rows = keyed.join(per, F.col("doc_id").eqNullSafe(F.col("_pid")) & (F.col("_h1") == F.col("_p1")) & (F.col("_h2") == F.col("_p2")), "left")
-    # a span heads its group if no span before it reaches over its start; the group ends where its last span ends
-    heads = F.filter("_s", lambda x: ~F.exists("_s", lambda y: (y["start"] < x["start"]) & (y["end"] > x["start"]) | (y["start"] == x["start"]) & (F.struct(y["start"], y["end"], y["kind"]) < F.struct(x["start"], x["end"], x["kind"]))))
-    rows = rows.withColumn("_heads", heads)
-    until = F.transform("_heads", lambda h, i: F.array_max(F.transform(F.filter("_s", lambda y: (y["start"] >= h["start"]) & (y["start"] < F.coalesce(F.get(F.col("_heads"), i + 1)["start"], F.lit(2**31 - 1)))), lambda y: y["end"])))
-    rows = rows.withColumn("_until", until)
-    pieces = F.expr("array_join(transform(_heads, (h, i) -> concat(substring(_text, coalesce(get(_until, i - 1), 0) + 1, h.start - coalesce(get(_until, i - 1), 0)), '<', upper(h.kind), '>')), '')")
-    rest = F.expr("substring(_text, element_at(_until, -1) + 1, length(_text))")
-    rows = rows.withColumn("text", F.when(F.col("_s").isNull(), F.col("text")).otherwise(F.concat(pieces, rest)))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_s").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    """docs with every span replaced by its kind in angle brackets, overlapping ones together by the first's; n_chars, if there, counts the new text.
+
+    Null texts stay null. Columns as in docs, whatever their names.
+    """
+    rows = own_rows(docs)
+    base = rows.select("h1", "h2", F.explode(base_spans(F.col("text"))).alias("x")).select("h1", "h2", "x.start", "x.end", "x.kind").distinct()
+    every = merged(base.unionByName(discovered(rows).withColumn("kind", F.lit(FOUND))))
+    per = written(every.groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("s")), "pii-spans")
+    joined = own_rows(docs, whole_row(docs)).join(per, ["h1", "h2"], "left")
+    kept = F.transform("s", lambda h, i: F.concat(F.col("text").substr(F.coalesce(F.get("s", i - 1)["end"], F.lit(0)) + 1, h["start"] - F.coalesce(F.get("s", i - 1)["end"], F.lit(0))), F.lit("<"), F.upper(h["kind"]), F.lit(">")))
+    rest = F.expr("substring(text, element_at(s, -1).end + 1, length(text))")
+    joined = joined.select("row", F.when(F.col("s").isNull(), F.col("row.text")).otherwise(F.concat(F.array_join(kept, ""), rest)).alias("left"))
+    return joined.select(*unpacked(docs, text=F.col("left")))
