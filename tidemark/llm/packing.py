@@ -18,6 +18,8 @@ from .common import partitions, written
 #: Tokens of a sequence; of a mixture window, in which sources get their shares; of a packet, which a source sends at once.
 LENGTH, WINDOW, PACKET = 2048, 65_536, 1024
 END_ID = 1
+#: White space characters in a row from which the slower of two equal encoders takes a text.
+LONG_RUN = 500
 #: The split that byte-level vocabularies of this kind are made for (fixed value), and what equals it in texts without two blanks in a row.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SINGLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
@@ -40,9 +42,10 @@ def byte_letters() -> dict[str, int]:
 def encoder(path: str, added: bool = False):
     """A function from a text to its ids, once for a worker.
 
-    With added, the file's added tokens are recognised where a text holds them literally, as the library's plain
-    call does; else they are text like other text. Where the file's merges are numbered in order, as a table of ranks needs them, the faster of the two libraries
-    does the work, with the same ids (a test holds them together); else the one the file is made for.
+    The ids are those of the library that the file is made for. Where the file's merges are numbered in order, as a
+    table of ranks needs them, a faster library makes the same ids (tests hold them together), but for texts with long
+    runs of white space, over which its search runs out of stack, and, with added, for texts that hold one of the
+    file's added tokens literally, which the plain call recognises: these go to the file's own library.
     """
     model = json.load(open(path, encoding="utf-8"))
     vocabulary, merges = model["model"]["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
@@ -55,10 +58,8 @@ def encoder(path: str, added: bool = False):
         full, single = (tiktoken.Encoding(name, pat_str=split, mergeable_ranks=ranks, special_tokens={}) for name, split in (("full", SPLIT), ("single", SINGLE)))
         twice = re.compile(r"\s\s")
         fast = lambda text: (full if twice.search(text) else single).encode_ordinary(text)
-        contents = [re.escape(t["content"]) for t in model.get("added_tokens") or []]
-        if not added or not contents:
-            return fast
-        holds, exact = re.compile("|".join(contents)).search, library(path)
+        contents = [re.escape(t["content"]) for t in model.get("added_tokens") or []] if added else []
+        holds, exact = re.compile("|".join([rf"\s{{{LONG_RUN}}}", *contents])).search, library(path, plain=not added)
         return lambda text: exact(text) if holds(text) else fast(text)
     return library(path, plain=not added)
 

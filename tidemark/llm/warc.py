@@ -5,9 +5,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import re
 import struct
+import time
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
@@ -31,11 +34,11 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, record_type: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record. Identifiers are URNs of page ids; a revisit has no block and names the response it repeats."""
-    lines = ["WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>"]
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, record_type: str, refers_to: int | None, date: str) -> bytes:
+    """One WARC/1.1 record. Identifiers are URNs of page ids; a revisit has no block and names the response it repeats; blanks in a URL are percent-encoded."""
+    lines = ["WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>", f"WARC-Date: {date}"]
     if url is not None:
-        lines.append("WARC-Target-URI: " + "".join(url.split()))
+        lines.append("WARC-Target-URI: " + re.sub(r"\s", lambda m: quote(m.group(0)), url))
     lines.append(f"WARC-Payload-Digest: sha1:{digest}")
     if record_type == "revisit":
         lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
@@ -123,7 +126,7 @@ def write_bundles(records: DataFrame, folder: str, frame_bytes: int = FRAME_BYTE
         for batch in batches:
             for page_id, url, payload, digest, kind, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 bundle = bundle or Bundle(folder)
-                record = record_bytes(page_id, url, payload, base64.b32encode(bytes.fromhex(digest)).decode(), kind, refers)
+                record = record_bytes(page_id, url, payload, base64.b32encode(bytes.fromhex(digest)).decode(), kind, refers, date)
                 if data and len(data) + len(record) > frame_bytes:
                     yield flush()
                     if bundle.bytes >= bundle_bytes:
@@ -137,6 +140,7 @@ def write_bundles(records: DataFrame, folder: str, frame_bytes: int = FRAME_BYTE
             bundle.close()
 
     columns = [x.split()[0] for x in RECORDS.split(", ")]
+    date = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())  # one for all records: pages have no time of their own
     return written(records.select(*columns).mapInArrow(write, INDEX), "warc-index")
 
 
