@@ -30,6 +30,8 @@ TILE = r"[^\S\n]*+" + PIECE
 LONGEST = 256
 #: A pattern counts if so many distinct instances that are held true have it and their share of its instances is this.
 MIN_SUPPORT, MIN_PRECISION = 5, 0.6
+#: And if this share of all values that are held true or vote has it: else the more data, the more chance contexts count.
+MIN_SHARE = 0.0005
 #: What follows is part of a pattern if it follows so many of the values that are held true behind the same words.
 USUAL = 0.9
 #: An instance is held true from this confidence on.
@@ -207,7 +209,8 @@ def discovered(rows: DataFrame, min_support: int = MIN_SUPPORT, min_precision: f
     while True:
         around = patterns_of(rows, new)
         sides = written(around if sides is None else sides.unionByName(around).distinct(), "pii-sides")
-        wanted = sides.groupBy(*pattern).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_support)
+        least = max(min_support, MIN_SHARE * voters.count())
+        wanted = sides.groupBy(*pattern).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least)
         usual = wanted.where("right = ''").select("left", F.col("c").alias("of"))
         wanted = wanted.join(usual, "left").where((F.col("right") == "") | (F.col("c") >= USUAL * F.col("of"))).select(*pattern)
         wanted = written(wanted if tried is None else wanted.join(tried, pattern, "left_anti"), "pii-wanted")
