@@ -217,7 +217,8 @@ def discovered(rows: DataFrame, min_support: int = MIN_SUPPORT, min_precision: f
         tried = wanted if tried is None else written(tried.unionByName(wanted), "pii-tried")
         if wanted.isEmpty():
             break
-        own = rows.join(written(new.select("h1", "h2").distinct(), "pii-own"), ["h1", "h2"], "left_semi")
+        there = written(new.select("h1", "h2").distinct(), "pii-own")
+        own = perhaps_in(rows.select("h1", "h2", "text"), F.col("h1"), there, F.col("h1")).join(there, ["h1", "h2"], "left_semi")
         near = slots(own, wanted).select("left", "right", "value").distinct().join(voters.withColumn("true", F.lit(1)), "value", "left")
         likely = near.groupBy("left", "right").agg((F.count("true") / F.count(F.lit(1))).alias("p")).where(F.col("p") >= min_precision).select("left", "right")
         wanted = written(wanted.join(likely, ["left", "right"], "left_semi"), "pii-wanted")
