@@ -105,10 +105,10 @@ def accepted(decided: DataFrame) -> DataFrame:
 
 
 def state_of(events: DataFrame) -> DataFrame:
-    """The state that an event log (key, event_time_ms, status) leads to: the newest event, and nothing after a final one; with counts of events taken and ignored."""
+    """The state that an event log (key, event_time_ms, status) leads to: the newest event, and nothing after one that is not open; with counts of events taken and ignored."""
     order = Window.partitionBy("key").orderBy("event_time_ms", "seq")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    done = F.max(F.col("status").isin(*FINAL, "CLOSED").cast("int")).over(before)
+    done = F.max((~F.col("status").isin("CANDIDATE", *LIVE)).cast("int")).over(before)
     rows = events.withColumn("_ignored", F.coalesce(done == 1, F.lit(False)) | F.coalesce((F.lag("status").over(order) == F.col("status")) & (F.lag("event_time_ms").over(order) >= F.col("event_time_ms")), F.lit(False)))
     own = F.when(~F.col("_ignored"), F.struct("event_time_ms", "seq"))
     return rows.groupBy("key").agg(F.max_by("status", own).alias("status"), F.max(F.when(~F.col("_ignored"), F.col("event_time_ms"))).alias("last_event_time_ms"), F.count(F.when(~F.col("_ignored"), 1)).alias("events"), F.count(F.when(F.col("_ignored"), 1)).alias("ignored"))

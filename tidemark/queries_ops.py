@@ -226,7 +226,7 @@ def g1(spark, d):
 
 @query("g2_eligibility", f"""{REC}{SETUPS}, ev AS (SELECT *, {EVIDENCE}, {RR} AS rr FROM su), lim AS (SELECT *, {POINTS} AS pts, (target::DECIMAL(20,10)::DOUBLE + 1.49 * stop_price::DECIMAL(20,10)::DOUBLE) / 2.49 AS raw FROM ev), li AS (SELECT *, CASE WHEN direction = 'long' THEN floor(round(raw / 0.05, 7)) ELSE ceil(round(raw / 0.05, 7)) END * 0.05 AS cap FROM lim),
 lj AS (SELECT *, CASE WHEN cap > least(stop_price, target) AND cap < greatest(stop_price, target) THEN cap END AS entry_limit, confirmation_price + {SG} * atr * 0.1 AS current FROM li),
-rs AS (SELECT *, list_filter([CASE WHEN NOT sweep THEN 'liquidity_sweep_missing' END, CASE WHEN NOT ote THEN 'zone_does_not_intersect_ote' END, CASE WHEN pts < 6 THEN 'score_below_threshold' END, CASE WHEN entry_limit IS NULL THEN 'invalid_price_or_risk_parameters' END, CASE WHEN entry_limit IS NOT NULL AND rr < 1.49 THEN 'risk_reward_below_minimum' END, CASE WHEN {SG} * (current - entry_limit) > 0 THEN 'price_beyond_acceptable_entry' END], lambda x: x IS NOT NULL) AS reasons FROM lj)
+rs AS (SELECT *, list_filter([CASE WHEN NOT ote THEN 'zone_does_not_intersect_ote' END, CASE WHEN NOT sweep THEN 'liquidity_sweep_missing' END, CASE WHEN pts < 6 THEN 'score_below_threshold' END, CASE WHEN entry_limit IS NULL THEN 'invalid_price_or_risk_parameters' END, CASE WHEN entry_limit IS NOT NULL AND rr < 1.49 THEN 'risk_reward_below_minimum' END, CASE WHEN {SG} * (current - entry_limit) > 0 THEN 'price_beyond_acceptable_entry' END], lambda x: x IS NOT NULL) AS reasons FROM lj)
 SELECT key, CASE WHEN len(reasons) = 0 THEN 'ELIGIBLE' WHEN reasons = ['price_beyond_acceptable_entry'] THEN 'MISSED_PRICE' ELSE 'REJECTED' END AS status, array_to_string(reasons, ',') AS reasons FROM rs""")
 def g2(spark, d):
     from .plans import decide
@@ -329,10 +329,10 @@ def h13(spark, d):
     return rounded(rounded(rows, "net_r", "profit_factor", "max_drawdown", digits=5), "win_rate")
 
 
-@query("h14_anomalies", f"{REC}{SETUPS}, {OUT} SELECT key, commission_r < 0 OR commission_r > 0.01 OR (final_status = 'SL' AND gross_r > 0) AS odd FROM ou WHERE final_status IS NOT NULL")
+@query("h14_anomalies", f"{REC}{SETUPS}, {OUT} SELECT key, commission_r < 0 OR commission_r > 0.75 OR (final_status = 'SL' AND gross_r > 0) AS odd FROM ou WHERE final_status IS NOT NULL")
 def h14(spark, d):
     rows = closed(spark, d).where("final_status is not null")
-    return rows.select("key", (lifecycle.anomaly(0.01) | ((F.col("final_status") == "SL") & (F.col("gross_r") > 0))).alias("odd"))
+    return rows.select("key", (lifecycle.anomaly(0.75) | ((F.col("final_status") == "SL") & (F.col("gross_r") > 0))).alias("odd"))
 
 
 @query("h15_cost_sensitivity", f"{REC}{SETUPS}, {OUT} SELECT coalesce(profile, 'all') AS profile, coalesce(symbol, 'all') AS symbol, fee, count(*) AS trades, round(avg(gross_r - commission_r * fee), 6) AS expectancy FROM ou, (VALUES (0.0), (1.0), (2.0)) f(fee) WHERE final_status IS NOT NULL GROUP BY fee, CUBE (profile, symbol)")
