@@ -51,7 +51,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: Token ids cannot be had in SQL: a test holds the pipeline against a brute-force version instead.
+#: Token ids cannot be had in SQL; tests hold the stages one by one.
 ORACLE_SQL: str | None = None
 
 
