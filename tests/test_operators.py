@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import risk
-from tidemark.operators import indicators, lifecycle, liquidity, ranges, sessions, structure, upkeep, zones
+from tidemark.operators import crossing, indicators, lifecycle, liquidity, ranges, sessions, structure, upkeep, zones
 
 BAR = "symbol string, timeframe string, open_time_ms bigint, close_time_ms bigint, open double, high double, low double, close double, volume double, i int"
 
@@ -141,9 +141,42 @@ def test_outcomes(spark):
 
 
 def test_acceptance(spark):
-    rows = spark.createDataFrame([("a", "S", "scalp", "z", 0, 50_000), ("b", "S", "scalp", "y", 40_000, 60_000), ("c", "S", "scalp", "z", 100_000, None), ("d", "S", "scalp", "x", 200_000, None)], "key string, symbol string, profile string, zone_key string, confirmation_time_ms bigint, closed_at_ms bigint")
-    found = {r["key"]: (r["accepted"], r["gate_reasons"]) for r in lifecycle.accepted(rows).collect()}
-    assert found == {"a": (True, []), "b": (False, ["active_setup_for_symbol_profile"]), "c": (False, ["cooldown_active"]), "d": (True, [])}
+    minute = 60_000
+    rows = [
+        ("a", "z", 0, 5, 2.0, "ACCEPTED"),
+        ("b", "y", 4, 6, 2.0, "ACCEPTED"),  # a is open
+        ("c", "z", 7, None, 2.0, "ACCEPTED"),  # a's zone pauses
+        ("d", "z", 8, None, 2.0, "MISSED_PRICE"),
+        ("e", "w", 9, 12, 1.2, "ACCEPTED"),
+        ("f", "w", 10, 12, 2.0, "CANDIDATE"),
+        ("g", "w", 11, 30, 2.0, "ACCEPTED"),  # f's zone pauses
+        ("h", "v", 20, 50, 2.0, "REJECTED"),
+        ("i", "z", 45, None, 2.0, "ACCEPTED"),  # the missed price paused nothing
+        ("i", "z", 99, None, 2.0, "ACCEPTED"),
+    ]
+    df = spark.createDataFrame([(k, "S", "scalp", z, at * minute, end and end * minute, rr, status) for k, z, at, end, rr, status in rows], "key string, symbol string, profile string, zone_key string, confirmation_time_ms bigint, closed_at_ms bigint, risk_reward double, status string")
+    found = {r["key"]: (r["accepted"], r["stored"], r["gate_reasons"]) for r in lifecycle.accepted(df).collect()}
+    no = lambda *reasons: (False, False, list(reasons))
+    assert found == {"a": (True, True, []), "b": no("active_setup_for_symbol_profile"), "c": no("cooldown_active"), "d": (False, True, []), "e": no("rr_below_minimum"), "f": (False, True, []), "g": no("cooldown_active"), "h": no(), "i": (True, True, [])}
+
+
+def test_first_crossing_over_many_blocks(spark):
+    n = 40_000
+    path = [float((i * 7919) % 1009) for i in range(n)]
+    path[100], path[17_000], path[33_500] = 2000.0, 3000.0, 4000.0
+    own = spark.createDataFrame([("S", "1m", i, p, p, p) for i, p in enumerate(path)], "symbol string, timeframe string, i int, high double, low double, close double")
+    asked = [(k, start, price) for k, (start, price) in enumerate([(0, 1500.0), (101, 1500.0), (100, 1500.0), (17_000, 2500.0), (17_001, 2500.0), (33_501, 1500.0), (39_000, 1005.0), (5, 3500.0), (16_383, 1007.5), (39_999, -1.0)])]
+    levels = spark.createDataFrame([("S", "1m", *a) for a in asked], "symbol string, timeframe string, k int, start int, price double")
+    found = {r["k"]: r["crossed"] for r in crossing.first_crossing(levels, own, ["k"], "start", F.col("close") > F.col("price"), F.col("top_close") > F.col("price")).collect()}
+    assert found == {k: next((i for i in range(start, n) if path[i] > price), None) for k, start, price in asked}
+
+
+def test_overlapping_spans_meet_once(spark):
+    spans = [(k, lo, lo + width) for k, (lo, width) in enumerate([(0.0, 1.0), (0.5, 0.0), (1.0, 40.0), (-3.0, 2.0), (39.5, 0.25), (41.0, 0.0)])]
+    left = spark.createDataFrame([("S", *x) for x in spans], "symbol string, a int, al double, ah double")
+    right = spark.createDataFrame([("S", *x) for x in spans] + [("T", 9, 0.0, 1.0)], "symbol string, b int, bl double, bh double")
+    found = sorted((r["a"], r["b"]) for r in crossing.overlapping(left, right, ["symbol"], ("al", "ah"), ("bl", "bh")).collect())
+    assert found == sorted((x[0], y[0]) for x in spans for y in spans if x[1] <= y[2] and y[1] <= x[2])
 
 
 def test_sessions(spark):

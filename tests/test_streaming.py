@@ -32,10 +32,28 @@ def test_accepted_and_kept(spark, tmp_path):
     bars = source.bars_of(source.event_ticks(spark.read.parquet(f"{FOLDER}/events.parquet")), ["4h"])
     bars.where("symbol <> 'view'").coalesce(1).write.parquet(str(tmp_path / "bars"))
     stream = spark.readStream.schema(bars.schema).parquet(str(tmp_path / "bars"))
-    run(streaming.stream_accepted(stream), "accepted_bars")
+    run(streaming.stream_accepted(stream, ["open_time_ms"]), "accepted_bars")
     assert spark.table("accepted_bars").count() == bars.where("symbol <> 'view'").count()
     query = stream.writeStream.foreachBatch(streaming.keep_table(spark, str(tmp_path / "table"), 20)).option("checkpointLocation", str(tmp_path / "cp")).start()
     query.processAllAvailable()
     query.stop()
     kept = streaming.latest(spark, str(tmp_path / "table"))
     assert sorted(kept.select("symbol", "open_time_ms").collect()) == sorted(upkeep.newest(bars.where("symbol <> 'view'"), 20).select("symbol", "open_time_ms").collect())
+
+
+def test_late_bars_are_dropped_as_in_a_batch(spark, tmp_path):
+    rows = [("A", "1m", n, at * 60_000, float(n)) for n, at in enumerate([3, 1, 4, 4, 2, 7, 6, 9])] + [("B", "1m", n, at * 60_000, float(n)) for n, at in enumerate([5, 4, 6])]
+    bars = spark.createDataFrame(rows, "symbol string, timeframe string, arrival int, open_time_ms bigint, close double")
+    bars.orderBy("open_time_ms").write.parquet(str(tmp_path / "bars"))
+    stream = spark.readStream.schema(bars.schema).parquet(str(tmp_path / "bars"))
+    run(streaming.stream_accepted(stream, ["arrival"]), "late_bars")
+    mine = sorted((r["symbol"], r["arrival"]) for r in spark.table("late_bars").collect())
+    assert mine == [("A", 0), ("A", 2), ("A", 5), ("A", 7), ("B", 0), ("B", 2)]
+    assert mine == sorted((r["symbol"], r["arrival"]) for r in upkeep.accepted(bars, ["arrival"]).collect())
+
+
+def test_last_write_holds(spark, tmp_path):
+    rows = [("A", "1m", 0, 0, 9.0), ("A", "1m", 1, 0, 2.0), ("A", "1m", 2, 60_000, 3.0)]
+    batch = spark.createDataFrame(rows, "symbol string, timeframe string, arrival int, open_time_ms bigint, close double").repartition(3)
+    streaming.keep_table(spark, str(tmp_path / "t"), arrival=["arrival"])(batch, 0)
+    assert sorted(r["close"] for r in streaming.latest(spark, str(tmp_path / "t")).collect()) == [2.0, 3.0]

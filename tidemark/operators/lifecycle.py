@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.risk import MINIMUM_RR, RATE, commission, side
 from ..sources.bars import SERIES
 from .crossing import asof, first_crossing
+from .shared import kept
 
 LIFE_HOURS = {"scalp": 3, "intraday": 12}
 COOLDOWN_MINUTES = {"scalp": 30, "intraday": 120}
@@ -76,32 +77,47 @@ def partial_exits(setups: DataFrame, bars: DataFrame, weights: tuple[float, ...]
 
 
 def accepted(decided: DataFrame) -> DataFrame:
-    """decided (key, symbol, profile, zone_key, confirmation_time_ms, closed_at_ms) with accepted and gate_reasons.
+    """decided (key, symbol, profile, zone_key, confirmation_time_ms, closed_at_ms, risk_reward, status) with accepted, stored and gate_reasons.
 
-    In order of time and key a setup is accepted if the symbol and profile have no open one (one closed by then is
-    none, the lifecycle coming first) and no accepted one of its zone began within the cooldown. Who comes next
-    depends on who was accepted, so each symbol and profile is folded by an Arrow function; its state is one
-    open setup and the zones within the cooldown. A key is decided once.
+    status is ACCEPTED, CANDIDATE, MISSED_PRICE or REJECTED. Rejected rows are never stored; accepted ones and
+    candidates below the least reward are rejected before the gates. In order of time and key the rest are gated: an
+    ACCEPTED one if its symbol and profile have an open one (one closed by then is none, the lifecycle coming first),
+    an ACCEPTED or CANDIDATE one if its zone has a stored one that began within the cooldown, missed prices apart. A
+    MISSED_PRICE meets no gate and starts no cooldown. A key is decided once, by its first row. A reward of null counts as 0.
+
+    Who comes next depends on who was accepted, so rows are folded in order by an Arrow function; its state is one open
+    setup and the zones within the cooldown. A symbol and profile is cut wherever no earlier row can reach on, neither
+    open nor by its cooldown, and each piece is a group of its own.
     """
     once = decided.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("confirmation_time_ms"))).where("_n = 1").drop("_n")
-    narrow = once.select("symbol", "profile", "key", "zone_key", "confirmation_time_ms", F.coalesce("closed_at_ms", F.lit(2**62)).alias("closes"), (by_profile(COOLDOWN_MINUTES) * 60_000).alias("cooldown"))
+    once = kept(once)
+    below = F.col("status").isin("CANDIDATE", *LIVE) & (F.coalesce("risk_reward", F.lit(0.0)) < MINIMUM_RR)
+    narrow = once.where(~below & (F.col("status") != "REJECTED")).select("symbol", "profile", "key", "zone_key", "status", "confirmation_time_ms", F.coalesce("closed_at_ms", F.lit(2**62)).alias("closes"), (by_profile(COOLDOWN_MINUTES) * 60_000).alias("cooldown"))
+    order = Window.partitionBy("symbol", "profile").orderBy("confirmation_time_ms", "key")
+    reach = F.when(F.col("status") == "ACCEPTED", F.greatest("closes", F.col("confirmation_time_ms") + F.col("cooldown") + 1)).when(F.col("status") == "CANDIDATE", F.col("confirmation_time_ms") + F.col("cooldown") + 1)
+    narrow = narrow.withColumn("_free", F.coalesce(F.max(reach).over(order.rowsBetween(Window.unboundedPreceding, -1)) <= F.col("confirmation_time_ms"), F.lit(False)).cast("int"))
+    narrow = narrow.withColumn("piece", F.sum("_free").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_free")
 
     def fold(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(["confirmation_time_ms", "key"])
         closes, zones, out = None, {}, []
-        for key, zone, at, end, cooldown in zip(own["key"], own["zone_key"], own["confirmation_time_ms"], own["closes"], own["cooldown"], strict=True):
+        for key, zone, status, at, end, cooldown in zip(own["key"], own["zone_key"], own["status"], own["confirmation_time_ms"], own["closes"], own["cooldown"], strict=True):
             reasons = []
-            if closes is not None and at < closes:
+            if status == "ACCEPTED" and closes is not None and at < closes:
                 reasons.append("active_setup_for_symbol_profile")
-            if zone in zones and zones[zone] >= at - cooldown:
+            if status in ("ACCEPTED", "CANDIDATE") and zone in zones and zones[zone] >= at - cooldown:
                 reasons.append("cooldown_active")
-            if not reasons:
-                closes = end
+            if not reasons and status != "MISSED_PRICE":
+                closes = end if status == "ACCEPTED" else closes
                 zones = {z: t for z, t in zones.items() if t >= at - cooldown} | {zone: at}
             out.append((key, not reasons, reasons))
-        return pd.DataFrame(out, columns=["key", "accepted", "gate_reasons"])
+        return pd.DataFrame(out, columns=["key", "stored", "_gates"])
 
-    return once.join(narrow.groupBy("symbol", "profile").applyInPandas(fold, "key string, accepted boolean, gate_reasons array<string>"), "key")
+    gated = narrow.groupBy("symbol", "profile", "piece").applyInPandas(fold, "key string, stored boolean, _gates array<string>")
+    rows = once.join(gated, "key", "left").withColumn("stored", F.coalesce("stored", F.lit(False)))
+    none = F.array().cast("array<string>")
+    reasons = F.when(below, F.array(F.lit("rr_below_minimum"))).otherwise(F.coalesce("_gates", none))
+    return rows.withColumn("gate_reasons", reasons).withColumn("accepted", F.col("stored") & (F.col("status") == "ACCEPTED")).drop("_gates")
 
 
 def state_of(events: DataFrame) -> DataFrame:
@@ -137,6 +153,7 @@ def figures(rows: DataFrame) -> DataFrame:
 
     Both levels are dealt by profile and by day first; a day's running sum, low and high are put together by a window over days.
     """
+    rows = kept(rows)
     both = rows.withColumn("profile", F.explode(F.array(F.col("profile"), F.lit("all")))).withColumn("_odd", anomaly())
     sane = both.where("not _odd").withColumn("_day", F.floor(F.col("closed_at_ms") / 86_400_000))
     inside = Window.partitionBy("profile", "_day").orderBy("closed_at_ms", "key").rowsBetween(Window.unboundedPreceding, 0)

@@ -58,7 +58,8 @@ def gaps(bars: DataFrame) -> DataFrame:
 
 def fills(bars: DataFrame, found: DataFrame) -> DataFrame:
     """gaps with fill_percent and fully_filled at the series' end, and fill_index and dead_at of the bar that filled them."""
-    after = in_order().rowsBetween(1, Window.unboundedFollowing)
+    # from the end backwards, so that the frame only grows
+    after = Window.partitionBy(*SERIES).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
     deepest = bars.select(*SERIES, F.col("i").alias("confirmation_index"), F.min("low").over(after).alias("_low"), F.max("high").over(after).alias("_high"))
     rows = found.join(deepest, [*SERIES, "confirmation_index"])
     width = F.col("upper") - F.col("lower")

@@ -125,14 +125,20 @@ def price_action(bars: DataFrame, profile: Profile, options: Options = Options()
     long = F.col("direction") == "long"
     rows = rows.withColumn("reason", first_reason((F.col("i") < HISTORY - 1, "insufficient_trigger_history"), (F.coalesce(F.least(F.coalesce("zone_bar.i", F.lit(-1)), F.coalesce("bias_bar.i", F.lit(-1))), F.lit(-1)) < HISTORY - 1, "insufficient_mtf_history"), (F.col("expected").isNull(), "no_htf_bias"), (~F.coalesce(F.col("atr") > 0, F.lit(False)), "invalid_atr")))
     zone = known["zones"].select("symbol", F.col("direction").alias("expected"), "zone_kind", F.col("lower").alias("zone_low"), F.col("upper").alias("zone_high"), "formed", "rank", "known_at", "dead_at", "zone_open_ms", "zone_close_ms")
-    packed = rows.select(F.struct(*rows.columns).alias("row"), "symbol", "t", "expected", "reason", "entry", "atr", "low_6", "high_6", "trigger_break", "i")
+    recent = []
+    if options.strict_retest:
+        plain = known["trigger"]["bars"].select("symbol", "i", F.col("low").alias("low_1"), F.col("high").alias("high_1"))
+        six = Window.partitionBy("symbol").orderBy("i").rowsBetween(-5, 0)
+        rows, recent = rows.join(plain, ["symbol", "i"]).withColumn("recent", F.collect_list(F.struct("t", "low_1", "high_1")).over(six)), ["recent"]
+    packed = rows.select(F.struct(*rows.columns).alias("row"), "symbol", "t", "expected", "reason", "entry", "atr", "low_6", "high_6", "trigger_break", "i", *recent)
     alive = packed.reason.isNull() & (F.col("known_at") <= F.col("t")) & (F.col("dead_at").isNull() | (F.col("dead_at") > F.col("t")))
     near = packed.join(zone, (packed.symbol == zone.symbol) & (packed.expected == zone.expected) & alive, "left")
     inside = (F.col("zone_low") <= F.col("entry")) & (F.col("entry") <= F.col("zone_high"))
     distance = F.when(inside, 0.0).otherwise(F.least(F.abs(F.col("entry") - F.col("zone_low")), F.abs(F.col("entry") - F.col("zone_high"))) / F.greatest(F.col("atr"), F.lit(1e-12)))
     touched = (F.col("high_6") >= F.col("zone_low")) & (F.col("low_6") <= F.col("zone_high"))
     if options.strict_retest:
-        touched = touched & (F.col("zone_close_ms") < F.col("t")) & (F.col("trigger_break.at") < F.col("t"))
+        # the touch itself must come after both the zone's candle and the break
+        touched = F.exists("recent", lambda b: (b["t"] > F.greatest(F.col("zone_close_ms"), F.col("trigger_break.at"))) & (b["high_1"] >= F.col("zone_low")) & (b["low_1"] <= F.col("zone_high"))) & F.col("trigger_break.at").isNotNull()
     usable = F.col("zone_kind").isNotNull()
     order = F.struct(F.when(~(inside | touched) if options.pick_retested else F.lit(False), 1).otherwise(0), distance, "rank", "formed")
     pick = F.when(usable, F.struct("zone_kind", "zone_low", "zone_high", "formed", "zone_open_ms", "zone_close_ms", distance.alias("distance"), touched.alias("retested"), inside.alias("inside")))

@@ -104,9 +104,9 @@ def b7(spark, d):
     return rounded(zones.fills(bars, zones.gaps(bars)), "fill_percent")
 
 
-@query("b8_average_true_range", f"{REC}{sql.bars(('1h', '4h'))}, {sql.atr()} SELECT symbol, timeframe, i, round(atr, 6) AS atr FROM a")
+@query("b8_average_true_range", f"{REC}{sql.bars()}, {sql.atr()} SELECT symbol, timeframe, i, round(atr, 6) AS atr FROM a")
 def b8(spark, d):
-    return rounded(indicators.atr(series(spark, d, ["1h", "4h"])).select(*SERIES, "i", "atr"), "atr")
+    return rounded(indicators.atr(series(spark, d)).select(*SERIES, "i", "atr"), "atr")
 
 
 @query("b9_average_volume", f"{WITH}{sql.bars()} SELECT symbol, timeframe, i, CASE WHEN i >= 19 THEN round(avg(volume) OVER ({sql.W} ROWS 19 PRECEDING), 6) END AS average_volume FROM b")
@@ -150,13 +150,16 @@ def b14(spark, d):
     return liquidity.intraday_sweeps(series(spark, d))
 
 
-@query("b15_levels_near_zones", f"""{REC}{sql.bars(("1h",))}, {sql.atr()}, {sql.DAYS}, {sql.GAPS} SELECT g.symbol, g.timeframe, g.confirmation_index AS zone_index, pd.confirmation_index AS level_index, pd.kind, pd.price
-FROM g JOIN a ON a.symbol = g.symbol AND a.timeframe = g.timeframe AND a.i = g.confirmation_index JOIN pd ON pd.symbol = g.symbol AND pd.timeframe = g.timeframe AND pd.confirmation_index <= g.confirmation_index AND pd.confirmation_index > g.confirmation_index - 60 WHERE greatest(lower - price, price - upper, 0) <= atr * 0.5""")
+@query("b15_levels_near_zones", f"""{REC}{sql.bars()}, {sql.atr()}, {sql.DAYS}, {sql.GAPS} SELECT g.symbol, g.timeframe, g.confirmation_index AS zone_index, pd.confirmation_index AS level_index, pd.kind, pd.price
+FROM g JOIN a ON a.symbol = g.symbol AND a.timeframe = g.timeframe AND a.i = g.confirmation_index JOIN pd ON pd.symbol = g.symbol AND pd.timeframe = g.timeframe AND pd.confirmation_index <= g.confirmation_index WHERE greatest(lower - price, price - upper, 0) <= atr * 0.5""")
 def b15(spark, d):
-    bars = series(spark, d, ["1h"])
+    """Gaps with all earlier days' extremes in them or within half an average range of them."""
+    bars = series(spark, d)
     levels = liquidity.previous_days(bars).select(*SERIES, F.col("confirmation_index").alias("level_index"), "kind", "price")
     found = zones.gaps(bars).join(indicators.atr(bars).select(*SERIES, F.col("i").alias("confirmation_index"), "atr"), [*SERIES, "confirmation_index"]).withColumnRenamed("confirmation_index", "zone_index")
-    near = found.join(levels, SERIES).where((F.col("level_index") <= F.col("zone_index")) & (F.col("level_index") > F.col("zone_index") - 60) & liquidity.near_zone(F.col("price"), F.col("lower"), F.col("upper"), F.col("atr"), 0.5))
+    reach = F.col("atr") * 0.5 * (1 + 1e-9)
+    near = crossing.overlapping(found.withColumn("_low", F.col("lower") - reach).withColumn("_high", F.col("upper") + reach), levels, SERIES, ("_low", "_high"), ("price", "price"))
+    near = near.where((F.col("level_index") <= F.col("zone_index")) & liquidity.near_zone(F.col("price"), F.col("lower"), F.col("upper"), F.col("atr"), 0.5))
     return near.select(*SERIES, "zone_index", "level_index", "kind", "price")
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from . import sql
 from .functions import risk
 from .operators import indicators, liquidity, ranges, structure, zones
+from .operators.crossing import overlapping
+from .operators.shared import kept
 from .plans import decide, scan
 from .queries import REC, WITH, pool_versions, query, rounded, series
 from .queries_ops import SETUPS, SG, setups
@@ -114,8 +116,8 @@ def d2(spark, d):
     return rounded(rows.select("key", F.coalesce(far, F.col("confirmation_price") + risk.side(F.col("direction")) * 2.0 * own).alias("target")), "target")
 
 
-def live_zones(spark, d, timeframe: str):
-    bars = series(spark, d, [timeframe])
+def live_zones(spark, d, timeframe: str | None = None):
+    bars = series(spark, d, [timeframe]) if timeframe else series(spark, d)
     events = structure.breaks(bars, structure.swings(bars))
     return zones.zones(bars, zones.order_blocks(bars, events), zones.gaps(bars))
 
@@ -131,13 +133,16 @@ def d3(spark, d):
     return rows.select("key").join(hit, "key", "left").select("key", F.coalesce("clean_path", F.lit(True)).alias("clean_path"))
 
 
-@query("d4_zone_overlap", f"{WITH}{sql.bars(('1h',))}, {sql.swings()}, {sql.breaks()}, {sql.BLOCKS}, {sql.GAPS} SELECT ob.symbol, ob.direction, ob.candle_index, g.confirmation_index AS gap_index, greatest(ob.lower, g.lower) AS lower, least(ob.upper, g.upper) AS upper FROM ob JOIN g ON g.symbol = ob.symbol AND g.direction = ob.direction AND ob.lower <= g.upper AND g.lower <= ob.upper AND g.confirmation_index BETWEEN ob.candle_index AND ob.candle_index + 50")
+@query("d4_zone_overlap", f"""{WITH}{sql.bars()}, {sql.swings()}, {sql.breaks()}, {sql.BLOCKS}, {sql.MITIGATION}, {sql.GAPS}, {sql.FILLS}, {sql.ZONES} SELECT o.symbol, o.timeframe, o.direction, o.formed AS candle_index, g.formed AS gap_index, greatest(o.lower, g.lower) AS lower, least(o.upper, g.upper) AS upper, greatest(o.known_at, g.known_at) AS from_ms, least(o.dead_at, g.dead_at) AS until_ms
+FROM z o JOIN z g ON o.zone_kind = 'OB' AND g.zone_kind = 'FVG' AND g.symbol = o.symbol AND g.timeframe = o.timeframe AND g.direction = o.direction AND o.lower <= g.upper AND g.lower <= o.upper WHERE coalesce(o.dead_at > g.known_at, true) AND coalesce(g.dead_at > o.known_at, true)""")
 def d4(spark, d):
-    bars = series(spark, d, ["1h"])
-    blocks = zones.order_blocks(bars, structure.breaks(bars, structure.swings(bars))).select("symbol", "direction", "candle_index", "lower", "upper")
-    gap = zones.gaps(bars).select("symbol", "direction", F.col("confirmation_index").alias("gap_index"), F.col("lower").alias("gl"), F.col("upper").alias("gu"))
-    met = blocks.join(gap, ["symbol", "direction"]).where((F.col("lower") <= F.col("gu")) & (F.col("gl") <= F.col("upper")) & F.col("gap_index").between(F.col("candle_index"), F.col("candle_index") + 50))
-    return met.select("symbol", "direction", "candle_index", "gap_index", F.greatest("lower", "gl").alias("lower"), F.least("upper", "gu").alias("upper"))
+    """Order blocks and gaps of one direction that overlap in price while both are live, in any order of forming."""
+    found = kept(live_zones(spark, d))
+    block = found.where("zone_kind = 'OB'").select(*SERIES, "direction", F.col("formed").alias("candle_index"), "lower", "upper", "known_at", "dead_at")
+    gap = found.where("zone_kind = 'FVG'").select(*SERIES, "direction", F.col("formed").alias("gap_index"), F.col("lower").alias("gl"), F.col("upper").alias("gu"), F.col("known_at").alias("gk"), F.col("dead_at").alias("gd"))
+    met = overlapping(block, gap, [*SERIES, "direction"], ("lower", "upper"), ("gl", "gu"))
+    met = met.where(F.coalesce(F.col("dead_at") > F.col("gk"), F.lit(True)) & F.coalesce(F.col("gd") > F.col("known_at"), F.lit(True)))
+    return met.select(*SERIES, "direction", "candle_index", "gap_index", F.greatest("lower", "gl").alias("lower"), F.least("upper", "gu").alias("upper"), F.greatest("known_at", "gk").alias("from_ms"), F.least("dead_at", "gd").alias("until_ms"))
 
 
 @query("b20_b21_snapshot")

@@ -29,30 +29,37 @@ def stream_messages(lines: DataFrame, symbols: list[str] | None = None) -> tuple
     return parsed.where("outcome = 'ok'").select("bar.*"), parsed.where("outcome = 'invalid'").select("value")
 
 
-def stream_accepted(bars: DataFrame) -> DataFrame:
-    """Bars newer than all that came before in their series; a series' state is one number."""
+def stream_accepted(bars: DataFrame, arrival: list[str]) -> DataFrame:
+    """Bars newer than all that came before in their series, in the order of arrival (columns of bars); a series' state is one number.
+
+    The shuffle keeps no order, so a micro-batch's bars of a series are put in order again; what a trigger may read bounds them.
+    Late bars are dropped as the batch form drops them, if arrival does not run back from one batch to the next.
+    """
 
     def newer(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else -(2**62)
-        for part in parts:
-            part = part.sort_values("open_time_ms", kind="stable")
-            keep = part["open_time_ms"].cummax().shift(fill_value=last).clip(lower=last) < part["open_time_ms"]
-            last = max(last, int(part["open_time_ms"].max()))
-            yield part[keep]
-        state.update((last,))
+        own = pd.concat(parts).sort_values(arrival, kind="stable")
+        top = own["open_time_ms"].cummax()
+        keep = top.shift(fill_value=last).clip(lower=last) < own["open_time_ms"]
+        state.update((max(last, int(top.iloc[-1])),))
+        yield own[keep]
 
     return bars.groupBy(*SERIES).applyInPandasWithState(newer, bars.schema, "last bigint", "append", "NoTimeout")
 
 
-def keep_table(spark: SparkSession, path: str, keep: int = 500) -> Callable[[DataFrame, int], None]:
+def keep_table(spark: SparkSession, path: str, keep: int = 500, arrival: list[str] | None = None) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: merges each batch into a bar table and its retention, as a new version that a pointer row names last.
 
-    A batch that is run again makes the same table again; a reader follows the newest complete version.
+    Of several writes of a bar the last in arrival (columns of the batch, not stored) holds; ties, and all without arrival, go by the values, the
+    largest holding. So a batch that is run again makes the same table again; a reader follows the newest complete version.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         current = latest(spark, path)
-        rows = upkeep.newest(batch.dropDuplicates([*SERIES, "open_time_ms"]), keep) if current is None else upkeep.merged(current, batch.dropDuplicates([*SERIES, "open_time_ms"]), keep)
+        values = [c for c in batch.columns if c not in upkeep.KEY and c not in (arrival or [])]
+        last = F.max(F.struct(*[F.col(c) for c in arrival or []], F.struct(*values).alias("_values")))
+        batch = batch.groupBy(*upkeep.KEY).agg(last.alias("_last")).select(*upkeep.KEY, "_last._values.*")
+        rows = upkeep.newest(batch, keep) if current is None else upkeep.merged(current, batch, keep)
         version = f"{path}/data/{number}-{uuid.uuid4().hex}"
         rows.write.partitionBy("timeframe").parquet(version)
         spark.createDataFrame([(number, version)], "number bigint, version string").write.mode("append").parquet(f"{path}/versions")
