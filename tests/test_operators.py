@@ -1,6 +1,8 @@
-"""Literal vectors of every detector, on the DataFrame operators."""
+"""Every detector against a plain bar-by-bar fold of a seeded walk."""
 
 import datetime as dt
+import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,49 +31,99 @@ def got(df, *columns):
     return sorted(tuple(r[c] for c in columns) for r in df.collect())
 
 
-def test_swings(spark):
-    found = structure.swings(bars(spark, highs=[1, 2, 5, 3, 2], lows=[0, 1, 2, 1, 0]), 1, 2)
-    assert ("high", 2, 4, 5.0) in got(found, "kind", "i", "confirmation_index", "price")
-    plateau = structure.swings(bars(spark, highs=[1, 4, 4, 2, 1], lows=[0, 1, 1, 1, 0]), 1, 1)
-    assert got(plateau.where("kind = 'high'"), "i", "confirmation_index") == [(1, 2)]
-
-
-def test_breaks(spark):
-    found = structure.breaks(bars(spark, closes=[8, 9, 10.1, 8, 5.9, 11, 12.1]), points(spark, [("high", 1, 2, 10), ("low", 3, 4, 6), ("high", 5, 6, 12)]))
-    assert got(found, "candle_index", "kind", "direction") == [(2, "BOS", "bullish"), (4, "CHoCH", "bearish"), (6, "CHoCH", "bullish")]
-    consumed = structure.breaks(bars(spark, closes=[8, 9, 9, 13, 8, 11]), points(spark, [("high", 0, 0, 10), ("high", 2, 2, 12)]))
-    assert got(consumed, "candle_index", "swing_index", "level") == [(3, 2, 12.0)]
-    assert got(structure.breaks(bars(spark, closes=[9, 11, 11.5, 12, 13]), points(spark, [("high", 1, 3, 10)])), "candle_index") == []
-
-
-def test_order_block_and_mitigation(spark):
-    own = bars(spark, opens=[8, 9, 10, 11, 10], highs=[9, 10, 11, 12, 13], lows=[7, 8, 9, 10, 9], closes=[8.5, 8.5, 10.5, 11.5, 12.5])
-    event = spark.createDataFrame([("S", "1m", 4, "bullish", 0, 9.0, "BOS", 0, 0)], "symbol string, timeframe string, candle_index int, direction string, swing_index int, level double, kind string, known_at bigint, event_open_ms bigint")
-    assert got(zones.order_blocks(own, event), "candle_index", "confirmation_index", "lower", "upper") == [(1, 4, 8.5, 9.0)]
-    block = spark.createDataFrame([("S", "1m", "bullish", 1, 2, 8.5, 9.0)], "symbol string, timeframe string, direction string, candle_index int, confirmation_index int, lower double, upper double")
-    after = bars(spark, closes=[10, 9.5, 12, 8.7, 8.4, 9.2])
-    assert got(zones.mitigation(after, block), "mitigation_index") == [(4,)]
-    assert zones.mitigation(after, block.withColumn("as_of", F.lit(3)), "as_of").first()["mitigation_index"] is None
-
-
-def test_gap_and_fill(spark):
-    first = bars(spark, highs=[10, 12, 14], lows=[8, 11, 13])
-    assert got(zones.gaps(first), "direction", "first_candle_index", "lower", "upper") == [("bullish", 0, 10.0, 13.0)]
-    part = bars(spark, highs=[10, 12, 14, 14], lows=[8, 11, 13, 12])
-    assert zones.fills(part, zones.gaps(part).where("confirmation_index = 2")).first()["fill_percent"] == pytest.approx(33.33333333)
-    full = bars(spark, highs=[10, 12, 14, 14, 12], lows=[8, 11, 13, 12, 10])
-    row = zones.fills(full, zones.gaps(full).where("confirmation_index = 2")).first()
-    assert (row["fill_percent"], row["fully_filled"], row["fill_index"]) == (100.0, True, 4)
-    near = bars(spark, highs=[10, 12, 14, 14], lows=[8, 11, 13, 10.0000000001])
-    row = zones.fills(near, zones.gaps(near).where("confirmation_index = 2")).first()
-    assert row["fill_percent"] < 100 and not row["fully_filled"]
-
-
-def test_indicators(spark):
-    rows = indicators.atr(bars(spark, highs=[10, 12, 13], lows=[8, 9, 11], closes=[9, 11, 12]), 2).orderBy("i").collect()
-    assert [r["atr"] for r in rows] == [None, 2.5, 2.25]
-    rows = indicators.average_volume(bars(spark, volumes=[10, 20, 30, 50]), 2).orderBy("i").collect()
-    assert [r["average_volume"] for r in rows] == [None, 15.0, 25.0, 40.0]
+@pytest.fixture(scope="module")
+def walk(spark):
+    """300 bars of a seeded walk on a grid of quarters, so that ties, gaps and touches all occur, and their plain lists."""
+    dice = random.Random(20)
+    o, h, low, c, price = [], [], [], [], 50.0
+    for _ in range(300):
+        a, b = price, price + dice.choice([-1.5, -1.0, -0.5, -0.25, 0.0, 0.25, 0.5, 1.0, 1.5])
+        o, c = [*o, a], [*c, b]
+        h, low = [*h, max(a, b) + dice.choice([0.0, 0.25, 0.5])], [*low, min(a, b) - dice.choice([0.0, 0.25, 0.5])]
+        price = b + dice.choice([0.0, 0.0, -0.75, 0.75])
+    own = bars(spark, opens=o, highs=h, lows=low, closes=c, times=[i * 900_000 for i in range(300)])
+    return SimpleNamespace(df=own.cache(), o=o, h=h, l=low, c=c, n=300)
+
+
+def swings_of(w, left, right):
+    found = []
+    for i in range(left, w.n - right):
+        if w.h[i] > max(w.h[i - left : i]) and w.h[i] >= max(w.h[i + 1 : i + right + 1]):
+            found.append(("high", i, i + right, w.h[i]))
+        if w.l[i] < min(w.l[i - left : i]) and w.l[i] <= min(w.l[i + 1 : i + right + 1]):
+            found.append(("low", i, i + right, w.l[i]))
+    return found
+
+
+def breaks_of(w, swings):
+    """Bar by bar, with the swings that can still be broken."""
+    waiting, found, last = [], [], None
+    for t in range(w.n):
+        above = lambda s, price: price > s[3] if s[0] == "high" else price < s[3]
+        waiting += [s for s in swings if s[2] == t and not (t and above(s, w.c[t - 1]))]
+        gone = [s for s in waiting if above(s, w.c[t])]
+        waiting = [s for s in waiting if s not in gone]
+        if gone:
+            newest = max(gone, key=lambda s: (s[2], s[1]))
+            side = "bullish" if newest[0] == "high" else "bearish"
+            found.append((t, "CHoCH" if last not in (None, side) else "BOS", side, newest[1], newest[3]))
+            last = side
+    return found
+
+
+@pytest.mark.parametrize(("left", "right"), [(1, 1), (2, 2), (1, 3), (4, 1)])
+def test_swings(walk, left, right):
+    want = swings_of(walk, left, right)
+    assert len(want) > 20 and got(structure.swings(walk.df, left, right), "kind", "i", "confirmation_index", "price") == sorted(want)
+
+
+@pytest.mark.parametrize("width", [1, 2])
+def test_breaks(walk, width):
+    want = breaks_of(walk, swings_of(walk, width, width))
+    assert {x[1:3] for x in want} == {(k, d) for k in ("BOS", "CHoCH") for d in ("bullish", "bearish")}
+    assert got(structure.breaks(walk.df, structure.swings(walk.df, width, width)), "candle_index", "kind", "direction", "swing_index", "level") == sorted(want)
+
+
+def test_order_blocks_and_mitigation(walk):
+    want = {}
+    for t, _, side, swing, _ in breaks_of(walk, swings_of(walk, 2, 2)):
+        against = [i for i in range(swing + 1, t) if (walk.c[i] < walk.o[i] if side == "bullish" else walk.c[i] > walk.o[i])]
+        if against:
+            want.setdefault((side, max(i for i in range(t) if (walk.c[i] < walk.o[i] if side == "bullish" else walk.c[i] > walk.o[i]))), t)
+    want = [(side, i, t, min(walk.o[i], walk.c[i]), max(walk.o[i], walk.c[i])) for (side, i), t in want.items()]
+    blocks = zones.order_blocks(walk.df, structure.breaks(walk.df, structure.swings(walk.df)))
+    assert len(want) > 5 and got(blocks, "direction", "candle_index", "confirmation_index", "lower", "upper") == sorted(want)
+    through = lambda x, end: next((i for i in range(x[2] + 1, end) if (walk.c[i] < x[3] if x[0] == "bullish" else walk.c[i] > x[4])), None)
+    for end, found in ((walk.n, zones.mitigation(walk.df, blocks)), (150, zones.mitigation(walk.df, blocks.withColumn("as_of", F.lit(149)), "as_of"))):
+        assert {(r["direction"], r["candle_index"]): r["mitigation_index"] for r in found.collect()} == {x[:2]: through(x, end) for x in want}
+
+
+def test_gaps_and_fills(walk):
+    want = {}
+    for i in range(2, walk.n):
+        side, lower, upper = ("bullish", walk.h[i - 2], walk.l[i]) if walk.l[i] > walk.h[i - 2] else ("bearish", walk.h[i], walk.l[i - 2])
+        if upper > lower:
+            depth = [upper - x if side == "bullish" else y - lower for x, y in zip(walk.l[i + 1 :], walk.h[i + 1 :], strict=True)]
+            part = min(max([0.0, *depth]) / (upper - lower), 1.0) * 100
+            want[i] = (side, i - 2, lower, upper, round(part, 6), next((i + 1 + k for k, x in enumerate(depth) if x >= upper - lower), None))
+    found = {r["confirmation_index"]: (r["direction"], r["first_candle_index"], r["lower"], r["upper"], round(r["fill_percent"], 6), r["fill_index"]) for r in zones.fills(walk.df, zones.gaps(walk.df)).collect()}
+    assert len(want) > 20 and found == want
+
+
+def test_a_hair_of_a_gap_left_is_not_full(spark):
+    own = bars(spark, highs=[20, 25, 31, 30], lows=[18, 21, 27, 20 + 1e-11])
+    row = zones.fills(own, zones.gaps(own).where("confirmation_index = 2")).first()
+    assert row["fill_percent"] < 100 and not row["fully_filled"] and row["fill_index"] is None
+
+
+def test_indicators(walk):
+    reach = [walk.h[0] - walk.l[0]] + [max(walk.h[i], walk.c[i - 1]) - min(walk.l[i], walk.c[i - 1]) for i in range(1, walk.n)]
+    rows = indicators.atr(walk.df, 5).orderBy("i").limit(6).collect()
+    start = sum(reach[:5]) / 5
+    assert [r["atr"] for r in rows] == [None] * 4 + [pytest.approx(start), pytest.approx((start * 4 + reach[5]) / 5)]
+    volumes = walk.df.withColumn("volume", F.col("close") * 3)
+    rows = indicators.average_volume(volumes, 7).orderBy("i").collect()
+    assert [r["average_volume"] for r in rows] == [None if i < 6 else pytest.approx(3 * sum(walk.c[i - 6 : i + 1]) / 7) for i in range(walk.n)]
 
 
 def test_atr_equals_the_recursion_over_many_chunks(spark):
@@ -88,39 +140,75 @@ def test_atr_equals_the_recursion_over_many_chunks(spark):
     assert len(rows) == n - period and all(r["atr"] == pytest.approx(want[r["i"]], rel=1e-9) for r in rows)
 
 
-def test_pools_and_sweeps(spark):
-    own = bars(spark, closes=[1.0] * 12).withColumn("atr", F.lit(1.0))
-    found = liquidity.pools(points(spark, [("high", 2, 3, 100), ("high", 8, 9, 100.5), ("low", 5, 6, 90)]), own, 0.6)
-    rows = {(r["kind"], r["version"]): r for r in found.collect()}
-    assert rows["high", 1]["source_indices"] == [2, 8] and rows["high", 1]["confirmation_index"] == 9 and rows["high", 1]["equal_level"] and rows["high", 0]["superseded_at"] == 9
-    level = spark.createDataFrame([("S", "1m", "high", 10.0, 2)], "symbol string, timeframe string, kind string, price double, confirmation_index int")
-    swept = liquidity.sweeps(bars(spark, highs=[9, 9, 9, 11, 12], lows=[8] * 5, closes=[8.5, 8.5, 8.5, 9.5, 9.5]), level, ["kind"])
-    assert got(swept, "candle_index", "direction") == [(3, "bearish")]
-
-
-def test_current_day(spark):
-    found = liquidity.current_day(bars(spark, highs=[100, 102, 110], lows=[90, 91, 80], times=[1767311940000, 1767312000000, 1767312060000]))
-    assert got(found, "kind", "price", "confirmation_index") == [("high", 102.0, 1), ("low", 91.0, 1)]
-
-
-def test_range(spark):
-    row = ranges.dealing_ranges(points(spark, [("low", 2, 4, 100), ("high", 8, 10, 200)])).first()
-    assert (row["equilibrium"], row["ote_lower"], row["ote_upper"]) == (150.0, pytest.approx(121), pytest.approx(138))
-
-
-def test_prefix_invariance(spark):
-    closes = [10, 11, 12, 11, 9, 8, 10, 12, 13, 11, 10, 14, 15, 12, 11, 13]
-    own = bars(spark, opens=[c - 0.25 if i == 0 or c >= closes[i - 1] else c + 0.25 for i, c in enumerate(closes)], closes=closes)
-    whole = structure.breaks(own, structure.swings(own, 1, 1))
-    for end in (8, 12):
-        part = own.where(F.col("i") <= end)
+def test_pools(walk):
+    swings = sorted(swings_of(walk, 1, 1), key=lambda s: (s[2], s[1], s[0]))
+    pools, want = [], []
+    for kind, i, known, price in swings:
+        near = next((p for p in reversed(pools) if p[0][0] == kind and abs(p[-1][3] - price) <= 0.25 and known - p[-1][2] <= 40), None)
+        if near is None:
+            pools.append(near := [])
+        near.append((kind, i, known, price))
+        want.append((kind, known, [m[1] for m in near], sum(m[3] for m in near) / len(near), len(near) > 1))
+    found = liquidity.pools(structure.swings(walk.df, 1, 1), walk.df.withColumn("atr", F.lit(0.5)), 0.5, 40).collect()
+    assert max(len(x[2]) for x in want) > 2
+    assert sorted((r["kind"], r["confirmation_index"], r["source_indices"], r["price"], r["equal_level"]) for r in found) == sorted(want)
+    for r in found:
+        later = [x["confirmation_index"] for x in found if x["pool"] == r["pool"] and x["version"] == r["version"] + 1]
+        assert r["superseded_at"] == (later[0] if later else None)
+
+
+def test_sweeps(walk):
+    points = structure.swings(walk.df, 2, 2).withColumnRenamed("i", "swing")
+    want = []
+    for kind, i, known, price in swings_of(walk, 2, 2):
+        taken = lambda t: walk.h[t] > price > walk.c[t] if kind == "high" else walk.l[t] < price < walk.c[t]  # noqa: B023, E731
+        hit = next((t for t in range(known + 1, min(known + 60, walk.n - 1) + 1) if taken(t)), None)
+        if hit is not None:
+            want.append((kind, i, hit, "bearish" if kind == "high" else "bullish"))
+    assert len(want) > 10 and got(liquidity.sweeps(walk.df, points, ["kind", "swing"], 60), "kind", "swing", "candle_index", "direction") == sorted(want)
+
+
+def test_day_extremes(walk):
+    day, last = 96, 288  # bars a day, first bar of the last day
+    want = [(kind, pick(line[a : a + day]), a + day - 1) for a in range(0, last, day) for kind, pick, line in (("high", max, walk.h), ("low", min, walk.l))]
+    assert got(liquidity.previous_days(walk.df), "kind", "price", "confirmation_index") == sorted(want)
+    top, low = max(walk.h[last : walk.n - 1]), min(walk.l[last : walk.n - 1])
+    ties = lambda line, price: [i for i in range(last, walk.n - 1) if line[i] == price]
+    assert got(liquidity.current_day(walk.df), "kind", "price", "confirmation_index", "source_indices") == [("high", top, walk.n - 2, ties(walk.h, top)), ("low", low, walk.n - 2, ties(walk.l, low))]
+
+
+def test_range(walk):
+    legs = []  # the extreme of each run of swings of one kind
+    for s in sorted(swings_of(walk, 2, 2), key=lambda s: (s[2], s[1], s[0])):
+        better = legs and legs[-1][0] == s[0] and (s[3] > legs[-1][3] if s[0] == "high" else s[3] < legs[-1][3])
+        if not legs or legs[-1][0] != s[0]:
+            legs.append(s)
+        elif better:
+            legs[-1] = s
+    start, end = legs[-2:]
+    low, high = sorted((start[3], end[3]))
+    row = ranges.dealing_ranges(structure.swings(walk.df)).first()
+    assert (row["start_index"], row["end_index"], row["low"], row["high"], row["equilibrium"]) == (start[1], end[1], low, high, (low + high) / 2)
+    share = sorted(abs(end[3] - row[c]) / (high - low) for c in ("ote_lower", "ote_upper"))
+    assert share == [pytest.approx(0.62), pytest.approx(0.79)]
+
+
+def test_prefix_invariance(walk):
+    whole = structure.breaks(walk.df, structure.swings(walk.df, 1, 1))
+    for end in (57, 211):
+        part = walk.df.where(F.col("i") <= end)
         assert got(structure.breaks(part, structure.swings(part, 1, 1)), "candle_index", "kind") == got(whole.where(F.col("candle_index") <= end), "candle_index", "kind")
 
 
-def test_risk(spark):
-    one = spark.range(1)
-    limit = lambda side, target, stop: one.select(risk.entry_limit(F.lit(side), F.lit(target), F.lit(stop), F.lit(0.1))).first()[0]
-    assert (limit("long", 120.0, 90.0), limit("short", 80.0, 110.0)) == (102.0, 98.0)
+def test_entry_limit(spark):
+    """The limit lies on the tick and keeps the reward; one tick further does not."""
+    dice = random.Random(7)
+    asked = [(side, stop + (1 if side == "long" else -1) * dice.randint(20, 90) / 4, stop, tick) for side in ("long", "short") for stop in (31.25, 77.5, 140.0) for tick in (0.05, 0.25, 0.5)]
+    rows = spark.createDataFrame(asked, "side string, target double, stop double, tick double").withColumn("limit", risk.entry_limit(F.col("side"), F.col("target"), F.col("stop"), F.col("tick"))).collect()
+    for r in rows:
+        assert abs(r["limit"] / r["tick"] - round(r["limit"] / r["tick"])) < 1e-9
+        reward = lambda price: abs(r["target"] - price) / abs(price - r["stop"])  # noqa: B023, E731
+        assert reward(r["limit"]) >= 1.5 - 1e-9 > reward(r["limit"] + (r["tick"] if r["side"] == "long" else -r["tick"]))
 
 
 SETUP = "key string, symbol string, timeframe string, profile string, direction string, confirmation_index int, confirmation_time_ms bigint, confirmation_price double, stop_price double, target double"
