@@ -84,6 +84,24 @@ def perhaps_in(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Colu
     return there.where((F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1)).select(*rows.columns)
 
 
+#: Bits of a bitmap that rides along with rows: 64 KB, whatever goes into it.
+FEW_BITS = 1 << 19
+
+
+def bitmap(wanted: DataFrame, key: Column) -> DataFrame:
+    """One row, b_words: the last digits of all keys (hashes) of wanted as bits, for marked(). Its size hangs on nothing."""
+    place = F.pmod(key, F.lit(FEW_BITS))
+    own = wanted.select(F.floor(place / 64).alias("b_word"), (place % 64).cast("int").alias("b_at")).groupBy("b_word").agg(F.expr("bit_or(shiftleft(1L, b_at))").alias("b_bits"))
+    every = wanted.sparkSession.range(FEW_BITS // 64).withColumnRenamed("id", "b_word").join(own, "b_word", "left")
+    every = every.agg(F.array_sort(F.collect_list(F.struct("b_word", F.coalesce("b_bits", F.lit(0).cast("long")).alias("b_bits")))).alias("b"))
+    return every.select(F.col("b.b_bits").alias("b_words"))
+
+
+def marked(words: Column, key: Column) -> Column:
+    """Whether a key may be among those of a bitmap; surely true if it is."""
+    return let(F.pmod(key, F.lit(FEW_BITS)), lambda n: F.getbit(F.get(words, F.floor(n / 64).cast("int")), (n % 64).cast("int")) == 1)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

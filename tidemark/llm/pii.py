@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, perhaps_in, sums_before, unpacked, whole_row, written
+from .common import bitmap, kept_where, let, marked, perhaps_in, sums_before, unpacked, whole_row, written
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "id"
@@ -139,12 +139,13 @@ def slots(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     """h1, h2, key, left, right, value, start and end of all that stands in the slots of patterns (key, left, right) in rows.
 
     A slot holds what follows left on its line: up to the next blank, or up to right; signs at its ends don't count.
+    A bitmap of the keys picks a text's places where it is read, so that no text is dealt; the join with patterns is exact.
     """
-    keys = lambda p: F.when(F.size(p) > 1, F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: key_before(p, i)))
-    there = rows.select("h1", "h2", F.posexplode(let(pieces(plain(F.col("text"))), keys)).alias("i", "key"))
-    hits = there.join(patterns.select("key").distinct(), "key").select("h1", "h2", (F.col("i") + 1).alias("i")).distinct().groupBy("h1", "h2").agg(F.collect_list("i").alias("at"))
-    found = texts_of(rows, written(hits, "pii-hits")).select("h1", "h2", "text", "at", pieces(plain(F.col("text")), TILE).alias("t"))
-    found = found.select("h1", "h2", "text", "at", F.transform("t", lambda x: F.ltrim(x)).alias("p"), sums_before(F.transform("t", lambda x: F.length(x))).alias("ends"))
+    own = rows.select("h1", "h2", "text", pieces(plain(F.col("text")), TILE).alias("t")).select("h1", "h2", "text", "t", F.transform("t", lambda x: F.ltrim(x)).alias("p"))
+    own = own.join(F.broadcast(bitmap(patterns, F.col("key"))))  # one row
+    at = F.when(F.size("p") > 1, F.filter(F.sequence(F.lit(1), F.size("p") - 1), lambda i: marked(F.col("b_words"), key_before(F.col("p"), i))))
+    found = kept_where(own.select("h1", "h2", "text", "t", "p", at.alias("at")), F.size("at") > 0)
+    found = found.select("h1", "h2", "text", "at", "p", sums_before(F.transform("t", lambda x: F.length(x))).alias("ends"))
     # the line's rest is cut before rows are made, so that no row holds a whole text
     tail = lambda at: F.substring_index(F.col("text").substr(at + 1, F.lit(LONGEST + 64)), "\n", 1)
     told = lambda i: let(F.get("ends", i).cast("int"), lambda at: F.struct(at.alias("from"), tail(at).alias("tail"), F.array(key_before(F.col("p"), i), longer_before(F.col("p"), i)).alias("lefts")))
@@ -218,8 +219,8 @@ def discovered(rows: DataFrame, min_support: int = MIN_SUPPORT, min_precision: f
         if wanted.isEmpty():
             break
         there = written(new.select("h1", "h2").distinct(), "pii-own")
-        own = perhaps_in(rows.select("h1", "h2", "text"), F.col("h1"), there, F.col("h1")).join(there, ["h1", "h2"], "left_semi")
-        near = slots(own, wanted).select("left", "right", "value").distinct().join(voters.withColumn("true", F.lit(1)), "value", "left")
+        own = slots(perhaps_in(rows.select("h1", "h2", "text"), F.col("h1"), there, F.col("h1")), wanted).join(there, ["h1", "h2"], "left_semi")
+        near = own.select("left", "right", "value").distinct().join(voters.withColumn("true", F.lit(1)), "value", "left")
         likely = near.groupBy("left", "right").agg((F.count("true") / F.count(F.lit(1))).alias("p")).where(F.col("p") >= min_precision).select("left", "right")
         wanted = written(wanted.join(likely, ["left", "right"], "left_semi"), "pii-wanted")
         if wanted.isEmpty():
