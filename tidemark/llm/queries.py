@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, linededup, ngram_join, packing, pieces, pii, quality, repeats, sharding, sql, warc
+from . import collocations, divergence, fingerprints, linededup, ngram_join, packing, pieces, pii, quality, repeats, sharding, sql, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,5 +55,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.extracted(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_sentencepiece, op4_packing, op5_suffix_dedup, op6_document_fingerprints, op7_sharding, op8_ngram_join, op9_line_dedup, op10_pii)}
-ORACLES: dict[str, str] = {"op1_warc": sql.WARC, "op2_quality_rules": sql.QUALITY, "op6_document_fingerprints": sql.FINGERPRINTS, "op8_ngram_join": sql.NGRAM_JOIN, "op9_line_dedup": sql.LINE_DEDUP}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_sentencepiece, op4_packing, op5_suffix_dedup, op6_document_fingerprints, op7_sharding, op8_ngram_join, op9_line_dedup, op10_pii, op11_collocations, op12_source_divergence, op13_token_counts)}
+ORACLES: dict[str, str] = {"op1_warc": sql.WARC, "op2_quality_rules": sql.QUALITY, "op6_document_fingerprints": sql.FINGERPRINTS, "op8_ngram_join": sql.NGRAM_JOIN, "op9_line_dedup": sql.LINE_DEDUP, "op11_collocations": sql.COLLOCATIONS, "op12_source_divergence": sql.DIVERGENCE}

@@ -96,3 +96,41 @@ links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id =
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(reach.b) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY ALL
 """
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+COLLOCATIONS = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, 1 AS k, unnest(w) AS g FROM w
+      UNION ALL SELECT lang, 2, w[i] || ' ' || w[i + 1] FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM w)
+      UNION ALL SELECT lang, 3, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS i FROM w)
+      UNION ALL SELECT lang, 4, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] FROM (SELECT lang, w, unnest(range(1, len(w) - 2)) AS i FROM w)),
+f AS (SELECT lang, k, g, count(*) AS f, string_split(g, ' ') AS w FROM g GROUP BY lang, k, g HAVING count(*) >= 30),
+n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, g, k, f, w, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.g, c.k, c.f, c.cut, a.f AS l, b.f AS r, ((2000000::HUGEINT * c.f) // (a.f + b.f))::BIGINT AS score
+      FROM c JOIN f a ON a.lang = c.lang AND a.g = array_to_string(c.w[1:c.cut], ' ') JOIN f b ON b.lang = c.lang AND b.g = array_to_string(c.w[c.cut + 1:c.k], ' ')),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) AS nth FROM s) WHERE nth = 1),
+sub AS (SELECT lang, array_to_string(w[1:k - 1], ' ') AS g, f FROM f WHERE k > 2 UNION ALL SELECT lang, array_to_string(w[2:k], ' ') AS g, f FROM f WHERE k > 2),
+top AS (SELECT lang, g, max(f) AS f FROM sub GROUP BY lang, g),
+kept AS (SELECT best.* FROM best LEFT JOIN top ON top.lang = best.lang AND top.g = best.g WHERE 100 * coalesce(top.f, 0) < 80 * best.f),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, g) AS rank FROM kept)
+SELECT r.lang, r.rank, r.g AS phrase, r.f AS a, r.l, r.r, n.n, r.score FROM r JOIN n ON n.lang = r.lang WHERE r.rank <= 2000
+"""
+
+DIVERGENCE = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER.format("coalesce(text, '')")} AS t FROM documents),
+o AS (SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS lc FROM o GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+have AS (SELECT o.lang, o.source, o.term, count(*) AS c FROM o JOIN kept ON kept.lang = o.lang AND kept.term = o.term GROUP BY o.lang, o.source, o.term),
+groups AS (SELECT DISTINCT lang, source FROM d),
+every AS (SELECT g.lang, g.source, k.term, coalesce(h.c, 0) AS c, k.lc FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN have h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term),
+total AS (SELECT lang, source, sum(c) AS n, sum(lc) AS ln, count(*) AS v FROM every GROUP BY lang, source),
+p AS (SELECT e.lang, e.source, e.term, e.c, (1 + (1000000000::HUGEINT * (e.c + 1)) // (t.n + t.v))::BIGINT AS p, (1 + (1000000000::HUGEINT * (e.lc + 1)) // (t.ln + t.v))::BIGINT AS q
+      FROM every e JOIN total t ON t.lang = e.lang AND t.source = e.source),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
