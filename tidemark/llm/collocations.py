@@ -22,7 +22,7 @@ SCALE = 2_000_000
 #: Ends of pieces become commas, which no word can hold; blanks stay, A-Z become lower case.
 LETTERS = bytes(44 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Bytes of text that a task looks at at once, if no single text is longer.
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 #: Bits of the filter of frequent shorter phrases (4 MB, whatever goes into it), in Spark's bitmap blocks of 4096 bytes.
 BITS, BLOCK_BITS = 1 << 25, 1 << 15
 MULTIPLIER, MIXER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -50,7 +50,7 @@ def blocks(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
     """The texts of each language, joined by commas into blocks."""
     held: dict[str, list[bytes]] = {}
     sizes: dict[str, int] = {}
-    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+    for lang, text in ((x.as_py(), y.as_py()) for x, y in zip(batch.column(0), batch.column(1), strict=True)):
         held.setdefault(lang, []).append(text)
         sizes[lang] = sizes.get(lang, 0) + len(text)
         if sizes[lang] > BLOCK:
