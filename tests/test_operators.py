@@ -240,12 +240,51 @@ def test_acceptance(spark):
         ("g", "w", 11, 30, 2.0, "ACCEPTED"),  # f's zone pauses
         ("h", "v", 20, 50, 2.0, "REJECTED"),
         ("i", "z", 45, None, 2.0, "ACCEPTED"),  # the missed price paused nothing
-        ("i", "z", 99, None, 2.0, "ACCEPTED"),
+        ("i", "z", 99, None, 2.0, "ACCEPTED"),  # stored before: ignored
+        ("b", "y", 8, 30, 2.0, "ACCEPTED"),  # blocked before, now stored
+        ("e", "w", 46, 47, 2.0, "MISSED_PRICE"),  # below the least reward before, now stored
+        ("e", "w", 48, 60, 2.0, "ACCEPTED"),  # and ignored from then on
+        ("h", "v", 52, 55, 1.0, "CANDIDATE"),
     ]
     df = spark.createDataFrame([(k, "S", "scalp", z, at * minute, end and end * minute, rr, status) for k, z, at, end, rr, status in rows], "key string, symbol string, profile string, zone_key string, confirmation_time_ms bigint, closed_at_ms bigint, risk_reward double, status string")
-    found = {r["key"]: (r["accepted"], r["stored"], r["gate_reasons"]) for r in lifecycle.accepted(df).collect()}
+    found = {(r["key"], r["confirmation_time_ms"] // minute): (r["accepted"], r["stored"], r["gate_reasons"]) for r in lifecycle.accepted(df).collect()}
     no = lambda *reasons: (False, False, list(reasons))
-    assert found == {"a": (True, True, []), "b": no("active_setup_for_symbol_profile"), "c": no("cooldown_active"), "d": (False, True, []), "e": no("rr_below_minimum"), "f": (False, True, []), "g": no("cooldown_active"), "h": no(), "i": (True, True, [])}
+    want = {("a", 0): (True, True, []), ("b", 4): no("active_setup_for_symbol_profile"), ("c", 7): no("cooldown_active"), ("d", 8): (False, True, []), ("e", 9): no("rr_below_minimum"), ("f", 10): (False, True, []), ("h", 20): no(), ("i", 99): no(), ("b", 8): (True, True, [])}
+    want |= {("g", 11): no("active_setup_for_symbol_profile", "cooldown_active"), ("i", 45): (True, True, []), ("e", 46): (False, True, []), ("e", 48): no(), ("h", 52): no("rr_below_minimum")}
+    assert found == want
+
+
+def decided(rows):
+    """Decisions in order of arrival against a store of what was kept, row by row."""
+    stored, out = {}, []
+    for key, profile, zone, at, end, rr, status in sorted(rows, key=lambda r: (r[3], r[0], r[6])):
+        reasons, kept = [], False
+        if status in ("ACCEPTED", "CANDIDATE") and rr < 1.49:
+            reasons = ["rr_below_minimum"]
+        elif status != "REJECTED" and key not in stored:
+            mine = [x for x in stored.values() if x[0] == profile]
+            if status == "ACCEPTED" and any(x[4] == "ACCEPTED" and (x[3] is None or at < x[3]) for x in mine):
+                reasons.append("active_setup_for_symbol_profile")
+            if status != "MISSED_PRICE" and any(x[1] == zone and x[4] != "MISSED_PRICE" and x[2] >= at - {"scalp": 30, "intraday": 120}[profile] for x in mine):
+                reasons.append("cooldown_active")
+            if not reasons:
+                stored[key], kept = (profile, zone, at, end, status), True
+        out.append((key, at, status, kept, reasons))
+    return sorted(out)
+
+
+def test_acceptance_against_a_store(spark):
+    import random
+
+    r, minute, rows = random.Random(12), 60_000, set()
+    for _ in range(500):
+        k = r.randrange(160)
+        at = r.randrange(3000)
+        rows.add((f"k{k:03d}", ("scalp", "intraday")[k % 2], f"z{k % 7}", at, r.choice([None, at + r.randrange(1, 90), at + 5]) if r.random() < 0.2 else at + r.randrange(1, 60), r.choice([1.2, 2.0, 2.0, 3.0]), r.choice(["ACCEPTED", "ACCEPTED", "CANDIDATE", "MISSED_PRICE", "REJECTED"])))
+    rows = list({(x[0], x[3]): x for x in rows}.values())
+    df = spark.createDataFrame([(k, "S", p, z, at * minute, end and end * minute, rr, status) for k, p, z, at, end, rr, status in rows], "key string, symbol string, profile string, zone_key string, confirmation_time_ms bigint, closed_at_ms bigint, risk_reward double, status string")
+    got = sorted((x["key"], x["confirmation_time_ms"] // minute, x["status"], x["stored"], x["gate_reasons"]) for x in lifecycle.accepted(df).collect())
+    assert got == decided(rows) and sum(x[3] for x in got) > 20
 
 
 def test_first_crossing_over_many_blocks(spark):

@@ -77,31 +77,39 @@ def partial_exits(setups: DataFrame, bars: DataFrame, weights: tuple[float, ...]
 
 
 def accepted(decided: DataFrame) -> DataFrame:
-    """decided (key, symbol, profile, zone_key, confirmation_time_ms, closed_at_ms, risk_reward, status) with accepted, stored and gate_reasons.
+    """decided (key, symbol, profile, zone_key, confirmation_time_ms, closed_at_ms, risk_reward, status) with accepted, stored, ignored and gate_reasons.
 
     status is ACCEPTED, CANDIDATE, MISSED_PRICE or REJECTED. Rejected rows are never stored; accepted ones and
     candidates below the least reward are rejected before the gates. In order of time and key the rest are gated: an
     ACCEPTED one if its symbol and profile have an open one (one closed by then is none, the lifecycle coming first),
     an ACCEPTED or CANDIDATE one if its zone has a stored one that began within the cooldown, missed prices apart. A
-    MISSED_PRICE meets no gate and starts no cooldown. A key is decided once, by its first row. A reward of null counts as 0.
+    MISSED_PRICE meets no gate and starts no cooldown. A key that is stored is ignored from then on, missed prices
+    included; one that was rejected, blocked or below the least reward can still be stored by a later row. Every row
+    stays in the result; rows of one key and time come in the order of their other columns. A reward of null counts as 0.
 
     Who comes next depends on who was accepted, so rows are folded in order by an Arrow function; its state is one open
     setup and the zones within the cooldown. A symbol and profile is cut wherever no earlier row can reach on, neither
     open nor by its cooldown, and each piece is a group of its own.
     """
-    once = decided.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("confirmation_time_ms"))).where("_n = 1").drop("_n")
-    once = kept(once)
+    once = kept(decided.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("confirmation_time_ms", "status", "risk_reward", "zone_key", "closed_at_ms"))))
     below = F.col("status").isin("CANDIDATE", *LIVE) & (F.coalesce("risk_reward", F.lit(0.0)) < MINIMUM_RR)
-    narrow = once.where(~below & (F.col("status") != "REJECTED")).select("symbol", "profile", "key", "zone_key", "status", "confirmation_time_ms", F.coalesce("closed_at_ms", F.lit(2**62)).alias("closes"), (by_profile(COOLDOWN_MINUTES) * 60_000).alias("cooldown"))
-    order = Window.partitionBy("symbol", "profile").orderBy("confirmation_time_ms", "key")
+    narrow = once.where(~below & (F.col("status") != "REJECTED")).select("symbol", "profile", "key", "nth", "zone_key", "status", "confirmation_time_ms", F.coalesce("closed_at_ms", F.lit(2**62)).alias("closes"), (by_profile(COOLDOWN_MINUTES) * 60_000).alias("cooldown"))
+    order = Window.partitionBy("symbol", "profile").orderBy("confirmation_time_ms", "key", "nth")
     reach = F.when(F.col("status") == "ACCEPTED", F.greatest("closes", F.col("confirmation_time_ms") + F.col("cooldown") + 1)).when(F.col("status") == "CANDIDATE", F.col("confirmation_time_ms") + F.col("cooldown") + 1)
-    narrow = narrow.withColumn("_free", F.coalesce(F.max(reach).over(order.rowsBetween(Window.unboundedPreceding, -1)) <= F.col("confirmation_time_ms"), F.lit(False)).cast("int"))
+    # a row reaches to the last row of its key, which it may keep from being stored
+    last = F.max("confirmation_time_ms").over(Window.partitionBy("symbol", "profile", "key")) + 1
+    reach = F.greatest(reach, F.when(last > F.col("confirmation_time_ms") + 1, last))
+    narrow = narrow.withColumn("_reach", reach)
+    narrow = narrow.withColumn("_free", F.coalesce(F.max("_reach").over(order.rowsBetween(Window.unboundedPreceding, -1)) <= F.col("confirmation_time_ms"), F.lit(False)).cast("int")).drop("_reach")
     narrow = narrow.withColumn("piece", F.sum("_free").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_free")
 
     def fold(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["confirmation_time_ms", "key"])
-        closes, zones, out = None, {}, []
-        for key, zone, status, at, end, cooldown in zip(own["key"], own["zone_key"], own["status"], own["confirmation_time_ms"], own["closes"], own["cooldown"], strict=True):
+        own = own.sort_values(["confirmation_time_ms", "key", "nth"])
+        closes, zones, out, known = None, {}, [], set()
+        for key, nth, zone, status, at, end, cooldown in zip(own["key"], own["nth"], own["zone_key"], own["status"], own["confirmation_time_ms"], own["closes"], own["cooldown"], strict=True):
+            if key in known:
+                out.append((key, nth, False, None))
+                continue
             reasons = []
             if status == "ACCEPTED" and closes is not None and at < closes:
                 reasons.append("active_setup_for_symbol_profile")
@@ -110,14 +118,18 @@ def accepted(decided: DataFrame) -> DataFrame:
             if not reasons and status != "MISSED_PRICE":
                 closes = end if status == "ACCEPTED" else closes
                 zones = {z: t for z, t in zones.items() if t >= at - cooldown} | {zone: at}
-            out.append((key, not reasons, reasons))
-        return pd.DataFrame(out, columns=["key", "stored", "_gates"])
+            if not reasons:
+                known.add(key)
+            out.append((key, nth, not reasons, reasons))
+        return pd.DataFrame(out, columns=["key", "nth", "stored", "_gates"])
 
-    gated = narrow.groupBy("symbol", "profile", "piece").applyInPandas(fold, "key string, stored boolean, _gates array<string>")
-    rows = once.join(gated, "key", "left").withColumn("stored", F.coalesce("stored", F.lit(False)))
+    gated = narrow.groupBy("symbol", "profile", "piece").applyInPandas(fold, "key string, nth int, stored boolean, _gates array<string>")
+    rows = once.join(gated, ["key", "nth"], "left").withColumn("stored", F.coalesce("stored", F.lit(False)))
     none = F.array().cast("array<string>")
+    tried = ~below & (F.col("status") != "REJECTED")
     reasons = F.when(below, F.array(F.lit("rr_below_minimum"))).otherwise(F.coalesce("_gates", none))
-    return rows.withColumn("gate_reasons", reasons).withColumn("accepted", F.col("stored") & (F.col("status") == "ACCEPTED")).drop("_gates")
+    rows = rows.withColumn("ignored", tried & F.col("_gates").isNull()).withColumn("gate_reasons", reasons)
+    return rows.withColumn("accepted", F.col("stored") & (F.col("status") == "ACCEPTED")).drop("_gates", "nth")
 
 
 def state_of(events: DataFrame) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import risk
-from ..operators import indicators, liquidity, ranges, structure, zones
+from ..operators import alive, indicators, liquidity, ranges, structure, zones
 from ..operators.crossing import asof
 from ..operators.shared import kept
 from ..sources.bars import SERIES
+from . import targets as aims
 
 
 @dataclass(frozen=True)
@@ -91,9 +92,32 @@ def snapshots(bars: DataFrame, profile: Profile) -> tuple[DataFrame, dict]:
     else:
         rows = rows.withColumn("extra_bar", F.lit(None).cast("struct<i:int,close_time_ms:bigint>")).withColumn("extra_break", F.lit(None).cast("struct<direction:string,candle_index:int>"))
     rows = kept(rows)
-    found = kept(zones.zones(zone["bars"], zones.order_blocks(zone["bars"], zone["breaks"]), zones.gaps(zone["bars"])))
+    found = zones.zones(zone["bars"], zones.order_blocks(zone["bars"], zone["breaks"]), zones.gaps(zone["bars"]))
+    found = kept(alive.on_bars(found.drop("timeframe"), trigger["bars"], ["symbol"]))
     pools = kept(liquidity.pools(trigger["swings"], own.select(*SERIES, "i", "atr")))
-    return rows, {"zones": found, "pools": pools, "trigger": trigger}
+    return rows, {"zones": found, "pools": pools, "trigger": trigger, "sizes": alive.heights(rows)}
+
+
+ZONE = ("rank", "formed", "zone_kind", "zone_low", "zone_high", "zone_open_ms", "zone_close_ms")
+
+
+def zone_facts(found: DataFrame) -> DataFrame:
+    """Zones as facts: symbol, expected (their direction), ZONE, from_i and until_i."""
+    return found.select("symbol", F.col("direction").alias("expected"), "rank", "formed", "zone_kind", F.col("lower").alias("zone_low"), F.col("upper").alias("zone_high"), "zone_open_ms", "zone_close_ms", "from_i", "until_i")
+
+
+def nearby_zones(rows: DataFrame, facts: DataFrame, sizes: int) -> DataFrame:
+    """symbol, i and zone (struct of ZONE): of each row (symbol, expected, i, entry, low_6, high_6) the zones alive that the last six bars touch, and the nearest ones above and below the entry.
+
+    Among these are the nearest zone of all and every retested one.
+    """
+    by, whole = ["symbol", "expected"], F.struct(*ZONE)
+    touched = alive.touching(rows.select(*by, "i", "low_6", "high_6"), facts, by, ("low_6", "high_6"), ("zone_low", "zone_high"), sizes).select("symbol", "i", whole.alias("zone"))
+    for up, edge in ((True, "zone_low"), (False, "zone_high")):
+        asked = rows.select(*by, "i", F.lit(up).alias("up"), F.col("entry").alias("edge"))
+        found = alive.nearest(asked, facts.select(*by, "from_i", "until_i", F.col(edge).alias("price"), whole.alias("payload")), by, sizes, 1)
+        touched = touched.unionByName(found.select("symbol", "i", F.col("near")[0]["payload"].alias("zone")))
+    return touched
 
 
 def first_reason(*checks: tuple[Column, str]) -> Column:
@@ -124,40 +148,39 @@ def price_action(bars: DataFrame, profile: Profile, options: Options = Options()
     rows = rows.withColumn("expected", F.col("bias_break.direction")).withColumn("direction", F.when(F.col("expected") == "bullish", "long").when(F.col("expected") == "bearish", "short"))
     long = F.col("direction") == "long"
     rows = rows.withColumn("reason", first_reason((F.col("i") < HISTORY - 1, "insufficient_trigger_history"), (F.coalesce(F.least(F.coalesce("zone_bar.i", F.lit(-1)), F.coalesce("bias_bar.i", F.lit(-1))), F.lit(-1)) < HISTORY - 1, "insufficient_mtf_history"), (F.col("expected").isNull(), "no_htf_bias"), (~F.coalesce(F.col("atr") > 0, F.lit(False)), "invalid_atr")))
-    zone = known["zones"].select("symbol", F.col("direction").alias("expected"), "zone_kind", F.col("lower").alias("zone_low"), F.col("upper").alias("zone_high"), "formed", "rank", "known_at", "dead_at", "zone_open_ms", "zone_close_ms")
     recent = []
     if options.strict_retest:
         plain = known["trigger"]["bars"].select("symbol", "i", F.col("low").alias("low_1"), F.col("high").alias("high_1"))
         six = Window.partitionBy("symbol").orderBy("i").rowsBetween(-5, 0)
         rows, recent = rows.join(plain, ["symbol", "i"]).withColumn("recent", F.collect_list(F.struct("t", "low_1", "high_1")).over(six)), ["recent"]
-    packed = rows.select(F.struct(*rows.columns).alias("row"), "symbol", "t", "expected", "reason", "entry", "atr", "low_6", "high_6", "trigger_break", "i", *recent)
-    alive = packed.reason.isNull() & (F.col("known_at") <= F.col("t")) & (F.col("dead_at").isNull() | (F.col("dead_at") > F.col("t")))
-    near = packed.join(zone, (packed.symbol == zone.symbol) & (packed.expected == zone.expected) & alive, "left")
+    rows = kept(rows)
+    waiting = rows.where("reason is null").select("symbol", "i", "expected", "entry", "atr", "low_6", "high_6", "trigger_break", *recent)
+    near = waiting.join(nearby_zones(waiting, zone_facts(known["zones"]), known["sizes"]), ["symbol", "i"]).select("*", "zone.*")
     inside = (F.col("zone_low") <= F.col("entry")) & (F.col("entry") <= F.col("zone_high"))
     distance = F.when(inside, 0.0).otherwise(F.least(F.abs(F.col("entry") - F.col("zone_low")), F.abs(F.col("entry") - F.col("zone_high"))) / F.greatest(F.col("atr"), F.lit(1e-12)))
     touched = (F.col("high_6") >= F.col("zone_low")) & (F.col("low_6") <= F.col("zone_high"))
     if options.strict_retest:
         # the touch itself must come after both the zone's candle and the break
         touched = F.exists("recent", lambda b: (b["t"] > F.greatest(F.col("zone_close_ms"), F.col("trigger_break.at"))) & (b["high_1"] >= F.col("zone_low")) & (b["low_1"] <= F.col("zone_high"))) & F.col("trigger_break.at").isNotNull()
-    usable = F.col("zone_kind").isNotNull()
     order = F.struct(F.when(~(inside | touched) if options.pick_retested else F.lit(False), 1).otherwise(0), distance, "rank", "formed")
-    pick = F.when(usable, F.struct("zone_kind", "zone_low", "zone_high", "formed", "zone_open_ms", "zone_close_ms", distance.alias("distance"), touched.alias("retested"), inside.alias("inside")))
-    chosen = near.groupBy("row").agg(F.min_by(pick, F.when(usable, order)).alias("z"))
-    rows = chosen.select("row.*", "z")
+    pick = F.struct("zone_kind", "zone_low", "zone_high", "formed", "zone_open_ms", "zone_close_ms", distance.alias("distance"), touched.alias("retested"), inside.alias("inside"))
+    rows = rows.join(near.groupBy("symbol", "i").agg(F.min_by(pick, order).alias("z")), ["symbol", "i"], "left")
     buffer = risk.stop_buffer(F.col("symbol"), F.lit(profile.stop_buffer)) * F.col("atr")
     first = F.when(long, F.col("z.zone_low") - buffer).otherwise(F.col("z.zone_high") + buffer)
     wrong = F.when(long, first >= F.col("entry")).otherwise(first <= F.col("entry"))
     stop = F.when(wrong, F.when(long, F.col("low_10") - buffer).otherwise(F.col("high_10") + buffer)).otherwise(first)
     rows = rows.withColumn("stop_price", stop).withColumn("risk", F.abs(F.col("entry") - F.col("stop_price")))
     rows = rows.withColumn("reason", F.coalesce("reason", first_reason((F.col("z").isNull(), "no_directional_ob_fvg"), (~(F.col("z.inside") | F.col("z.retested")) | (F.col("z.distance") > options.max_chase_atr), "zone_not_recently_retested"), (F.col("risk") <= 0, "invalid_stop"))))
-    level = live_levels(known["trigger"], known["pools"]).withColumnRenamed("symbol", "_symbol")
-    packed = rows.select(F.struct(*rows.columns).alias("row"), "symbol", "i", "reason", "direction", "entry", "risk")
-    ahead = F.when(long, F.col("price") > F.col("entry")).otherwise(F.col("price") < F.col("entry"))
-    met = packed.join(level, (F.col("symbol") == F.col("_symbol")) & F.col("reason").isNull() & (F.col("from_i") <= F.col("i")) & (F.col("until_i").isNull() | (F.col("i") < F.col("until_i"))) & ahead, "left")
-    rows = met.groupBy("row").agg(F.sort_array(F.collect_set(F.abs(F.col("price") - F.col("entry")))).alias("_d")).select("row.*", "_d")
+    rows = kept(rows)
     sign = risk.side(F.col("direction"))
-    far = F.filter("_d", lambda x: x >= risk.MINIMUM_RR * F.col("risk")) if options.skip_near_targets else F.col("_d")
-    rows = rows.withColumn("_d", F.slice(far, 1, 3))
+    waiting = rows.where("reason is null").select("symbol", "i", "direction", "entry", "risk")
+    least = risk.MINIMUM_RR * F.col("risk")
+    edge = aims.past(F.col("entry"), sign, least) if options.skip_near_targets else F.col("entry")
+    ahead = aims.levels_ahead(waiting, live_levels(known["trigger"], known["pools"]), known["sizes"], edge, aims.SPARE)
+    rows = rows.join(ahead.select("symbol", "i", "prices"), ["symbol", "i"], "left")
+    away = F.array_distinct(F.transform(F.coalesce("prices", F.array().cast("array<double>")), lambda p: F.abs(p - F.col("entry"))))
+    far = F.filter(away, lambda x: x >= least) if options.skip_near_targets else away
+    rows = rows.withColumn("_d", F.slice(far, 1, 3)).drop("prices")
     fallback = F.array(2.0 * F.col("risk")) if options.synthetic_2r else F.array().cast("array<double>")
     rows = rows.withColumn("_d", F.when(F.size("_d") > 0, F.col("_d")).otherwise(fallback)).withColumn("risk_reward", F.get("_d", F.lit(0)) / F.col("risk"))
     rows = rows.withColumn("targets", F.transform("_d", lambda x: F.col("entry") + sign * x)).drop("_d")
@@ -205,52 +228,57 @@ def structure_scan(bars: DataFrame, profile: Profile) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     sweeps = liquidity.intraday_sweeps(trigger["bars"]).select("symbol", "candle_index", "direction", "level").unionByName(liquidity.sweeps(trigger["bars"], liquidity.previous_days(trigger["bars"]).drop("known_at"), ["kind", "confirmation_index"]).select("symbol", "candle_index", "direction", F.col("price").alias("level")))
     sweeps = sweeps.withColumn("from_i", F.col("candle_index")).withColumn("until_i", F.lit(None).cast("int")).unionByName(liquidity.sweeps(trigger["bars"], known["pools"], ["pool", "version"]).where(F.col("superseded_at").isNull() | (F.col("candle_index") < F.col("superseded_at"))).select("symbol", "candle_index", "direction", F.col("price").alias("level"), F.col("candle_index").alias("from_i"), F.col("superseded_at").alias("until_i")))
-    first = sweeps.groupBy("symbol").agg(F.min("candle_index").alias("_first_sweep"))
-    rows = rows.join(first, "symbol", "left")
+    sweeps = kept(sweeps)
+    seen = alive.counts(rows, sweeps, ["symbol"], known["sizes"], F.count(F.lit(1)).alias("sweeps"))
+    rows = rows.join(seen, ["symbol", "i"], "left")
     rows = rows.withColumn("bias_range", leg_range("bias_legs", F.col("expected"))).withColumn("zone_range", leg_range("zone_legs", F.col("expected")))
     age = F.col("i") - F.col("trigger_break.candle_index")
     history = F.least(F.col("i"), F.coalesce("zone_bar.i", F.lit(-1)), F.coalesce("bias_bar.i", F.lit(-1)))
-    rows = rows.withColumn("reason", first_reason((history < HISTORY - 1, "insufficient_history"), (F.col("expected").isNull(), "no_htf_structure_break"), (~F.coalesce(F.col("_first_sweep") <= F.col("i"), F.lit(False)), "no_liquidity_sweep"), (F.col("trigger_break").isNull(), "no_structure_break"), (F.col("bias_range").isNull(), "no_directional_bias_dealing_range"), (F.col("zone_range").isNull(), "no_directional_zone_dealing_range"), (~age.between(0, 2), "confirmation_break_not_recent"), (F.col("trigger_break.direction") != F.col("expected"), "confirmation_direction_mismatch")))
+    rows = rows.withColumn("reason", first_reason((history < HISTORY - 1, "insufficient_history"), (F.col("expected").isNull(), "no_htf_structure_break"), (F.col("sweeps").isNull(), "no_liquidity_sweep"), (F.col("trigger_break").isNull(), "no_structure_break"), (F.col("bias_range").isNull(), "no_directional_bias_dealing_range"), (F.col("zone_range").isNull(), "no_directional_zone_dealing_range"), (~age.between(0, 2), "confirmation_break_not_recent"), (F.col("trigger_break.direction") != F.col("expected"), "confirmation_direction_mismatch")))
     # bars since the break, two at most: the zone must be touched by one that closed after both break and zone
     bar = F.struct(F.col("t"), F.col("low_1"), F.col("high_1"))
     plain = trigger["bars"].select("symbol", "i", F.col("low").alias("low_1"), F.col("high").alias("high_1"))
     rows = rows.join(plain, ["symbol", "i"]).withColumn("_recent", F.collect_list(bar).over(Window.partitionBy("symbol").orderBy("i").rowsBetween(-2, 0)))
-    zone = known["zones"].select(F.col("symbol").alias("_s"), F.col("direction").alias("_d"), "zone_kind", F.col("lower").alias("zone_low"), F.col("upper").alias("zone_high"), "formed", "known_at", "dead_at", "zone_open_ms", "zone_close_ms")
-    packed = rows.select(F.struct(*rows.columns).alias("row"), "symbol", "t", "expected", "reason", "trigger_break", "zone_range", "_recent")
-    alive = F.col("reason").isNull() & (F.col("known_at") <= F.col("t")) & (F.col("dead_at").isNull() | (F.col("dead_at") > F.col("t")))
-    near = packed.join(zone, (F.col("symbol") == F.col("_s")) & (F.col("expected") == F.col("_d")) & alive, "left")
-    in_band = (F.col("zone_low") <= F.col("zone_range.ote_upper")) & (F.col("zone_high") >= F.col("zone_range.ote_lower"))
+    rows = kept(rows)
+    waiting = rows.where("reason is null").select("symbol", "i", "expected", "trigger_break", "_recent", F.col("zone_range.ote_lower").alias("ote_lower"), F.col("zone_range.ote_upper").alias("ote_upper"))
+    near = alive.touching(waiting, zone_facts(known["zones"]), ["symbol", "expected"], ("ote_lower", "ote_upper"), ("zone_low", "zone_high"), known["sizes"])
     touched = F.exists("_recent", lambda b: (b["t"] > F.greatest(F.col("trigger_break.at"), F.col("zone_close_ms"))) & (b["high_1"] >= F.col("zone_low")) & (b["low_1"] <= F.col("zone_high")))
-    usable = F.coalesce(in_band & touched, F.lit(False))
+    usable = F.coalesce(touched, F.lit(False))
     ob = F.col("zone_kind") == "OB"
-    spans = lambda flag, name: F.collect_list(F.when(flag & in_band, F.struct("zone_low", "zone_high"))).alias(name)
+    spans = lambda flag, name: F.collect_list(F.when(flag, F.struct("zone_low", "zone_high"))).alias(name)
     zone_pick = F.struct("zone_kind", "zone_low", "zone_high", "formed", "zone_open_ms", "zone_close_ms")
-    rows = near.groupBy("row").agg(F.max_by(F.when(usable, zone_pick), F.when(usable, F.struct("formed", "zone_kind"))).alias("z"), spans(ob, "_obs"), spans(~ob, "_fvgs")).select("row.*", "z", "_obs", "_fvgs")
+    picked = near.groupBy("symbol", "i").agg(F.max_by(F.when(usable, zone_pick), F.when(usable, F.struct("formed", "zone_kind"))).alias("z"), spans(ob, "_obs"), spans(~ob, "_fvgs"))
+    rows = rows.join(picked, ["symbol", "i"], "left")
     zone_atr = indicators.atr(bars.where(F.col("timeframe") == profile.zone)).select("symbol", F.col("i").alias("_formed"), F.col("atr").alias("zone_atr"))
     rows = rows.withColumn("_formed", F.col("z.formed")).join(zone_atr, ["symbol", "_formed"], "left")
     rows = rows.withColumn("reason", F.coalesce("reason", first_reason((F.col("z").isNull(), "no_active_zone_retested_after_confirmation"), (~F.coalesce(F.col("zone_atr") > 0, F.lit(False)), "invalid_zone_atr"))))
-    packed = rows.select(F.struct(*rows.columns).alias("row"), "symbol", "i", "expected", "reason", "trigger_break", "z", "zone_atr")
-    s = sweeps.select(F.col("symbol").alias("_s"), F.col("direction").alias("_d"), "candle_index", "level", "from_i", "until_i")
-    prior = packed.join(s, (F.col("symbol") == F.col("_s")) & (F.col("expected") == F.col("_d")) & F.col("reason").isNull() & (F.col("candle_index") < F.col("trigger_break.candle_index")) & (F.col("from_i") <= F.col("i")) & (F.col("until_i").isNull() | (F.col("i") < F.col("until_i"))) & liquidity.near_zone(F.col("level"), F.col("z.zone_low"), F.col("z.zone_high"), F.col("zone_atr"), 1.0), "left")
-    rows = prior.groupBy("row").agg(F.max("candle_index").alias("sweep_index")).select("row.*", "sweep_index")
+    rows = kept(rows)
+    waiting = rows.where("reason is null").select("symbol", "i", "expected", F.col("trigger_break.candle_index").alias("break_index"), "z.zone_low", "z.zone_high", "zone_atr")
+    reach = F.col("zone_atr") * (1 + 1e-9)
+    waiting = waiting.withColumn("_low", F.col("zone_low") - reach).withColumn("_high", F.col("zone_high") + reach)
+    s = sweeps.select("symbol", F.col("direction").alias("expected"), "candle_index", "level", "from_i", "until_i")
+    prior = alive.touching(waiting, s, ["symbol", "expected"], ("_low", "_high"), ("level", "level"), known["sizes"])
+    prior = prior.where((F.col("candle_index") < F.col("break_index")) & liquidity.near_zone(F.col("level"), F.col("zone_low"), F.col("zone_high"), F.col("zone_atr"), 1.0))
+    rows = rows.join(prior.groupBy("symbol", "i").agg(F.max("candle_index").alias("sweep_index")), ["symbol", "i"], "left")
     extremes = trigger["bars"].select("symbol", F.col("i").alias("sweep_index"), F.col("low").alias("_sl"), F.col("high").alias("_sh"))
     rows = rows.join(extremes, ["symbol", "sweep_index"], "left")
     buffer = risk.stop_buffer(F.col("symbol"), F.lit(profile.stop_buffer)) * F.col("atr")
     rows = rows.withColumn("stop_price", F.when(long, F.col("_sl") - buffer).otherwise(F.col("_sh") + buffer))
     wrong = F.when(long, F.col("stop_price") >= F.col("entry")).otherwise(F.col("stop_price") <= F.col("entry"))
     rows = rows.withColumn("reason", F.coalesce("reason", first_reason((F.col("sweep_index").isNull(), "no_prior_directional_sweep_near_zone"), (~F.coalesce(F.col("atr") > 0, F.lit(False)), "invalid_atr"), (wrong, "invalid_stop"))))
-    level = live_levels(trigger, known["pools"]).withColumnRenamed("symbol", "_symbol")
-    packed = rows.select(F.struct(*rows.columns).alias("row"), "symbol", "i", "reason", "direction", "entry")
-    ahead = F.when(long, F.col("price") > F.col("entry")).otherwise(F.col("price") < F.col("entry"))
-    met = packed.join(level, (F.col("symbol") == F.col("_symbol")) & F.col("reason").isNull() & (F.col("from_i") <= F.col("i")) & (F.col("until_i").isNull() | (F.col("i") < F.col("until_i"))) & ahead, "left")
-    sign = risk.side(F.col("direction"))
-    rows = met.groupBy("row").agg(F.slice(F.sort_array(F.collect_set(F.abs(F.col("price") - F.col("entry")))), 1, 3).alias("_d")).select("row.*", "_d")
-    rows = rows.withColumn("targets", F.transform("_d", lambda x: F.col("entry") + sign * x)).withColumn("risk_reward", F.get("_d", F.lit(0)) / F.abs(F.col("entry") - F.col("stop_price")))
-    opposing = zones.zones(trigger["bars"], zones.order_blocks(trigger["bars"], trigger["breaks"]), zones.gaps(trigger["bars"])).select(F.col("symbol").alias("_s"), F.col("direction").alias("_d2"), "lower", "upper", "known_at", "dead_at")
-    packed = rows.select(F.struct(*rows.columns).alias("row"), "symbol", "t", "expected", "reason", "direction", "entry", F.get("targets", F.lit(0)).alias("tp"))
-    between = F.when(long, (F.col("upper") > F.col("entry")) & (F.col("lower") < F.col("tp"))).otherwise((F.col("lower") < F.col("entry")) & (F.col("upper") > F.col("tp")))
-    blocked = packed.join(opposing, (F.col("symbol") == F.col("_s")) & (F.col("expected") != F.col("_d2")) & F.col("reason").isNull() & (F.col("known_at") <= F.col("t")) & (F.col("dead_at").isNull() | (F.col("dead_at") > F.col("t"))) & between, "left")
-    rows = blocked.groupBy("row").agg((F.count("_s") == 0).alias("clean_path")).select("row.*", "clean_path")
+    rows = kept(rows)
+    waiting = rows.where("reason is null").select("symbol", "i", "direction", "entry")
+    aimed = aims.tiered(waiting, live_levels(trigger, known["pools"]), trigger["swings"], known["sizes"])
+    rows = rows.join(aimed.drop("direction"), ["symbol", "i"], "left").withColumn("targets", F.coalesce("targets", F.array().cast("array<double>")))
+    rows = rows.withColumn("risk_reward", F.abs(F.get("targets", F.lit(0)) - F.col("entry")) / F.abs(F.col("entry") - F.col("stop_price")))
+    rows = kept(rows)
+    opposing = zones.zones(trigger["bars"], zones.order_blocks(trigger["bars"], trigger["breaks"]), zones.gaps(trigger["bars"]))
+    opposing = zone_facts(alive.on_bars(opposing.drop("timeframe"), trigger["bars"], ["symbol"])).select("symbol", F.when(F.col("expected") == "bullish", "bearish").otherwise("bullish").alias("expected"), "zone_low", "zone_high", "from_i", "until_i")
+    tp = F.get("targets", F.lit(0))
+    waiting = rows.where(F.col("reason").isNull() & tp.isNotNull()).select("symbol", "i", "expected", "direction", "entry", tp.alias("tp"), F.least("entry", tp).alias("_low"), F.greatest("entry", tp).alias("_high"))
+    between = F.when(long, (F.col("zone_high") > F.col("entry")) & (F.col("zone_low") < F.col("tp"))).otherwise((F.col("zone_low") < F.col("entry")) & (F.col("zone_high") > F.col("tp")))
+    blocked = alive.touching(waiting, opposing, ["symbol", "expected"], ("_low", "_high"), ("zone_low", "zone_high"), known["sizes"]).where(between).select("symbol", "i", F.lit(False).alias("clean_path")).distinct()
+    rows = rows.join(blocked, ["symbol", "i"], "left").withColumn("clean_path", F.coalesce("clean_path", F.lit(True)))
     extra_age = F.col("extra_bar.i") - F.col("extra_break.candle_index")
     gates = [(F.size("targets") == 0, "no_target_liquidity"), (~F.coalesce(F.col("risk_reward") >= profile.min_rr, F.lit(False)), "risk_reward_below_minimum")]
     if profile.extra:

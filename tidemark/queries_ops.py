@@ -258,16 +258,24 @@ def h3(spark, d):
 DECIDED = "CASE WHEN confirmation_index % 11 = 5 THEN 'REJECTED' WHEN confirmation_index % 7 = 4 THEN 'MISSED_PRICE' WHEN confirmation_index % 5 = 3 THEN 'CANDIDATE' ELSE 'ACCEPTED' END"
 
 
-@query("h2_acceptance", f"""{REC}{SETUPS}, {OUT}, dc AS (SELECT key, symbol, profile, zone, confirmation_time_ms AS t, coalesce(closed_at_ms, 4611686018427387904) AS ends, CASE WHEN profile = 'scalp' THEN 30 ELSE 120 END * 60000 AS pause, {RR} AS rr, {DECIDED} AS status FROM ou),
+#: A third of the setups recur half an hour later under their key, most with another status.
+AGAIN = DECIDED.replace("confirmation_index", "(confirmation_index + 4)")
+
+
+@query("h2_acceptance", f"""{REC}{SETUPS}, {OUT}, d1 AS (SELECT key, symbol, profile, zone, confirmation_index, confirmation_time_ms AS t, coalesce(closed_at_ms, 4611686018427387904) AS ends, CASE WHEN profile = 'scalp' THEN 30 ELSE 120 END * 60000 AS pause, {RR} AS rr, {DECIDED} AS status FROM ou),
+dc AS (SELECT * FROM d1 UNION ALL SELECT key, symbol, profile, zone, confirmation_index, t + 1800000, ends, pause, rr, {AGAIN} FROM d1 WHERE confirmation_index % 3 = 0),
 sr AS (SELECT *, row_number() OVER (PARTITION BY symbol, profile ORDER BY t, key) AS n FROM dc WHERE status = 'MISSED_PRICE' OR (status <> 'REJECTED' AND rr >= 1.49)),
-st AS (SELECT DISTINCT symbol, profile, 0::BIGINT AS n, NULL::VARCHAR AS key, NULL::VARCHAR AS status, 0::BIGINT AS busy_until, []::STRUCT(zone BIGINT, t BIGINT)[] AS begun, false AS blocked, false AS paused FROM sr
-  UNION ALL SELECT symbol, profile, n, key, status, CASE WHEN status = 'ACCEPTED' AND NOT blocked AND NOT paused THEN ends ELSE busy_until END, CASE WHEN status <> 'MISSED_PRICE' AND NOT blocked AND NOT paused THEN list_append(begun, {{'zone': zone, 't': t}}) ELSE begun END, blocked, paused
-  FROM (SELECT sr.symbol, sr.profile, sr.n, sr.key, sr.status, sr.ends, sr.zone, sr.t, st.busy_until, list_filter(st.begun, lambda x: x.t >= sr.t - sr.pause) AS begun, sr.status = 'ACCEPTED' AND sr.t < st.busy_until AS blocked, sr.status <> 'MISSED_PRICE' AND len(list_filter(st.begun, lambda x: x.zone = sr.zone AND x.t >= sr.t - sr.pause)) > 0 AS paused FROM st JOIN sr ON sr.symbol = st.symbol AND sr.profile = st.profile AND sr.n = st.n + 1))
-SELECT dc.key, coalesce(dc.status = 'ACCEPTED' AND NOT blocked AND NOT paused, false) AS accepted, coalesce(NOT blocked AND NOT paused, false) AS stored, CASE WHEN dc.status IN ('ACCEPTED', 'CANDIDATE') AND rr < 1.49 THEN 'rr_below_minimum' ELSE concat_ws(',', CASE WHEN blocked THEN 'active_setup_for_symbol_profile' END, CASE WHEN paused THEN 'cooldown_active' END) END AS reasons FROM dc LEFT JOIN st ON st.key = dc.key""")
+st AS (SELECT DISTINCT symbol, profile, 0::BIGINT AS n, NULL::VARCHAR AS key, 0::BIGINT AS t, NULL::VARCHAR AS status, 0::BIGINT AS busy_until, []::STRUCT(zone BIGINT, t BIGINT)[] AS begun, []::VARCHAR[] AS known, false AS again, false AS blocked, false AS paused FROM sr
+  UNION ALL SELECT symbol, profile, n, key, t, status, CASE WHEN status = 'ACCEPTED' AND NOT again AND NOT blocked AND NOT paused THEN ends ELSE busy_until END, CASE WHEN status <> 'MISSED_PRICE' AND NOT again AND NOT blocked AND NOT paused THEN list_append(begun, {{'zone': zone, 't': t}}) ELSE begun END,
+      CASE WHEN NOT again AND NOT blocked AND NOT paused THEN list_append(known, key) ELSE known END, again, blocked, paused
+  FROM (SELECT sr.symbol, sr.profile, sr.n, sr.key, sr.status, sr.ends, sr.zone, sr.t, st.busy_until, st.known, list_contains(st.known, sr.key) AS again, list_filter(st.begun, lambda x: x.t >= sr.t - sr.pause) AS begun, sr.status = 'ACCEPTED' AND sr.t < st.busy_until AS blocked, sr.status <> 'MISSED_PRICE' AND len(list_filter(st.begun, lambda x: x.zone = sr.zone AND x.t >= sr.t - sr.pause)) > 0 AS paused FROM st JOIN sr ON sr.symbol = st.symbol AND sr.profile = st.profile AND sr.n = st.n + 1))
+SELECT dc.key, dc.t AS confirmation_time_ms, coalesce(dc.status = 'ACCEPTED' AND NOT again AND NOT blocked AND NOT paused, false) AS accepted, coalesce(NOT again AND NOT blocked AND NOT paused, false) AS stored, coalesce(again, false) AS ignored,
+      CASE WHEN dc.status IN ('ACCEPTED', 'CANDIDATE') AND rr < 1.49 THEN 'rr_below_minimum' WHEN coalesce(again, false) THEN '' ELSE concat_ws(',', CASE WHEN blocked THEN 'active_setup_for_symbol_profile' END, CASE WHEN paused THEN 'cooldown_active' END) END AS reasons FROM dc LEFT JOIN st ON st.key = dc.key AND st.t = dc.t""")
 def h2(spark, d):
     rr = risk.risk_reward(F.col("direction"), F.col("confirmation_price"), F.col("stop_price"), F.col("target"))
     rows = closed(spark, d).withColumn("zone_key", F.concat_ws(":", "symbol", "profile", "zone")).withColumn("risk_reward", rr).withColumn("status", F.expr(DECIDED))
-    return lifecycle.accepted(rows).select("key", "accepted", "stored", F.array_join("gate_reasons", ",").alias("reasons"))
+    later = rows.where("confirmation_index % 3 = 0").withColumn("confirmation_time_ms", F.col("confirmation_time_ms") + 1_800_000).withColumn("status", F.expr(AGAIN))
+    return lifecycle.accepted(rows.unionByName(later)).select("key", "confirmation_time_ms", "accepted", "stored", "ignored", F.array_join("gate_reasons", ",").alias("reasons"))
 
 
 @query("h4_partial_exits")

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from . import sql
 from .functions import risk
-from .operators import indicators, liquidity, ranges, structure, zones
+from .operators import alive, indicators, liquidity, ranges, structure, zones
 from .operators.crossing import overlapping
 from .operators.shared import kept
-from .plans import decide, scan
+from .plans import decide, scan, targets
 from .queries import REC, WITH, pool_versions, query, rounded, series
 from .queries_ops import SETUPS, SG, setups
 from .sources.bars import SERIES
@@ -92,28 +92,54 @@ def g7(spark, d):
 DAYS_AHEAD = f"{REC}{SETUPS}, {sql.DAYS}, lv AS (SELECT su.key, su.direction, confirmation_price AS entry, abs(confirmation_price - stop_price) AS risk, pd.price FROM su JOIN pd ON pd.symbol = su.symbol AND pd.confirmation_index + 1 <= su.confirmation_index AND CASE WHEN su.direction = 'long' THEN pd.price > confirmation_price ELSE pd.price < confirmation_price END)"
 
 
-def ahead(spark, d):
-    """Setups with the distances to earlier days' extremes ahead of them, sorted."""
-    rows = setups(spark, d)
-    level = liquidity.previous_days(series(spark, d, ["15m"])).select("symbol", "price", F.col("confirmation_index").alias("level_index"))
-    long = F.col("direction") == "long"
-    met = rows.join(level, "symbol").where((F.col("level_index") + 1 <= F.col("confirmation_index")) & F.when(long, F.col("price") > F.col("confirmation_price")).otherwise(F.col("price") < F.col("confirmation_price")))
-    own = met.groupBy("key").agg(F.sort_array(F.collect_set("price")).alias("_p"), F.first("direction").alias("_d"))
-    return rows.join(own.select("key", F.when(F.col("_d") == "long", F.col("_p")).otherwise(F.reverse("_p")).alias("levels")), "key", "left")
+def asked(spark, d):
+    """Setups, the levels of earlier days as facts, and the node sizes of their bars."""
+    bars = series(spark, d, ["15m"])
+    rows = kept(setups(spark, d).withColumn("i", F.col("confirmation_index")).withColumn("entry", F.col("confirmation_price")))
+    level = liquidity.previous_days(bars).select("symbol", "price", (F.col("confirmation_index") + 1).alias("from_i"), F.lit(None).cast("int").alias("until_i"))
+    return rows, level, alive.heights(bars), bars
 
 
 @query("d1_nearest_targets", f"{DAYS_AHEAD}, o AS (SELECT DISTINCT key, price, abs(price - entry) AS dist FROM lv), t AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY dist) AS nth FROM o) SELECT key, nth AS rank, price AS target FROM t WHERE nth <= 3")
 def d1(spark, d):
-    found = ahead(spark, d).select("key", F.posexplode(F.slice("levels", 1, 3)).alias("rank", "target"))
+    rows, level, sizes, _ = asked(spark, d)
+    near = targets.levels_ahead(rows, level, sizes, F.col("entry"))
+    found = rows.join(near, ["symbol", "i"]).select("key", F.posexplode("prices").alias("rank", "target"))
+    return found.select("key", (F.col("rank") + 1).cast("long").alias("rank"), "target")
+
+
+@query("d1_tiered_targets", f"""{REC}{SETUPS}, {sql.DAYS}, sg AS (SELECT key, symbol, confirmation_index AS at_i, confirmation_price AS entry, CASE WHEN direction = 'long' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sg, greatest(abs(confirmation_price) * 1e-12::DOUBLE, 1e-12::DOUBLE) AS near FROM su),
+lq AS (SELECT key, max(at_i) AS at_i, max(sg.symbol) AS symbol, max(entry) AS entry, max(sg) AS sg, max(near) AS near, list_slice(list_sort(list_distinct(list(sg * pd.price))), 1, 3) AS t FROM sg JOIN pd ON pd.symbol = sg.symbol AND pd.confirmation_index + 1 <= sg.at_i AND sg * pd.price > sg * entry GROUP BY key),
+w AS (SELECT sg.key, sg.sg * sw.price AS p FROM sg JOIN sw ON sw.symbol = sg.symbol AND sw.confirmation_index <= sg.at_i AND sw.kind = CASE WHEN sg.sg > 0 THEN 'high' ELSE 'low' END),
+one AS (SELECT lq.key, min(w.p) AS p FROM lq JOIN w ON w.key = lq.key AND w.p > lq.t[len(lq.t)] AND w.p - lq.t[len(lq.t)] > lq.near WHERE len(lq.t) < 3 GROUP BY lq.key),
+l1 AS (SELECT lq.*, CASE WHEN one.p IS NULL THEN t ELSE list_append(t, one.p) END AS t1 FROM lq LEFT JOIN one ON one.key = lq.key),
+two AS (SELECT l1.key, min(w.p) AS p FROM l1 JOIN w ON w.key = l1.key AND w.p > l1.t1[len(l1.t1)] AND w.p - l1.t1[len(l1.t1)] > l1.near WHERE len(l1.t1) < 3 GROUP BY l1.key),
+l2 AS (SELECT l1.*, CASE WHEN two.p IS NULL THEN t1 ELSE list_append(t1, two.p) END AS t2 FROM l1 LEFT JOIN two ON two.key = l1.key),
+sk AS (SELECT sg.key, sw.kind, sw.price, row_number() OVER (PARTITION BY sg.key ORDER BY sw.confirmation_index, sw.i, sw.kind) AS nth FROM sg JOIN sw ON sw.symbol = sg.symbol AND sw.confirmation_index <= sg.at_i),
+sl AS (SELECT *, CASE WHEN lag(kind) OVER (PARTITION BY key ORDER BY nth) = kind THEN 0 ELSE 1 END AS fresh FROM sk),
+sr AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY nth) AS run FROM sl),
+se AS (SELECT *, row_number() OVER (PARTITION BY key, run ORDER BY CASE WHEN kind = 'high' THEN -price ELSE price END, nth) AS top FROM sr),
+en AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY run DESC) AS back FROM se WHERE top = 1),
+rg AS (SELECT a.key, greatest(a.price, b.price) AS high, least(a.price, b.price) AS low FROM en a JOIN en b ON b.key = a.key WHERE a.back = 1 AND b.back = 2 AND CASE WHEN a.kind = 'high' THEN a.price > b.price ELSE b.price > a.price END),
+l3 AS (SELECT l2.*, CASE WHEN sg > 0 THEN rg.high ELSE -rg.low END AS e FROM l2 LEFT JOIN rg ON rg.key = l2.key),
+l4 AS (SELECT key, sg, CASE WHEN len(t2) < 3 AND e > t2[len(t2)] AND e - t2[len(t2)] > near THEN list_append(t2, e) ELSE t2 END AS t FROM l3)
+SELECT key, rank, sg * t[rank] AS target FROM (SELECT key, sg, t, unnest(range(1, len(t) + 1)) AS rank FROM l4)""")
+def d1_tiered(spark, d):
+    """Earlier days' extremes, then swings past the last one, then the edge of the newest dealing range."""
+    rows, level, sizes, bars = asked(spark, d)
+    found = targets.tiered(rows, level, structure.swings(bars), sizes)
+    found = rows.join(found, ["symbol", "i", "direction"]).select("key", F.posexplode("targets").alias("rank", "target"))
     return found.select("key", (F.col("rank") + 1).cast("long").alias("rank"), "target")
 
 
 @query("d2_targets_with_fallback", f"{DAYS_AHEAD}, o AS (SELECT key, min(abs(price - entry)) AS dist FROM lv WHERE abs(price - entry) >= 1.49 * risk GROUP BY key) SELECT su.key, round(confirmation_price + {SG} * coalesce(dist, 2.0 * abs(confirmation_price - stop_price)), 6) AS target FROM su LEFT JOIN o USING (key)")
 def d2(spark, d):
-    rows = ahead(spark, d)
-    own = F.abs(F.col("confirmation_price") - F.col("stop_price"))
-    far = F.get(F.filter("levels", lambda p: F.abs(p - F.col("confirmation_price")) >= risk.MINIMUM_RR * own), F.lit(0))
-    return rounded(rows.select("key", F.coalesce(far, F.col("confirmation_price") + risk.side(F.col("direction")) * 2.0 * own).alias("target")), "target")
+    rows, level, sizes, _ = asked(spark, d)
+    own, sign = F.abs(F.col("entry") - F.col("stop_price")), risk.side(F.col("direction"))
+    near = targets.levels_ahead(rows, level, sizes, targets.past(F.col("entry"), sign, risk.MINIMUM_RR * own), targets.SPARE)
+    rows = rows.join(near, ["symbol", "i"], "left")
+    far = F.get(F.filter("prices", lambda p: F.abs(p - F.col("entry")) >= risk.MINIMUM_RR * own), F.lit(0))
+    return rounded(rows.select("key", F.coalesce(far, F.col("entry") + sign * 2.0 * own).alias("target")), "target")
 
 
 def live_zones(spark, d, timeframe: str | None = None):
@@ -124,12 +150,12 @@ def live_zones(spark, d, timeframe: str | None = None):
 
 @query("d3_clean_path", f"{REC}{SETUPS}, {sql.BLOCKS}, {sql.MITIGATION}, {sql.GAPS}, {sql.FILLS}, {sql.ZONES} SELECT key, NOT EXISTS (SELECT 1 FROM z WHERE z.symbol = su.symbol AND z.direction <> CASE WHEN su.direction = 'long' THEN 'bullish' ELSE 'bearish' END AND z.known_at <= confirmation_time_ms AND (z.dead_at IS NULL OR z.dead_at > confirmation_time_ms) AND CASE WHEN su.direction = 'long' THEN z.upper > confirmation_price AND z.lower < target ELSE z.lower < confirmation_price AND z.upper > target END) AS clean_path FROM su")
 def d3(spark, d):
-    zone = live_zones(spark, d, "15m").select("symbol", F.col("direction").alias("_d"), "lower", "upper", "known_at", "dead_at")
-    rows = setups(spark, d)
-    long = F.col("direction") == "long"
-    t = F.col("confirmation_time_ms")
-    across = F.when(long, (F.col("_d") == "bearish") & (F.col("upper") > F.col("confirmation_price")) & (F.col("lower") < F.col("target"))).otherwise((F.col("_d") == "bullish") & (F.col("lower") < F.col("confirmation_price")) & (F.col("upper") > F.col("target")))
-    hit = rows.join(zone, "symbol").where((F.col("known_at") <= t) & (F.col("dead_at").isNull() | (F.col("dead_at") > t)) & across).select("key", F.lit(False).alias("clean_path")).distinct()
+    rows, _, sizes, bars = asked(spark, d)
+    zone = alive.on_bars(live_zones(spark, d, "15m").drop("timeframe"), bars, ["symbol"])
+    zone = zone.select("symbol", F.when(F.col("direction") == "bearish", "long").otherwise("short").alias("direction"), "lower", "upper", "from_i", "until_i")
+    low, high = F.least("entry", "target"), F.greatest("entry", "target")
+    met = alive.touching(rows.select("key", "symbol", "direction", "i", low.alias("low"), high.alias("high")), zone, ["symbol", "direction"], ("low", "high"), ("lower", "upper"), sizes)
+    hit = met.where((F.col("upper") > F.col("low")) & (F.col("lower") < F.col("high"))).select("key", F.lit(False).alias("clean_path")).distinct()
     return rows.select("key").join(hit, "key", "left").select("key", F.coalesce("clean_path", F.lit(True)).alias("clean_path"))
 
 
