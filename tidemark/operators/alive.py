@@ -57,10 +57,12 @@ def dealt(rows: DataFrame, nodes: Column) -> DataFrame:
 def touching(queries: DataFrame, facts: DataFrame, by: list[str], span: tuple[str, str], fact_span: tuple[str, str], sizes: int) -> DataFrame:
     """Pairs of queries (by, i, span) and the facts of the same by alive at i whose interval touches the query's; each pair once.
 
-    Within a node both are dealt by price bins as wide as a series' mean fact, so that distant prices never meet.
+    Within a node both are dealt by price bins as wide as a series' mean query or mean fact, whichever is wider, so
+    that a row lies in few bins and distant prices never meet.
     Rows with a null bound touch nothing. But for by the columns of both must differ.
     """
-    width = facts.groupBy(*by).agg(F.coalesce(F.nullif(F.avg(F.col(fact_span[1]) - F.col(fact_span[0])), F.lit(0.0)), F.nullif(F.avg(F.abs(F.col(fact_span[0]))) / 1000, F.lit(0.0)), F.lit(1.0)).alias("_width"))
+    spans = lambda rows, s: rows.groupBy(*by).agg(F.avg(F.col(s[1]) - F.col(s[0])).alias("_mean"))
+    width = spans(queries, span).unionByName(spans(facts, fact_span)).groupBy(*by).agg(F.coalesce(F.nullif(F.max("_mean"), F.lit(0.0)), F.lit(1.0)).alias("_width"))
     place = lambda c: F.floor(F.col(c) / F.col("_width"))
     binned = lambda rows, s, name: rows.join(width, by).withColumn(name, place(s[0])).withColumn("_bin", F.explode(F.sequence(name, place(s[1])))).drop("_width")
     q = dealt(binned(queries, span, "_l"), around(F.col("i"), sizes))
