@@ -9,7 +9,7 @@ from .functions import risk
 from .operators import alive, indicators, liquidity, ranges, structure, zones
 from .operators.crossing import overlapping
 from .operators.shared import kept
-from .plans import decide, scan, targets
+from .plans import decide, scan, snapshot, targets
 from .queries import REC, WITH, pool_versions, query, rounded, series
 from .queries_ops import SETUPS, SG, setups
 from .sources.bars import SERIES
@@ -171,6 +171,19 @@ def d4(spark, d):
     return met.select(*SERIES, "direction", "candle_index", "gap_index", F.greatest("lower", "gl").alias("lower"), F.least("upper", "gu").alias("upper"), F.greatest("known_at", "gk").alias("from_ms"), F.least("dead_at", "gd").alias("until_ms"))
 
 
+@query("b20_any_bar", f"""{WITH}{sql.bars()}, {sql.swings()}, {sql.breaks()}, {sql.BLOCKS}, {sql.MITIGATION}, {sql.GAPS}, {sql.FILLS}, {sql.ZONES}, {sql.DAYS},
+live AS (SELECT b.symbol, b.timeframe, b.i, count(*) FILTER (z.direction = 'bullish') AS n_bullish, count(*) FILTER (z.direction = 'bearish') AS n_bearish, max(z.upper) FILTER (z.direction = 'bullish') AS max_bullish, min(z.lower) FILTER (z.direction = 'bearish') AS min_bearish
+      FROM b JOIN z ON z.symbol = b.symbol AND z.timeframe = b.timeframe AND z.known_at <= b.close_time_ms AND (z.dead_at IS NULL OR z.dead_at > b.close_time_ms) GROUP BY b.symbol, b.timeframe, b.i),
+brk AS (SELECT b.symbol, b.timeframe, b.i, arg_max(br.direction, br.candle_index) AS direction, arg_max(br.kind, br.candle_index) AS kind FROM b JOIN br ON br.symbol = b.symbol AND br.timeframe = b.timeframe AND br.candle_index <= b.i GROUP BY b.symbol, b.timeframe, b.i),
+sc AS (SELECT b.symbol, b.timeframe, b.i, count(*) AS n FROM b JOIN sw ON sw.symbol = b.symbol AND sw.timeframe = b.timeframe AND sw.confirmation_index <= b.i GROUP BY b.symbol, b.timeframe, b.i),
+dc AS (SELECT b.symbol, b.timeframe, b.i, count(*) AS n FROM b JOIN pd ON pd.symbol = b.symbol AND pd.timeframe = b.timeframe AND pd.confirmation_index < b.i GROUP BY b.symbol, b.timeframe, b.i)
+SELECT b.symbol, b.timeframe, b.i, coalesce(sc.n, 0) AS swings, coalesce(dc.n, 0) AS day_levels, coalesce(n_bullish, 0) AS n_bullish, coalesce(n_bearish, 0) AS n_bearish, max_bullish, min_bearish, brk.kind AS break_kind, brk.direction AS break_direction
+FROM b LEFT JOIN live ON live.symbol = b.symbol AND live.timeframe = b.timeframe AND live.i = b.i LEFT JOIN brk ON brk.symbol = b.symbol AND brk.timeframe = b.timeframe AND brk.i = b.i LEFT JOIN sc ON sc.symbol = b.symbol AND sc.timeframe = b.timeframe AND sc.i = b.i LEFT JOIN dc ON dc.symbol = b.symbol AND dc.timeframe = b.timeframe AND dc.i = b.i""")
+def b20_any(spark, d):
+    rows = snapshot.states(series(spark, d))
+    return rows.select(*SERIES, "i", "swings", "day_levels", "n_bullish", "n_bearish", "max_bullish", "min_bearish", F.col("last_break.kind").alias("break_kind"), F.col("last_break.direction").alias("break_direction"))
+
+
 @query("b20_b21_snapshot")
 def b20(spark, d):
     """Every family's state at each series' end, one row a series; a series under 40 bars is warming up."""
