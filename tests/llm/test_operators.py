@@ -78,6 +78,13 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     assert kept[0] == words(0, 120) and 41 in kept
 
 
+def test_repeated_words_of_a_very_long_text(spark):
+    """Windows of a text of a million distinct words are all different; a repeat at its end is found."""
+    text = " ".join(f"{i:x}" for i in range(1_000_000))
+    got = {r["doc_id"]: (r["n_words"], r["n_repeat_words"]) for r in quality.judged(table(spark, [text, text + " 0 1 2"])).collect()}
+    assert got == {0: (1_000_000, 0), 1: (1_000_003, 6)}
+
+
 def test_every_line_of_a_block_goes(spark):
     banner = "Read our terms of use first\nAll cookies are welcome here\nSign in to see more of it"
     docs = table(spark, [banner + "\n" + words(i, 120) for i in range(60)], sources=["a"] * 60)

@@ -19,14 +19,13 @@ SPACE = r"[\x20\x09-\x0D]+"
 def with_repeats(rows: DataFrame) -> DataFrame:
     """rows (with _w, an array of words) and n_repeat_words: words within 3-word windows that occur twice or more, the first included.
 
-    A window is a 64-bit hash whose low bits, as many as the document's size needs, give way to the window's place:
-    sorted as plain numbers, equal windows are neighbours. Their places, sorted, cover 3 words each, overlaps once.
+    Windows are sorted as (64-bit hash, place), so equal ones are neighbours however long the text is. Their places,
+    sorted, cover 3 words each, overlaps once.
     Columns are used several times below on purpose: Spark then computes each once and doesn't inline it.
     """
-    rows = rows.withColumn("_m", F.expr("shiftleft(1L, length(bin(size(_w)))) - 1"))
-    rows = rows.withColumn("_s", F.expr("sort_array(if(size(_w) < 4, cast(array() as array<bigint>), transform(sequence(0, size(_w) - 3), i -> (xxhash64(_w[i], _w[i + 1], _w[i + 2]) & ~_m) | i)))"))
-    rows = rows.withColumn("_p", F.expr("sort_array(transform(filter(_s, (x, i) -> (i > 0 and (get(_s, i - 1) & ~_m) = (x & ~_m)) or (get(_s, i + 1) & ~_m) = (x & ~_m)), x -> x & _m))"))
-    return rows.withColumn("n_repeat_words", F.expr("aggregate(transform(_p, (x, i) -> least(3, coalesce(get(_p, i + 1), x + 3) - x)), 0L, (a, b) -> a + b)")).drop("_m", "_s", "_p")
+    rows = rows.withColumn("_s", F.expr("sort_array(if(size(_w) < 4, cast(array() as array<struct<h:bigint,i:int>>), transform(sequence(0, size(_w) - 3), i -> named_struct('h', xxhash64(_w[i], _w[i + 1], _w[i + 2]), 'i', i))))"))
+    rows = rows.withColumn("_p", F.expr("sort_array(transform(filter(_s, (x, i) -> (i > 0 and get(_s, i - 1).h = x.h) or get(_s, i + 1).h = x.h), x -> x.i))"))
+    return rows.withColumn("n_repeat_words", F.expr("aggregate(transform(_p, (x, i) -> least(3, coalesce(get(_p, i + 1), x + 3) - x)), 0L, (a, b) -> a + b)")).drop("_s", "_p")
 
 
 def measured(rows: DataFrame, *keep: str) -> DataFrame:
