@@ -30,8 +30,11 @@ TILE = r"[^\S\n]*+" + PIECE
 LONGEST = 256
 #: A pattern counts if so many distinct instances that are held true have it and their share of its instances is this.
 MIN_SUPPORT, MIN_PRECISION = 5, 0.6
-#: And if this share of all values that are held true or vote has it: else the more data, the more chance contexts count.
-MIN_SHARE = 0.0005
+#: And if its distinct instances that are held true are so many as this share of its places in their own documents:
+#: common words stand before some of them by chance. Nothing here hangs on how large the corpus is.
+MIN_PLACES = 0.02
+#: Occurrences in one text up to which its pieces are picked where they lie; beyond, all pieces are dealt out.
+FEW = 64
 #: What follows is part of a pattern if it follows so many of the values that are held true behind the same words.
 USUAL = 0.9
 #: An instance is held true from this confidence on.
@@ -125,10 +128,14 @@ def patterns_of(rows: DataFrame, occurrences: DataFrame) -> DataFrame:
     one stands between, $ at a line's end; every left makes a pattern without right as well, whose instances end at
     the next blank. Pieces and occurrences are joined by their places, so that no text is searched once an occurrence.
     """
-    own = texts_of(rows, occurrences.select("h1", "h2").distinct()).select("h1", "h2", pieces(plain(F.col("text")), TILE).alias("t"))
-    own = own.select("h1", "h2", "t", F.transform("t", lambda x: F.ltrim(x)).alias("p"), sums_before(F.transform("t", lambda x: F.length(x))).alias("ends"))
-    told = lambda i: F.struct(F.get("ends", i).cast("int").alias("from"), (F.get("ends", i) + F.length(F.get("t", i)) - F.length(F.get("p", i))).cast("int").alias("at"), F.when(i > 0, key_before(F.col("p"), i)).alias("key"), F.when(i > 0, longer_before(F.col("p"), i)).alias("longer"), F.when(F.get("p", i) == "\n", "$").when(F.length(F.get("t", i)) > F.length(F.get("p", i)), F.concat(F.lit(" "), F.get("p", i))).otherwise(F.get("p", i)).alias("right"))
-    tiles = written(own.where(F.size("p") > 0).select("h1", "h2", F.explode(F.transform(F.sequence(F.lit(0), F.size("p") - 1), told)).alias("x")).select("h1", "h2", "x.*"), "pii-tiles")
+    there = occurrences.groupBy("h1", "h2").agg(F.collect_set("start").alias("starts"), F.collect_set("end").alias("stops"))
+    own = texts_of(rows, there).select("h1", "h2", "starts", "stops", pieces(plain(F.col("text")), TILE).alias("t"))
+    own = own.select("h1", "h2", "starts", "stops", "t", F.transform("t", lambda x: F.ltrim(x)).alias("p"), sums_before(F.transform("t", lambda x: F.length(x))).alias("ends"))
+    at = lambda i: (F.get("ends", i) + F.length(F.get("t", i)) - F.length(F.get("p", i))).cast("int")
+    met = lambda i: (F.size("starts") > FEW) | F.array_contains("starts", at(i)) | F.array_contains("stops", F.get("ends", i).cast("int"))
+    told = lambda i: F.struct(F.get("ends", i).cast("int").alias("from"), at(i).alias("at"), F.when(i > 0, key_before(F.col("p"), i)).alias("key"), F.when(i > 0, longer_before(F.col("p"), i)).alias("longer"), F.when(F.get("p", i) == "\n", "$").when(F.length(F.get("t", i)) > F.length(F.get("p", i)), F.concat(F.lit(" "), F.get("p", i))).otherwise(F.get("p", i)).alias("right"))
+    some = F.filter(F.sequence(F.lit(0), F.size("p") - 1), met)
+    tiles = written(own.where(F.size("p") > 0).select("h1", "h2", F.explode(F.transform(some, told)).alias("x")).select("h1", "h2", "x.*"), "pii-tiles")
     before = occurrences.join(tiles.where("key is not null").select("h1", "h2", F.col("at").alias("start"), "key", "longer"), ["h1", "h2", "start"])
     both = before.join(tiles.select("h1", "h2", F.col("from").alias("end"), "right"), ["h1", "h2", "end"], "left")
     each = both.select("value", "key", "right", F.explode(F.array("key", "longer")).alias("left"))
@@ -142,13 +149,13 @@ def slots(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     A bitmap of the keys picks a text's places where it is read, so that no text is dealt; the join with patterns is exact.
     """
     own = rows.select("h1", "h2", "text", pieces(plain(F.col("text")), TILE).alias("t")).select("h1", "h2", "text", "t", F.transform("t", lambda x: F.ltrim(x)).alias("p"))
-    own = own.join(F.broadcast(bitmap(patterns, F.col("key"))))  # one row
+    own = own.join(F.broadcast(bitmap(patterns, F.col("key")))).join(F.broadcast(bitmap(patterns, F.col("left")).withColumnRenamed("b_words", "b_lefts")))  # one row each
     at = F.when(F.size("p") > 1, F.filter(F.sequence(F.lit(1), F.size("p") - 1), lambda i: marked(F.col("b_words"), key_before(F.col("p"), i))))
-    found = kept_where(own.select("h1", "h2", "text", "t", "p", at.alias("at")), F.size("at") > 0)
-    found = found.select("h1", "h2", "text", "at", "p", sums_before(F.transform("t", lambda x: F.length(x))).alias("ends"))
+    found = kept_where(own.select("h1", "h2", "text", "t", "p", "b_lefts", at.alias("at")), F.size("at") > 0)
+    found = found.select("h1", "h2", "text", "at", "p", "b_lefts", sums_before(F.transform("t", lambda x: F.length(x))).alias("ends"))
     # the line's rest is cut before rows are made, so that no row holds a whole text
     tail = lambda at: F.substring_index(F.col("text").substr(at + 1, F.lit(LONGEST + 64)), "\n", 1)
-    told = lambda i: let(F.get("ends", i).cast("int"), lambda at: F.struct(at.alias("from"), tail(at).alias("tail"), F.array(key_before(F.col("p"), i), longer_before(F.col("p"), i)).alias("lefts")))
+    told = lambda i: let(F.get("ends", i).cast("int"), lambda at: F.struct(at.alias("from"), tail(at).alias("tail"), F.filter(F.array(key_before(F.col("p"), i), longer_before(F.col("p"), i)), lambda x: marked(F.col("b_lefts"), x)).alias("lefts")))
     found = found.select("h1", "h2", F.explode(F.transform("at", told)).alias("x")).select("h1", "h2", "x.from", "x.tail", F.explode("x.lefts").alias("left"))
     found = found.join(patterns, "left")
     signs = F.regexp_extract("tail", r"^\s*[^\p{L}\p{N}\s+]*", 0)
@@ -161,6 +168,16 @@ def slots(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     return found.select("h1", "h2", "key", "left", "right", "value", "start", (F.col("start") + F.length("value")).alias("end")).distinct()
 
 
+def placed(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """left and n_places: how often the lefts of patterns stand in rows (h1, h2, text), summed up by task before they are dealt."""
+    lefts = patterns.select("left").distinct()
+    own = rows.select(pieces(plain(F.col("text"))).alias("p")).join(F.broadcast(bitmap(lefts, F.col("left"))))  # one row
+    both = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.filter(F.array(key_before(F.col("p"), i), longer_before(F.col("p"), i)), lambda x: marked(F.col("b_words"), x)))
+    each = own.where(F.size("p") > 1).select(F.explode(F.flatten(both)).alias("left"))
+    counts = perhaps_in(each, F.col("left"), lefts.withColumnRenamed("left", "l"), F.col("l")).groupBy("left").agg(F.count(F.lit(1)).alias("n_places"))
+    return counts.join(lefts, "left", "left_semi")
+
+
 def scored(edges: DataFrame, sure: DataFrame, min_support: int, min_precision: float, min_confidence: float) -> DataFrame:
     """left, right and value of the edges (key, left, right, value) between accepted patterns and values that are held true.
 
@@ -185,14 +202,30 @@ def scored(edges: DataFrame, sure: DataFrame, min_support: int, min_precision: f
 
 
 def elsewhere(rows: DataFrame, values: DataFrame) -> DataFrame:
-    """h1, h2, value, start and end of every place where one of values stands between blanks or signs."""
-    first = lambda c: F.regexp_extract(c, r"[\p{L}\p{N}]+", 0)
-    there = rows.select("h1", "h2", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("w"))
-    hits = there.join(values.select("value", first("value").alias("w")), "w").select("h1", "h2", "value").distinct()
-    found = texts_of(rows, written(hits.groupBy("h1", "h2").agg(F.collect_list("value").alias("values")), "pii-there"))
-    quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.col("v"), F.lit(r"\E(?![\p{L}\p{N}])"))
-    found = found.select("h1", "h2", "text", F.explode("values").alias("v"))
-    return found.select("h1", "h2", F.explode(spans(F.col("text"), quoted)).alias("x")).select("h1", "h2", "x.*")
+    """h1, h2, value, start and end of every place where one of values stands between blanks or signs.
+
+    Texts and values meet by the hash of a value's first two words (of one word, if it has no more). A bitmap of these
+    picks a text's places where it is read, in one pass whatever the number of values, and what lies there is compared.
+    """
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    pair = lambda w, i: F.xxhash64(F.lit(2), F.get(w, i), F.get(w, i + 1))
+    single = lambda w, i: F.xxhash64(F.lit(1), F.get(w, i))
+    v = values.select("value", words(F.col("value")).alias("w")).where(F.size("w") > 0)
+    v = v.select("value", F.when(F.size("w") > 1, pair(F.col("w"), F.lit(0))).otherwise(single(F.col("w"), F.lit(0))).alias("key"), F.length(F.regexp_extract("value", r"^[^\p{L}\p{N}]*", 0)).alias("lead"))
+    v = written(v, "pii-values")
+    own = rows.select("h1", "h2", "text", spans(F.col("text"), r"[\p{L}\p{N}]+").alias("s")).join(F.broadcast(bitmap(v, F.col("key"))))  # one row
+    own = own.select("h1", "h2", "text", "s", "b_words", F.transform("s", lambda x: x["value"]).alias("w"))
+    keys = lambda i: F.filter(F.array(single(F.col("w"), i), pair(F.col("w"), i)), lambda k: marked(F.col("b_words"), k))
+    at = lambda i: F.get("s", i)["start"]
+    # the text around a place, from as many signs before it as a value can begin with
+    told = lambda i: F.struct(at(i).alias("at"), F.least(at(i), F.lit(LONGEST)).alias("back"), F.col("text").substr(F.greatest(at(i) - LONGEST, F.lit(0)) + 1, F.least(at(i), F.lit(LONGEST)) + LONGEST + 1).alias("near"), keys(i).alias("keys"))
+    some = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.size(keys(i)) > 0)
+    hits = own.where(F.size("s") > 0).select("h1", "h2", F.explode(F.transform(some, told)).alias("x")).select("h1", "h2", "x.at", "x.back", "x.near", F.explode("x.keys").alias("key"))
+    met = hits.join(v, "key").withColumn("start", F.col("at") - F.col("lead")).where(F.col("start") >= F.col("at") - F.col("back"))
+    first, n = F.col("back") - F.col("lead") + 1, F.length("value")
+    alone = ~F.col("near").substr(first - 1, F.when(first > 1, 1).otherwise(0)).rlike(r"[\p{L}\p{N}]") & ~F.col("near").substr(first + n, F.lit(1)).rlike(r"[\p{L}\p{N}]")
+    met = met.where((F.col("near").substr(first, n) == F.col("value")) & alone)
+    return met.select("h1", "h2", "value", "start", (F.col("start") + n).alias("end")).distinct()
 
 
 def discovered(rows: DataFrame, min_support: int = MIN_SUPPORT, min_precision: float = MIN_PRECISION, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -210,16 +243,18 @@ def discovered(rows: DataFrame, min_support: int = MIN_SUPPORT, min_precision: f
     while True:
         around = patterns_of(rows, new)
         sides = written(around if sides is None else sides.unionByName(around).distinct(), "pii-sides")
-        least = max(min_support, MIN_SHARE * voters.count())
-        wanted = sides.groupBy(*pattern).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least)
+        wanted = sides.groupBy(*pattern).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_support)
         usual = wanted.where("right = ''").select("left", F.col("c").alias("of"))
-        wanted = wanted.join(usual, "left").where((F.col("right") == "") | (F.col("c") >= USUAL * F.col("of"))).select(*pattern)
+        wanted = wanted.join(usual, "left").where((F.col("right") == "") | (F.col("c") >= USUAL * F.col("of"))).select(*pattern, "of")
         wanted = written(wanted if tried is None else wanted.join(tried, pattern, "left_anti"), "pii-wanted")
-        tried = wanted if tried is None else written(tried.unionByName(wanted), "pii-tried")
+        tried = wanted.select(*pattern) if tried is None else written(tried.unionByName(wanted.select(*pattern)), "pii-tried")
         if wanted.isEmpty():
             break
         there = written(new.select("h1", "h2").distinct(), "pii-own")
-        own = slots(perhaps_in(rows.select("h1", "h2", "text"), F.col("h1"), there, F.col("h1")), wanted).join(there, ["h1", "h2"], "left_semi")
+        texts = perhaps_in(rows.select("h1", "h2", "text"), F.col("h1"), there, F.col("h1"))
+        counts = placed(texts, wanted)
+        wanted = written(wanted.join(counts, "left").where(F.col("of") >= MIN_PLACES * F.col("n_places")).select(*pattern), "pii-wanted")
+        own = slots(texts, wanted).join(there, ["h1", "h2"], "left_semi")
         near = own.select("left", "right", "value").distinct().join(voters.withColumn("true", F.lit(1)), "value", "left")
         likely = near.groupBy("left", "right").agg((F.count("true") / F.count(F.lit(1))).alias("p")).where(F.col("p") >= min_precision).select("left", "right")
         wanted = written(wanted.join(likely, ["left", "right"], "left_semi"), "pii-wanted")
