@@ -213,14 +213,15 @@ def elsewhere(rows: DataFrame, values: DataFrame) -> DataFrame:
     v = values.select("value", words(F.col("value")).alias("w")).where(F.size("w") > 0)
     v = v.select("value", F.when(F.size("w") > 1, pair(F.col("w"), F.lit(0))).otherwise(single(F.col("w"), F.lit(0))).alias("key"), F.length(F.regexp_extract("value", r"^[^\p{L}\p{N}]*", 0)).alias("lead"))
     v = written(v, "pii-values")
-    own = rows.select("h1", "h2", "text", spans(F.col("text"), r"[\p{L}\p{N}]+").alias("s")).join(F.broadcast(bitmap(v, F.col("key"))))  # one row
-    own = own.select("h1", "h2", "text", "s", "b_words", F.transform("s", lambda x: x["value"]).alias("w"))
+    own = rows.select("h1", "h2", "text", words(F.col("text")).alias("w")).join(F.broadcast(bitmap(v, F.col("key"))))  # one row
     keys = lambda i: F.filter(F.array(single(F.col("w"), i), pair(F.col("w"), i)), lambda k: marked(F.col("b_words"), k))
     at = lambda i: F.get("s", i)["start"]
     # the text around a place, from as many signs before it as a value can begin with
     told = lambda i: F.struct(at(i).alias("at"), F.least(at(i), F.lit(LONGEST)).alias("back"), F.col("text").substr(F.greatest(at(i) - LONGEST, F.lit(0)) + 1, F.least(at(i), F.lit(LONGEST)) + LONGEST + 1).alias("near"), keys(i).alias("keys"))
-    some = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.size(keys(i)) > 0)
-    hits = own.where(F.size("s") > 0).select("h1", "h2", F.explode(F.transform(some, told)).alias("x")).select("h1", "h2", "x.at", "x.back", "x.near", F.explode("x.keys").alias("key"))
+    some = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: marked(F.col("b_words"), single(F.col("w"), i)) | marked(F.col("b_words"), pair(F.col("w"), i)))
+    found = kept_where(own.select("h1", "h2", "text", "w", "b_words", F.when(F.size("w") > 0, some).alias("some")), F.size("some") > 0)
+    found = kept_where(found.select("h1", "h2", "text", "w", "b_words", "some", spans(F.col("text"), r"[\p{L}\p{N}]+").alias("s")), F.size("s") > 0)
+    hits = found.select("h1", "h2", F.explode(F.transform("some", told)).alias("x")).select("h1", "h2", "x.at", "x.back", "x.near", F.explode("x.keys").alias("key"))
     met = hits.join(v, "key").withColumn("start", F.col("at") - F.col("lead")).where(F.col("start") >= F.col("at") - F.col("back"))
     first, n = F.col("back") - F.col("lead") + 1, F.length("value")
     alone = ~F.col("near").substr(first - 1, F.when(first > 1, 1).otherwise(0)).rlike(r"[\p{L}\p{N}]") & ~F.col("near").substr(first + n, F.lit(1)).rlike(r"[\p{L}\p{N}]")
