@@ -382,6 +382,16 @@ def test_precision_and_recall_of_planted_identifiers(spark):
     assert len(found & planted) >= 0.95 * len(planted) and len(found & planted) >= 0.95 * len(found)
 
 
+def test_unrelated_documents_change_no_spans(spark):
+    """A pattern with five seeds stays one however many texts without its words are added."""
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()[:20]
+    texts = [f"{words(i, 4)} my token is a1{key(i)} {words(i + 500, 3)}" for i in range(5)] + [f"{words(40 + i, 4)} my token is tulip{i}x {words(i + 600, 3)}" for i in range(2)]
+    more = [f"{words(3000 + i, 30)} 1.2.{i % 250}.{i // 250} {words(5000 + i, 5)}" for i in range(1500)]
+    few = {r["doc_id"]: r["spans"] for r in pii.extracted(table(spark, texts)).collect()}
+    many = {r["doc_id"]: r["spans"] for r in pii.extracted(table(spark, texts + more)).collect()}
+    assert all(few[i] == many[i] and "id:" in few[i] for i in range(7))
+
+
 def test_spans_of_a_text_with_very_many_matches(spark):
     text = " ".join(f"{i % 250}.1.2.3" for i in range(20_000))
     got = table(spark, [text]).select(pii.base_spans(F.col("text")).alias("b")).first()["b"]
