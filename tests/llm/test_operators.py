@@ -425,6 +425,39 @@ def test_join_of_near_copies_of_near_copies(spark):
         assert got == {i: (len(s), label[i]) for i, s in enumerate(sets)}
 
 
+def test_candidate_pairs_of_two_variants_grow_with_the_documents(spark, monkeypatch):
+    """Many copies of a template and of a lesser variant too far from it, each with one word of its own or of a few."""
+    found = []
+
+    def counting(frame, name):
+        out = kept(frame, name)
+        if name == "ngram-pairs":
+            found[-1] += out.count()
+        return out
+
+    kept = ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", counting)
+    for n in (60, 120):
+        random.seed(n)
+        first = words(700, 100).split()
+        second = list(first)
+        for k in range(0, 100, 12):
+            second[k] = f"far{k}"
+        texts = []
+        for base, count in ((first, n * 3 // 2), (second, n)):
+            for i in range(count):
+                own = list(base)
+                own[random.randrange(100)] = f"own{i}" if i % 2 else f"few{i % 5}"
+                texts.append(" ".join(own))
+        random.shuffle(texts)
+        sets, before = [shingled(t, 4) for t in texts], len(found)
+        found.append(0)
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.clustered(table(spark, texts)).collect()}
+        label = joined(sets, 85)
+        assert got == dict(enumerate(label)) and len(set(label)) == 2 and len(found) == before + 1
+        assert found[-1] <= 4 * len(texts)
+
+
 def shingled(text, gram):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
     return {tuple(w[i : i + gram]) for i in range(len(w) - gram + 1)} if len(w) >= gram else {tuple(w)} if w else set()

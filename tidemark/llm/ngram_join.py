@@ -13,6 +13,8 @@ GRAM, PERCENT = 4, 85
 SLACK = 0.1
 #: Times that a document's family is replaced by its family's; any number gives the same result.
 JUMPS = 3
+#: Levels of families inside of families; any number gives the same result.
+LEVELS = 6
 
 
 def shingles(text: Column, gram: int = GRAM) -> Column:
@@ -135,14 +137,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, unit: int) -> DataFrame:
     return full.where(F.col("v") + F.col("w") <= unit * F.size(F.array_intersect("x", "tokens"))).select("a", "b")
 
 
-def within_families(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that span the same components as all links inside of families, of rows as from centred().
-
-    Pairs with w_x + w_y <= 0 need not share any token of d. The member with the least w is linked with all that are in
-    such a pair, so links with that one say as much as all of them. Every other pair has a member that is not linked
-    with it and must share tokens of d: enough of them to lie in prefixes, rarest first, and enough from the first one on.
-    """
+def near_centres(members: DataFrame, percent: int, last: bool) -> tuple[DataFrame, DataFrame | None]:
+    """One level of within_families(): links (a, b), and the members (uid, family, n, shared) whose links with each other are still to be told."""
     unit = 2 * (100 + percent)
+    rows = centred(members, percent)
     least_w = rows.groupBy("family").agg(F.min(F.struct("w", "uid")).alias("v")).select("family", F.col("v.w").alias("least"), F.col("v.uid").alias("main"))
     rows = rows.join(written(least_w, "ngram-main"), "family").withColumn("outer", (F.col("uid") != F.col("main")) & (F.col("w") + F.col("least") > 0))
     rows = rows.withColumn("label", F.when(F.col("outer"), F.col("uid")).otherwise(F.col("main")))
@@ -150,19 +148,50 @@ def within_families(rows: DataFrame, percent: int) -> DataFrame:
     outside = rows.where("outer").groupBy("family").agg(F.min("w").alias("least_outer"))
     rows = rows.join(written(outside, "ngram-outer"), "family")
     need = F.greatest(F.lit(1), F.ceil((F.col("w") + F.when(F.col("outer"), F.col("least")).otherwise(F.col("least_outer"))) / unit)).cast("int")
-    rows = written(rows.where(F.size("d") >= need).select("uid", "family", "w", "label", need.alias("need"), "d"), "ngram-open")
+    rows = written(rows.where(F.size("d") >= need).select("uid", "family", "w", "label", "outer", need.alias("need"), "d"), "ngram-open")
     tokens = rows.select("uid", "family", F.explode("d").alias("t"))
     counts = written(tokens.groupBy("family", "t").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "ngram-counts")
     d = tokens.join(counts, ["family", "t"]).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("d"))
     rows = rows.drop("d").join(d, "uid").where(F.size("d") >= F.col("need")).withColumn("d", F.transform("d", lambda x: x["t"]))
     rows = written(rows.withColumn("length", F.size("d") - F.col("need") + 1), "ngram-open")
-    buckets = rows.select("uid", "family", "w", "label", F.size("d").alias("s"), F.posexplode(F.expr("slice(d, 1, length)")).alias("k", "t"))
-    mixed = buckets.groupBy("family", "t").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("family", "t")
-    buckets = written(buckets.join(written(mixed, "ngram-mixed"), ["family", "t"], "left_semi"), "ngram-buckets")
+    buckets = rows.select("uid", "family", "w", "label", "outer", F.size("d").alias("s"), F.posexplode(F.expr("slice(d, 1, length)")).alias("k", "t"))
+    buckets = of_several_labels(buckets)
+    rest = None
+    far = buckets.where("outer").select(F.xxhash64("family", "t").alias("t"), "uid")
+    if not last and not far.isEmpty():
+        own = families(far).withColumnRenamed("family", "own")
+        together = own.groupBy("own").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("own")
+        own = written(own.join(together, "own"), "ngram-own")
+        rest = written(members.drop("family").join(own.withColumnRenamed("own", "family"), "uid"), "ngram-rest")
+        buckets = of_several_labels(buckets.join(own, "uid", "left").withColumn("label", F.coalesce("own", "label")).drop("own"))
     others = buckets.select("family", "t", F.col("uid").alias("b"), F.col("w").alias("bw"), F.col("label").alias("bl"), (F.col("s") - F.col("k")).alias("left"))
     enough = unit * F.least(F.col("s") - F.col("k"), F.col("left")) >= F.col("w") + F.col("bw")
     pairs = buckets.join(others, ["family", "t"]).where((F.col("uid") < F.col("b")) & (F.col("label") != F.col("bl")) & enough).select(F.col("uid").alias("a"), "b")
-    return written(stars, "ngram-stars").unionByName(confirmed(pairs, rows.select("uid", "w", F.col("d").alias("tokens"), "length"), unit))
+    found = confirmed(pairs, rows.select("uid", "w", F.col("d").alias("tokens"), "length"), unit)
+    return written(stars.unionByName(found), "ngram-inside"), rest
+
+
+def of_several_labels(buckets: DataFrame) -> DataFrame:
+    """Those of buckets (family, t, label, ...) whose rows have different labels."""
+    mixed = buckets.groupBy("family", "t").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("family", "t")
+    return written(buckets.join(written(mixed, "ngram-mixed"), ["family", "t"], "left_semi"), "ngram-buckets")
+
+
+def within_families(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that span the same components as all links inside of families, of members (uid, family, n, shared).
+
+    Pairs with w_x + w_y <= 0 need not share any token of d. The member with the least w is linked with all that are in
+    such a pair, so links with that one say as much as all of them. Every other pair has a member that is not linked
+    with it, an outer one, and must share tokens of d: enough of them to lie in prefixes, rarest first, and enough from
+    the first one on. Outer members that meet in a prefix form families of their own with centres of their own, and so
+    on: only pairs of different ones are compared, until none is left over or after LEVELS, when the rest are.
+    """
+    links, level = None, 0
+    while links is None or not (members is None or members.isEmpty()):
+        level += 1
+        found, members = near_centres(members, percent, level == LEVELS)
+        links = found if links is None else links.unionByName(found)
+    return links
 
 
 def between_families(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -185,8 +214,8 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
 
     Orders: the hash (its prefixes must share enough), then rarity among the tokens that several sets have (partners
     meet in one of the rarest, which names the candidates, and may be no nearer the ends of their sets than what they
-    must share), then two more hashes (prefixes must meet under both), then all tokens. Only links are kept, never
-    all pairs of a group: near copies of one set are told by how they differ from what most of them have.
+    must share), then two more hashes (prefixes must meet under both), then all tokens. Near copies of one set aren't
+    compared with each other but with what most of them have, those far from that in families of their own.
     """
     shared = with_shared(sets, least(F.col("n"), percent)).withColumn("least", least(F.col("n"), percent).cast("int"))
     shared = written(shared.withColumn("s", F.size("shared")), "ngram-shared")
@@ -195,7 +224,7 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
     buckets = written(rare.join(met, "t"), "ngram-buckets")
     family = families(buckets.select("t", "uid"))
     members = shared.join(family, "uid")
-    inside = within_families(centred(members.select("uid", "family", "n", "shared"), percent), percent)
+    inside = within_families(members.select("uid", "family", "n", "shared"), percent)
     across = between_families(buckets.join(family, "uid"), members.select("uid", "n", F.col("shared").alias("tokens"), "least"), percent)
     return components(written(inside.unionByName(across), "ngram-links"), "ngram")
 
