@@ -15,6 +15,8 @@ SLACK = 0.1
 JUMPS = 3
 #: Levels of families inside of families; any number gives the same result.
 LEVELS = 6
+#: Inner families up to this size are compared pair by pair, at most half as many pairs as this a member.
+SMALL = 32
 
 
 def shingles(text: Column, gram: int = GRAM) -> Column:
@@ -160,7 +162,7 @@ def near_centres(members: DataFrame, percent: int, last: bool) -> tuple[DataFram
     far = buckets.where("outer").select(F.xxhash64("family", "t").alias("t"), "uid")
     if not last and not far.isEmpty():
         own = families(far).withColumnRenamed("family", "own")
-        together = own.groupBy("own").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("own")
+        together = own.groupBy("own").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > SMALL).select("own")
         own = written(own.join(together, "own"), "ngram-own")
         rest = written(members.drop("family").join(own.withColumnRenamed("own", "family"), "uid"), "ngram-rest")
         buckets = of_several_labels(buckets.join(own, "uid", "left").withColumn("label", F.coalesce("own", "label")).drop("own"))
@@ -184,7 +186,7 @@ def within_families(members: DataFrame, percent: int) -> DataFrame:
     such a pair, so links with that one say as much as all of them. Every other pair has a member that is not linked
     with it, an outer one, and must share tokens of d: enough of them to lie in prefixes, rarest first, and enough from
     the first one on. Outer members that meet in a prefix form families of their own with centres of their own, and so
-    on: only pairs of different ones are compared, until none is left over or after LEVELS, when the rest are.
+    on: only pairs of different ones, or inside of SMALL ones, are compared. After LEVELS the rest are.
     """
     links, level = None, 0
     while links is None or not (members is None or members.isEmpty()):
