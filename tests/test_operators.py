@@ -215,17 +215,18 @@ SETUP = "key string, symbol string, timeframe string, profile string, direction
 
 
 def outcome(spark, low, high, close, at):
-    setup = spark.createDataFrame([("k", "S", "1m", "scalp", "long", 0, 59_999, 100.0, 95.0, 110.0)], SETUP)
-    return lifecycle.outcomes(setup, bars(spark, highs=[100, high], lows=[100, low], closes=[100, close], times=[0, at])).first()
+    setup = spark.createDataFrame([("k", "S", "1m", "scalp", "short", 0, 59_999, 40.0, 42.0, 35.0)], SETUP)
+    return lifecycle.outcomes(setup, bars(spark, highs=[40, high], lows=[40, low], closes=[40, close], times=[0, at])).first()
 
 
 def test_outcomes(spark):
-    won = outcome(spark, 99.5, 111, 110, 60_000)
-    assert won["final_status"] == "TP1" and won["gross_r"] == 2.0 and won["commission_r"] == pytest.approx(0.021) and won["net_r"] == pytest.approx(1.979)
-    assert outcome(spark, 94, 111, 100, 60_000)["final_status"] == "SL"
-    late = outcome(spark, 99, 103, 102, 3 * 3_600_000)
-    assert late["final_status"] == "EXPIRED" and late["gross_r"] == pytest.approx(0.4)
-    assert outcome(spark, 99, 103, 102, 120_000)["final_status"] is None
+    won = outcome(spark, 34.5, 41.75, 36, 60_000)
+    assert won["final_status"] == "TP1" and won["gross_r"] == 2.5 and won["commission_r"] == pytest.approx(0.01875) and won["net_r"] == pytest.approx(2.48125)
+    lost = outcome(spark, 34.5, 42, 40, 60_000)  # both in one bar: the stop counts
+    assert lost["final_status"] == "SL" and lost["gross_r"] == -1.0
+    late = outcome(spark, 38, 41, 39.5, 3 * 3_600_000)
+    assert late["final_status"] == "EXPIRED" and late["gross_r"] == pytest.approx(0.25)
+    assert outcome(spark, 38, 41, 39.5, 2 * 3_600_000)["final_status"] is None
 
 
 def test_acceptance(spark):
@@ -306,10 +307,35 @@ def test_overlapping_spans_meet_once(spark):
     assert found == sorted((x[0], y[0]) for x in spans for y in spans if x[1] <= y[2] and y[1] <= x[2])
 
 
+def test_walk_forward_against_loops(spark):
+    rng, span = random.Random(31), 7 * 86_400_000
+    rows = [(rng.choice(["scalp", "intraday"]), rng.choice("ABC"), rng.randrange(3 * span, 15 * span), rng.gauss(0, 1), rng.choice([0.1, 0.2, -1.0, 9.0, None])) for _ in range(400)]
+    rows += [("scalp", "A", 5 * span, float("nan"), 0.1), ("scalp", "A", 5 * span, float("inf"), 0.1), ("scalp", "B", None, 1.0, 0.1)]
+    rows = [(*r, r[3] - (r[4] or 0.0)) for r in rows]
+    frame = spark.createDataFrame(rows, "profile string, symbol string, closed_at_ms bigint, gross_r double, commission_r double, net_r double")
+    sane = [r for r in rows if r[2] is not None and r[4] is not None and 0 <= r[4] <= 5 and abs(r[3]) < 100]
+    want = {}
+    for fold in range(25):
+        for profile in ("scalp", "intraday"):
+            past = [r for r in sane if r[0] == profile and fold - 2 <= r[2] // span < fold]
+            now = [r for r in sane if r[0] == profile and r[2] // span == fold]
+            good = {s for s in "ABC" if sum(r[5] for r in past if r[1] == s) > 0}
+            taken = [r[5] for r in now if r[1] in good]
+            if past and now:
+                want[fold, profile] = (len(past), len(now), sum(r[5] for r in now) / len(now), len(good), len(taken), sum(taken) / len(taken) if taken else None)
+    got = lifecycle.walk_forward(frame.withColumn("fold", F.lit(1)), 7, 2).collect()
+    assert len(got) == len(want) > 10
+    for r in got:
+        mine = want[r["fold"], r["profile"]]
+        assert (r["train_trades"], r["test_trades"], r["chosen"], r["chosen_trades"]) == (mine[0], mine[1], mine[3], mine[4])
+        assert r["expectancy"] == pytest.approx(mine[2]) and r["chosen_expectancy"] == (None if mine[5] is None else pytest.approx(mine[5]))
+    assert lifecycle.walk_forward(frame.limit(0)).count() == 0
+
+
 def test_sessions(spark):
     ms = lambda *a: int(dt.datetime(*a, tzinfo=dt.UTC).timestamp() * 1000)
     days = sessions.new_york_days(spark, "2026-01-01", "2026-12-31")
-    rows = [(ms(2026, 3, 10, 13, 45), True), (ms(2026, 2, 10, 13, 45), False), (ms(2026, 4, 3, 15, 0), False), (ms(2026, 11, 27, 19, 0), False), (ms(2026, 7, 3, 15, 0), False)]
+    rows = [(ms(2026, 6, 16, 13, 30), True), (ms(2026, 6, 16, 13, 29), False), (ms(2026, 12, 15, 14, 29), False), (ms(2026, 12, 15, 20, 59), True), (ms(2026, 4, 3, 15, 0), False), (ms(2026, 11, 27, 19, 0), False), (ms(2026, 7, 3, 15, 0), False)]
     found = sessions.in_session(spark.createDataFrame(rows, "ms bigint, want boolean"), days).collect()
     assert all(r["open"] == r["want"] for r in found)
     week = [(ms(2026, 3, 8, 22, 30), True), (ms(2026, 3, 10, 21, 30), False), (ms(2026, 3, 14, 12, 0), False), (ms(2026, 3, 13, 21, 30), False), (ms(2026, 3, 11, 3, 0), True)]

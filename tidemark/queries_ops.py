@@ -340,8 +340,8 @@ def h12(spark, d):
     return setups(spark, d).select("key", "profile", (F.col("confirmation_time_ms") + lifecycle.by_profile(lifecycle.LIFE_HOURS) * 3_600_000).alias("expires_at_ms"))
 
 
-@query("h13_strategy_figures", f"""{REC}{SETUPS}, {OUT}, j AS (SELECT profile, key, closed_at_ms, net_r FROM ou WHERE final_status IS NOT NULL UNION ALL SELECT 'all', key, closed_at_ms, net_r FROM ou WHERE final_status IS NOT NULL), c AS (SELECT *, sum(net_r) OVER (PARTITION BY profile ORDER BY closed_at_ms, key ROWS UNBOUNDED PRECEDING) AS curve FROM j), t AS (SELECT *, greatest(0, max(curve) OVER (PARTITION BY profile ORDER BY closed_at_ms, key ROWS UNBOUNDED PRECEDING)) AS top FROM c)
-SELECT profile, 0::BIGINT AS anomalies, count(*) AS trades, round(sum(net_r), 5) AS net_r, round(count(*) FILTER (net_r > 0) / count(*), 6) AS win_rate, round(coalesce(sum(net_r) FILTER (net_r > 0), 0) / sum(-net_r) FILTER (net_r < 0), 5) AS profit_factor, round(max(top - curve), 5) AS max_drawdown FROM t GROUP BY profile""")
+@query("h13_strategy_figures", f"""{REC}{SETUPS}, {OUT}, marked AS (SELECT *, coalesce(isfinite(net_r) AND isfinite(gross_r) AND isfinite(commission_r) AND commission_r BETWEEN 0 AND 5, false) AS sane FROM ou WHERE final_status IS NOT NULL), both_levels AS (SELECT profile, key, closed_at_ms, net_r, sane FROM marked UNION ALL SELECT 'all', key, closed_at_ms, net_r, sane FROM marked), j AS (SELECT * FROM both_levels WHERE sane), odd_rows AS (SELECT profile, count(*) FILTER (NOT sane) AS anomalies FROM both_levels GROUP BY profile), c AS (SELECT *, sum(net_r) OVER (PARTITION BY profile ORDER BY closed_at_ms, key ROWS UNBOUNDED PRECEDING) AS curve FROM j), t AS (SELECT *, greatest(0, max(curve) OVER (PARTITION BY profile ORDER BY closed_at_ms, key ROWS UNBOUNDED PRECEDING)) AS top FROM c)
+SELECT profile, any_value(anomalies) AS anomalies, count(closed_at_ms) AS trades, round(sum(net_r), 5) AS net_r, round(count(*) FILTER (net_r > 0) / count(*), 6) AS win_rate, round(coalesce(sum(net_r) FILTER (net_r > 0), 0) / sum(-net_r) FILTER (net_r < 0), 5) AS profit_factor, round(max(top - curve), 5) AS max_drawdown FROM odd_rows LEFT JOIN t USING (profile) GROUP BY profile""")
 def h13(spark, d):
     rows = lifecycle.figures(closed(spark, d).where("final_status is not null"))
     return rounded(rounded(rows, "net_r", "profit_factor", "max_drawdown", digits=5), "win_rate")
@@ -350,7 +350,7 @@ def h13(spark, d):
 @query("h14_anomalies", f"{REC}{SETUPS}, {OUT} SELECT key, commission_r < 0 OR commission_r > 0.75 OR (final_status = 'SL' AND gross_r > 0) AS odd FROM ou WHERE final_status IS NOT NULL")
 def h14(spark, d):
     rows = closed(spark, d).where("final_status is not null")
-    return rows.select("key", (lifecycle.anomaly(0.75) | ((F.col("final_status") == "SL") & (F.col("gross_r") > 0))).alias("odd"))
+    return rows.select("key", (lifecycle.anomaly(0.75, ("net_r",)) | ((F.col("final_status") == "SL") & (F.col("gross_r") > 0))).alias("odd"))
 
 
 @query("h15_cost_sensitivity", f"{REC}{SETUPS}, {OUT} SELECT coalesce(profile, 'all') AS profile, coalesce(symbol, 'all') AS symbol, fee, count(*) AS trades, round(avg(gross_r - commission_r * fee), 6) AS expectancy FROM ou, (VALUES (0.0), (1.0), (2.0)) f(fee) WHERE final_status IS NOT NULL GROUP BY fee, CUBE (profile, symbol)")
@@ -360,6 +360,15 @@ def h15(spark, d):
     return cube.where("fee is not null").select(F.coalesce("profile", F.lit("all")).alias("profile"), F.coalesce("symbol", F.lit("all")).alias("symbol"), "fee", "trades", "expectancy")
 
 
+@query("h15_walk_forward", f"""{REC}{SETUPS}, {OUT}, j AS (SELECT profile, symbol, closed_at_ms // 2419200000 AS span, net_r FROM ou WHERE final_status IS NOT NULL AND commission_r BETWEEN 0 AND 5),
+f AS (SELECT DISTINCT span AS fold FROM j), past AS (SELECT fold, profile, symbol, count(*) AS n, avg(net_r) AS r FROM f JOIN j ON span BETWEEN fold - 4 AND fold - 1 GROUP BY ALL),
+pp AS (SELECT fold, profile, sum(n)::BIGINT AS train_trades, count(*) FILTER (r > 0) AS chosen FROM past GROUP BY ALL)
+SELECT pp.fold, pp.profile, any_value(train_trades) AS train_trades, count(*) AS test_trades, round(avg(net_r), 6) AS expectancy, any_value(pp.chosen) AS chosen, count(*) FILTER (r > 0) AS chosen_trades, round(avg(net_r) FILTER (r > 0), 6) AS chosen_expectancy
+FROM pp JOIN j ON span = pp.fold AND j.profile = pp.profile LEFT JOIN past ON past.fold = pp.fold AND past.profile = pp.profile AND past.symbol = j.symbol GROUP BY pp.fold, pp.profile""")
+def h15_folds(spark, d):
+    return rounded(lifecycle.walk_forward(closed(spark, d).where("final_status is not null")), "expectancy", "chosen_expectancy")
+
+
 def order_days(spark, d) -> DataFrame:
     """An instant for every order, at differing hours of its day."""
     orders = table(spark, d, "orders")
