@@ -360,13 +360,13 @@ def h15(spark, d):
     return cube.where("fee is not null").select(F.coalesce("profile", F.lit("all")).alias("profile"), F.coalesce("symbol", F.lit("all")).alias("symbol"), "fee", "trades", "expectancy")
 
 
-@query("h15_walk_forward", f"""{REC}{SETUPS}, {OUT}, j AS (SELECT profile, symbol, closed_at_ms // 2419200000 AS span, net_r FROM ou WHERE final_status IS NOT NULL AND commission_r BETWEEN 0 AND 5),
+@query("h15_walk_forward", f"""{REC}{SETUPS}, {OUT}, j AS (SELECT profile, symbol, floor(closed_at_ms / 172800000.0)::BIGINT AS span, net_r FROM ou WHERE final_status IS NOT NULL AND commission_r BETWEEN 0 AND 5),
 f AS (SELECT DISTINCT span AS fold FROM j), past AS (SELECT fold, profile, symbol, count(*) AS n, avg(net_r) AS r FROM f JOIN j ON span BETWEEN fold - 4 AND fold - 1 GROUP BY ALL),
 pp AS (SELECT fold, profile, sum(n)::BIGINT AS train_trades, count(*) FILTER (r > 0) AS chosen FROM past GROUP BY ALL)
 SELECT pp.fold, pp.profile, any_value(train_trades) AS train_trades, count(*) AS test_trades, round(avg(net_r), 6) AS expectancy, any_value(pp.chosen) AS chosen, count(*) FILTER (r > 0) AS chosen_trades, round(avg(net_r) FILTER (r > 0), 6) AS chosen_expectancy
 FROM pp JOIN j ON span = pp.fold AND j.profile = pp.profile LEFT JOIN past ON past.fold = pp.fold AND past.profile = pp.profile AND past.symbol = j.symbol GROUP BY pp.fold, pp.profile""")
 def h15_folds(spark, d):
-    return rounded(lifecycle.walk_forward(closed(spark, d).where("final_status is not null")), "expectancy", "chosen_expectancy")
+    return rounded(lifecycle.walk_forward(closed(spark, d).where("final_status is not null"), span_days=2), "expectancy", "chosen_expectancy")
 
 
 def order_days(spark, d) -> DataFrame:
