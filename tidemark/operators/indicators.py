@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.bars import SERIES
-from .structure import in_order
+from .chunks import inside, own, with_halo
 
 #: Bars in a chunk of the recursion.
 CHUNK = 256
@@ -20,14 +20,16 @@ def atr(bars: DataFrame, period: int = 14, column: str = "atr") -> DataFrame:
     that a chunk hands on, one row in CHUNK bars, is folded in order by an Arrow function. Null before period - 1.
     """
     q = (period - 1) / period
-    last = F.lag("close").over(in_order())
+    last = F.lag("close").over(inside())
     reach = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - last), F.abs(F.col("low") - last))
-    rows = bars.withColumn("_tr", F.when(last.isNull(), F.col("high") - F.col("low")).otherwise(reach))
+    rows = with_halo(bars, before=period).withColumn("_tr", reach)
+    seed = F.avg("_tr").over(inside().rowsBetween(-(period - 1), 0))
+    rows = own(rows.withColumn("_seed", F.when(F.col("i") == period - 1, seed)))
     rows = rows.withColumn("_j", F.col("i") - period).withColumn("_c", F.when(F.col("i") >= period, (F.col("_j") / CHUNK).cast("int")).otherwise(-1))
     k = F.col("_j") - F.col("_c") * CHUNK
     weighted = F.col("_tr") / period * F.pow(F.lit(q), -(k + 1))
-    own = Window.partitionBy(*SERIES, "_c").orderBy("i")
-    rows = rows.withColumn("_sum", F.when(F.col("_c") >= 0, F.sum(weighted).over(own) * F.pow(F.lit(q), k + 1)))
+    part = Window.partitionBy(*SERIES, "_c").orderBy("i")
+    rows = rows.withColumn("_sum", F.when(F.col("_c") >= 0, F.sum(weighted).over(part) * F.pow(F.lit(q), k + 1)))
     ends = rows.groupBy(*SERIES, "_c").agg(F.max_by("_sum", "i").alias("last"), F.count(F.lit(1)).alias("n"), F.avg("_tr").alias("seed"))
 
     def carry(chunks: pd.DataFrame) -> pd.DataFrame:
@@ -40,12 +42,11 @@ def atr(bars: DataFrame, period: int = 14, column: str = "atr") -> DataFrame:
 
     carried = ends.groupBy(*SERIES).applyInPandas(carry, "symbol string, timeframe string, _c int, carried double")
     rows = rows.join(carried, [*SERIES, "_c"])
-    seed = F.avg("_tr").over(in_order().rowsBetween(-(period - 1), 0))
-    value = F.when(F.col("i") == period - 1, seed).when(F.col("i") >= period, F.col("carried") * F.pow(F.lit(q), k + 1) + F.col("_sum"))
-    return rows.withColumn(column, value).drop("_tr", "_j", "_c", "_sum", "carried")
+    value = F.when(F.col("i") == period - 1, F.col("_seed")).when(F.col("i") >= period, F.col("carried") * F.pow(F.lit(q), k + 1) + F.col("_sum"))
+    return rows.withColumn(column, value).drop("_tr", "_j", "_c", "_sum", "_seed", "carried")
 
 
 def average_volume(bars: DataFrame, period: int = 20, column: str = "average_volume") -> DataFrame:
     """bars with the mean volume of the last `period` bars, null before period - 1."""
-    own = in_order().rowsBetween(-(period - 1), 0)
-    return bars.withColumn(column, F.when(F.col("i") >= period - 1, F.avg("volume").over(own)))
+    last = inside().rowsBetween(-(period - 1), 0)
+    return own(with_halo(bars, before=period - 1).withColumn(column, F.when(F.col("i") >= period - 1, F.avg("volume").over(last))))

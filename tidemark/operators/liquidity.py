@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..sources.bars import SERIES
 from .crossing import first_crossing
-from .structure import in_order
 
 
 def day_of() -> Column:

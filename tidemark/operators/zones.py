@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.bars import SERIES
+from .chunks import inside, own, so_far, with_halo
 from .crossing import first_crossing
-from .structure import in_order
 
 
 def bull() -> Column:
@@ -20,9 +20,9 @@ def order_blocks(bars: DataFrame, events: DataFrame) -> DataFrame:
     The body of the last candle against the break's direction strictly between broken swing and break; one block a
     candle and direction, that of the first break.
     """
-    before = in_order().rowsBetween(Window.unboundedPreceding, -1)
     body = F.struct("i", F.least("open", "close").alias("lower"), F.greatest("open", "close").alias("upper"))
-    seen = bars.select(*SERIES, F.col("i").alias("candle_index"), F.last(F.when(F.col("close") < F.col("open"), body), ignorenulls=True).over(before).alias("down"), F.last(F.when(F.col("close") > F.col("open"), body), ignorenulls=True).over(before).alias("up"))
+    colours = {"down": ("last", F.when(F.col("close") < F.col("open"), body)), "up": ("last", F.when(F.col("close") > F.col("open"), body))}
+    seen = so_far(bars.select(*SERIES, "i", "open", "close"), colours).select(*SERIES, F.col("i").alias("candle_index"), "down", "up")
     found = events.join(seen, [*SERIES, "candle_index"]).withColumn("b", F.when(bull(), F.col("down")).otherwise(F.col("up")))
     found = found.where(F.col("b.i") >= F.col("swing_index") + 1)
     first = F.row_number().over(Window.partitionBy(*SERIES, "direction", "b.i").orderBy("candle_index"))
@@ -50,7 +50,8 @@ def with_time(rows: DataFrame, bars: DataFrame, index: str, name: str) -> DataFr
 
 def gaps(bars: DataFrame) -> DataFrame:
     """direction, first_candle_index, confirmation_index, lower, upper and known_at of fair value gaps; touching bars leave none."""
-    seen = bars.select(*SERIES, "i", "high", "low", F.lag("high", 2).over(in_order()).alias("h"), F.lag("low", 2).over(in_order()).alias("l"), F.col("close_time_ms").alias("known_at"))
+    near = with_halo(bars.select(*SERIES, "i", "high", "low", F.col("close_time_ms").alias("known_at")), before=2)
+    seen = own(near.select("*", F.lag("high", 2).over(inside()).alias("h"), F.lag("low", 2).over(inside()).alias("l")))
     up = F.when(F.col("low") > F.col("h"), F.struct(F.lit("bullish").alias("direction"), F.col("h").alias("lower"), F.col("low").alias("upper")))
     down = F.when(F.col("high") < F.col("l"), F.struct(F.lit("bearish").alias("direction"), F.col("high").alias("lower"), F.col("l").alias("upper")))
     return seen.withColumn("g", F.coalesce(up, down)).where("g is not null").select(*SERIES, "g.direction", (F.col("i") - 2).alias("first_candle_index"), F.col("i").alias("confirmation_index"), "g.lower", "g.upper", "known_at")
@@ -58,9 +59,8 @@ def gaps(bars: DataFrame) -> DataFrame:
 
 def fills(bars: DataFrame, found: DataFrame) -> DataFrame:
     """gaps with fill_percent and fully_filled at the series' end, and fill_index and dead_at of the bar that filled them."""
-    # from the end backwards, so that the frame only grows
-    after = Window.partitionBy(*SERIES).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
-    deepest = bars.select(*SERIES, F.col("i").alias("confirmation_index"), F.min("low").over(after).alias("_low"), F.max("high").over(after).alias("_high"))
+    deepest = so_far(bars.select(*SERIES, "i", "high", "low"), {"_low": ("min", F.col("low")), "_high": ("max", F.col("high"))}, ahead=True)
+    deepest = deepest.select(*SERIES, F.col("i").alias("confirmation_index"), "_low", "_high")
     rows = found.join(deepest, [*SERIES, "confirmation_index"])
     width = F.col("upper") - F.col("lower")
     depth = F.when(bull(), F.col("upper") - F.coalesce("_low", "upper")).otherwise(F.coalesce("_high", "lower") - F.col("lower"))

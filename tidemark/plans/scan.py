@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import risk
-from ..operators import alive, indicators, liquidity, ranges, structure, zones
+from ..operators import alive, chunks, indicators, liquidity, ranges, structure, zones
 from ..operators.crossing import asof
 from ..operators.shared import kept
 from ..sources.bars import SERIES
@@ -74,11 +74,13 @@ def snapshots(bars: DataFrame, profile: Profile) -> tuple[DataFrame, dict]:
     bars = kept(bars.where(F.col("timeframe").isin(*{profile.bias, profile.zone, profile.trigger, profile.extra or profile.trigger})))
     bias, zone, trigger = facts(bars, profile.bias, profile.width), facts(bars, profile.zone, profile.width), facts(bars, profile.trigger, 2)
     own = indicators.average_volume(indicators.atr(structure.internal_direction(trigger["bars"])))
-    w = Window.partitionBy("symbol").orderBy("i")
     event = trigger["breaks"].select("symbol", F.col("candle_index").alias("i"), F.struct("candle_index", "direction", "event_open_ms", F.col("known_at").alias("at")).alias("_e"))
-    own = own.join(event, ["symbol", "i"], "left").withColumn("trigger_break", F.last("_e", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    own = chunks.so_far(kept(own.join(event, ["symbol", "i"], "left")), {"_before": ("last", F.col("_e"))}).withColumn("trigger_break", F.coalesce("_e", "_before"))
+    own = chunks.with_halo(own, before=9)
     for n in (6, 10):
-        own = own.withColumn(f"low_{n}", F.min("low").over(w.rowsBetween(-n + 1, 0))).withColumn(f"high_{n}", F.max("high").over(w.rowsBetween(-n + 1, 0)))
+        last = chunks.inside().rowsBetween(-n + 1, 0)
+        own = own.withColumn(f"low_{n}", F.min("low").over(last)).withColumn(f"high_{n}", F.max("high").over(last))
+    own = chunks.own(own)
     rows = own.select("symbol", "i", F.col("open_time_ms").alias("open_ms"), F.col("close_time_ms").alias("t"), F.col("close").alias("entry"), "volume", "atr", "average_volume", "internal_direction", "trigger_break", "low_6", "high_6", "low_10", "high_10")
     for name, side in (("bias", bias), ("zone", zone)):
         rows = asof(rows, side["bars"], ["symbol"], "t", "close_time_ms", f"{name}_bar", ["i", "close", "close_time_ms"])
@@ -138,6 +140,12 @@ def live_levels(trigger: dict, pools: DataFrame) -> DataFrame:
     return a.unionByName(b).unionByName(c)
 
 
+def last_bars(bars: DataFrame, n: int, name: str) -> DataFrame:
+    """symbol, i and the last n bars (fewer at the start) of one timeframe as an array of t, low_1 and high_1."""
+    near = chunks.with_halo(bars.select(*SERIES, "i", F.struct(F.col("close_time_ms").alias("t"), F.col("low").alias("low_1"), F.col("high").alias("high_1")).alias("_bar")), before=n - 1)
+    return chunks.own(near.withColumn(name, F.collect_list("_bar").over(chunks.inside().rowsBetween(1 - n, 0)))).select("symbol", "i", name)
+
+
 def price_action(bars: DataFrame, profile: Profile, options: Options = Options()) -> DataFrame:
     """Every snapshot of the price-action scan with reason (the first gate that rejects it, or pac_candidate_generated) and, for candidates, their fields.
 
@@ -150,9 +158,7 @@ def price_action(bars: DataFrame, profile: Profile, options: Options = Options()
     rows = rows.withColumn("reason", first_reason((F.col("i") < HISTORY - 1, "insufficient_trigger_history"), (F.coalesce(F.least(F.coalesce("zone_bar.i", F.lit(-1)), F.coalesce("bias_bar.i", F.lit(-1))), F.lit(-1)) < HISTORY - 1, "insufficient_mtf_history"), (F.col("expected").isNull(), "no_htf_bias"), (~F.coalesce(F.col("atr") > 0, F.lit(False)), "invalid_atr")))
     recent = []
     if options.strict_retest:
-        plain = known["trigger"]["bars"].select("symbol", "i", F.col("low").alias("low_1"), F.col("high").alias("high_1"))
-        six = Window.partitionBy("symbol").orderBy("i").rowsBetween(-5, 0)
-        rows, recent = rows.join(plain, ["symbol", "i"]).withColumn("recent", F.collect_list(F.struct("t", "low_1", "high_1")).over(six)), ["recent"]
+        rows, recent = rows.join(last_bars(known["trigger"]["bars"], 6, "recent"), ["symbol", "i"]), ["recent"]
     rows = kept(rows)
     waiting = rows.where("reason is null").select("symbol", "i", "expected", "entry", "atr", "low_6", "high_6", "trigger_break", *recent)
     near = waiting.join(nearby_zones(waiting, zone_facts(known["zones"]), known["sizes"]), ["symbol", "i"]).select("*", "zone.*")
@@ -225,7 +231,6 @@ def structure_scan(bars: DataFrame, profile: Profile) -> DataFrame:
     trigger = known["trigger"]
     rows = rows.withColumn("expected", F.col("bias_break.direction")).withColumn("direction", F.when(F.col("expected") == "bullish", "long").when(F.col("expected") == "bearish", "short"))
     long = F.col("direction") == "long"
-    w = Window.partitionBy("symbol").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     sweeps = liquidity.intraday_sweeps(trigger["bars"]).select("symbol", "candle_index", "direction", "level").unionByName(liquidity.sweeps(trigger["bars"], liquidity.previous_days(trigger["bars"]).drop("known_at"), ["kind", "confirmation_index"]).select("symbol", "candle_index", "direction", F.col("price").alias("level")))
     sweeps = sweeps.withColumn("from_i", F.col("candle_index")).withColumn("until_i", F.lit(None).cast("int")).unionByName(liquidity.sweeps(trigger["bars"], known["pools"], ["pool", "version"]).where(F.col("superseded_at").isNull() | (F.col("candle_index") < F.col("superseded_at"))).select("symbol", "candle_index", "direction", F.col("price").alias("level"), F.col("candle_index").alias("from_i"), F.col("superseded_at").alias("until_i")))
     sweeps = kept(sweeps)
@@ -236,10 +241,7 @@ def structure_scan(bars: DataFrame, profile: Profile) -> DataFrame:
     history = F.least(F.col("i"), F.coalesce("zone_bar.i", F.lit(-1)), F.coalesce("bias_bar.i", F.lit(-1)))
     rows = rows.withColumn("reason", first_reason((history < HISTORY - 1, "insufficient_history"), (F.col("expected").isNull(), "no_htf_structure_break"), (F.col("sweeps").isNull(), "no_liquidity_sweep"), (F.col("trigger_break").isNull(), "no_structure_break"), (F.col("bias_range").isNull(), "no_directional_bias_dealing_range"), (F.col("zone_range").isNull(), "no_directional_zone_dealing_range"), (~age.between(0, 2), "confirmation_break_not_recent"), (F.col("trigger_break.direction") != F.col("expected"), "confirmation_direction_mismatch")))
     # bars since the break, two at most: the zone must be touched by one that closed after both break and zone
-    bar = F.struct(F.col("t"), F.col("low_1"), F.col("high_1"))
-    plain = trigger["bars"].select("symbol", "i", F.col("low").alias("low_1"), F.col("high").alias("high_1"))
-    rows = rows.join(plain, ["symbol", "i"]).withColumn("_recent", F.collect_list(bar).over(Window.partitionBy("symbol").orderBy("i").rowsBetween(-2, 0)))
-    rows = kept(rows)
+    rows = kept(rows.join(last_bars(trigger["bars"], 3, "_recent"), ["symbol", "i"]))
     waiting = rows.where("reason is null").select("symbol", "i", "expected", "trigger_break", "_recent", F.col("zone_range.ote_lower").alias("ote_lower"), F.col("zone_range.ote_upper").alias("ote_upper"))
     near = alive.touching(waiting, zone_facts(known["zones"]), ["symbol", "expected"], ("ote_lower", "ote_upper"), ("zone_low", "zone_high"), known["sizes"])
     touched = F.exists("_recent", lambda b: (b["t"] > F.greatest(F.col("trigger_break.at"), F.col("zone_close_ms"))) & (b["high_1"] >= F.col("zone_low")) & (b["low_1"] <= F.col("zone_high")))

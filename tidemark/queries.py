@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
-from .operators import crossing, indicators, liquidity, ranges, structure, zones
+from .operators import chunks, crossing, indicators, liquidity, ranges, structure, zones
 from .sources import bars as source
 from .sources.bars import SERIES
 
@@ -114,6 +114,19 @@ def b9(spark, d):
     return rounded(indicators.average_volume(series(spark, d)).select(*SERIES, "i", "average_volume"), "average_volume")
 
 
+@query("b_chunked_windows", f"""{WITH}{sql.bars()} SELECT symbol, timeframe, i, max(high) OVER ({sql.W} ROWS 9 PRECEDING) AS top_10, min(low) OVER ({sql.W} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS low_next_5, max(high) OVER ({sql.W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top_before,
+      last_value(CASE WHEN close < open THEN i END IGNORE NULLS) OVER ({sql.W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_down, min(low) OVER ({sql.W} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS low_after FROM b""")
+def b_chunks(spark, d):
+    """Bounded and unbounded windows over chunks of 64 bars, so that series of any table here have many."""
+    size = 64
+    bars = chunks.numbered(source.bars_of(source.event_ticks(table(spark, d, "events")), LADDER), size)
+    near = chunks.with_halo(bars, 9, 5, size)
+    near = near.withColumn("top_10", F.max("high").over(chunks.inside().rowsBetween(-9, 0))).withColumn("low_next_5", F.min("low").over(chunks.inside().rowsBetween(1, 5)))
+    rows = chunks.so_far(bars, {"top_before": ("max", F.col("high")), "last_down": ("last", F.when(F.col("close") < F.col("open"), F.col("i")))}, size=size)
+    rows = chunks.so_far(rows, {"low_after": ("min", F.col("low"))}, ahead=True, size=size)
+    return chunks.own(near).select(*SERIES, "i", "top_10", "low_next_5").join(rows.select(*SERIES, "i", "top_before", "last_down", "low_after"), [*SERIES, "i"])
+
+
 def pool_versions(bars: DataFrame) -> DataFrame:
     return liquidity.pools(structure.swings(bars), indicators.atr(bars))
 
