@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.bars import SERIES
-from .chunks import inside, numbered, own, so_far, with_halo
+from .chunks import inside, numbered, own, with_halo
 from .crossing import first_crossing
-from .shared import kept
 
 
 def indexed(bars: DataFrame) -> DataFrame:
@@ -48,8 +47,9 @@ def breaks(bars: DataFrame, points: DataFrame) -> DataFrame:
     crossed = first_crossing(level, bars, ["kind", "swing_index"], "confirmation_index", hit, possible, "candle_index").where("candle_index is not null")
     newest = crossed.groupBy(*SERIES, "candle_index").agg(F.max_by(F.struct("kind", "swing_index", "price"), F.struct("confirmation_index", "swing_index")).alias("s"))
     events = newest.select(*SERIES, "candle_index", F.when(F.col("s.kind") == "high", "bullish").otherwise("bearish").alias("direction"), "s.swing_index", F.col("s.price").alias("level"))
-    events = so_far(kept(events), {"_last": ("last", F.col("direction"))}, "candle_index")
-    events = events.withColumn("kind", F.when(F.coalesce(F.col("_last") != F.col("direction"), F.lit(False)), "CHoCH").otherwise("BOS")).drop("_last")
+    # events are narrow and far fewer than bars, so one window a series has them
+    last = F.lag("direction").over(Window.partitionBy(*SERIES).orderBy("candle_index"))
+    events = events.withColumn("kind", F.when(F.coalesce(last != F.col("direction"), F.lit(False)), "CHoCH").otherwise("BOS"))
     times = bars.select(*SERIES, F.col("i").alias("candle_index"), F.col("close_time_ms").alias("known_at"), F.col("open_time_ms").alias("event_open_ms"))
     return events.join(times, [*SERIES, "candle_index"])
 
