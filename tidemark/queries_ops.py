@@ -12,6 +12,7 @@ from .operators.crossing import asof
 from .queries import BAR, BREAKS, INTRADAY, LADDER, REC, WITH, query, rounded, series, table
 from .sources import bars as source
 from .sources.bars import SERIES
+from .streaming import setups as setup_stream
 
 NUDGED = "CASE WHEN i % 4 = 0 THEN close + 0.5 ELSE close END"
 
@@ -278,6 +279,39 @@ def h2(spark, d):
     return lifecycle.accepted(rows.unionByName(later)).select("key", "confirmation_time_ms", "accepted", "stored", "ignored", F.array_join("gate_reasons", ",").alias("reasons"))
 
 
+#: Every decision of a stream and the end of every accepted setup, as a fold over symbol and profile.
+STREAMED = f"""{OUT}, dc AS (SELECT key, symbol, profile, zone, confirmation_time_ms AS t, coalesce(closed_at_ms, 4611686018427387904) AS ends, CASE WHEN profile = 'scalp' THEN 30 ELSE 120 END * 60000 AS pause, {RR} AS rr, {DECIDED} AS status, final_status, closed_at_ms, net_r FROM ou),
+sr AS (SELECT *, row_number() OVER (PARTITION BY symbol, profile ORDER BY t, key) AS n FROM dc WHERE status = 'MISSED_PRICE' OR (status <> 'REJECTED' AND rr >= 1.49)),
+st AS (SELECT DISTINCT symbol, profile, 0::BIGINT AS n, NULL::VARCHAR AS key, 0::BIGINT AS busy_until, []::STRUCT(zone BIGINT, t BIGINT)[] AS begun, false AS blocked, false AS paused FROM sr
+  UNION ALL SELECT symbol, profile, n, key, CASE WHEN status = 'ACCEPTED' AND NOT blocked AND NOT paused THEN ends ELSE busy_until END, CASE WHEN status <> 'MISSED_PRICE' AND NOT blocked AND NOT paused THEN list_append(begun, {{'zone': zone, 't': t}}) ELSE begun END, blocked, paused
+  FROM (SELECT sr.symbol, sr.profile, sr.n, sr.key, sr.status, sr.ends, sr.zone, sr.t, st.busy_until, list_filter(st.begun, lambda x: x.t >= sr.t - sr.pause) AS begun, sr.status = 'ACCEPTED' AND sr.t < st.busy_until AS blocked, sr.status <> 'MISSED_PRICE' AND len(list_filter(st.begun, lambda x: x.zone = sr.zone AND x.t >= sr.t - sr.pause)) > 0 AS paused FROM st JOIN sr ON sr.symbol = st.symbol AND sr.profile = st.profile AND sr.n = st.n + 1)),
+dd AS (SELECT dc.*, coalesce(NOT blocked AND NOT paused, false) AS stored, CASE WHEN dc.status IN ('ACCEPTED', 'CANDIDATE') AND rr < 1.49 THEN 'rr_below_minimum' ELSE concat_ws(',', CASE WHEN blocked THEN 'active_setup_for_symbol_profile' END, CASE WHEN paused THEN 'cooldown_active' END) END AS reasons FROM dc LEFT JOIN st USING (key)),
+lg AS (SELECT symbol, profile, key, 0 AS seq, t AS event_time_ms, CASE WHEN stored THEN status ELSE 'REJECTED' END AS status, stored, reasons, NULL::DOUBLE AS net_r FROM dd UNION ALL SELECT symbol, profile, key, 1, closed_at_ms, final_status, true, '', round(net_r, 6) FROM dd WHERE stored AND status = 'ACCEPTED' AND final_status IS NOT NULL)"""
+
+
+def streamed(spark, d) -> DataFrame:
+    rr = risk.risk_reward(F.col("direction"), F.col("confirmation_price"), F.col("stop_price"), F.col("target"))
+    rows = setups(spark, d).withColumn("zone_key", F.col("zone").cast("string")).withColumn("risk_reward", rr).withColumn("status", F.expr(DECIDED))
+    return setup_stream.replayed(rows, series(spark, d, ["15m"]))
+
+
+@query("h2_h3_stream_events", f"{REC}{SETUPS}, {STREAMED} SELECT key, seq, event_time_ms, status, stored, reasons, net_r FROM lg")
+def h2_stream(spark, d):
+    return rounded(streamed(spark, d).select("key", "seq", "event_time_ms", "status", "stored", F.array_join("reasons", ",").alias("reasons"), "net_r"), "net_r")
+
+
+@query("h1_h10_setup_store", f"{REC}{SETUPS}, {STREAMED}, cut AS (SELECT max(event_time_ms) - 86400000 AS c FROM lg) SELECT symbol, profile, count(DISTINCT key) FILTER (stored) AS setups, count(*) FILTER (seq = 1) AS closed, count(DISTINCT key) FILTER (stored AND status = 'ACCEPTED') - count(*) FILTER (seq = 1) AS open_setups, count(*) FILTER (stored OR event_time_ms >= c) AS events_after_purge FROM lg, cut GROUP BY symbol, profile")
+def h1_store(spark, d):
+    log = streamed(spark, d)
+    by = ["symbol", "profile"]
+    cut = log.agg(F.max("event_time_ms")).first()[0] or 0
+    state = setup_stream.stored_setups(log).groupBy(*by).agg(F.count(F.lit(1)).alias("setups"), F.count(F.when(F.col("status") == "ACCEPTED", 1)).alias("open_setups"))
+    closed = setup_stream.stored_journal(log).groupBy(*by).agg(F.count(F.lit(1)).alias("closed"))
+    left = setup_stream.purged(log, cut - 86_400_000).groupBy(*by).agg(F.count(F.lit(1)).alias("events_after_purge"))
+    groups = log.select(*by).distinct().join(state, by, "left").join(closed, by, "left").join(left, by, "left")
+    return groups.select(*by, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("setups", "closed", "open_setups", "events_after_purge")])
+
+
 @query("h4_partial_exits")
 def h4(spark, d):
     rows = setups(spark, d).withColumn("targets", F.transform(F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)), lambda k: F.col("confirmation_price") + risk.side(F.col("direction")) * k * F.col("atr")))

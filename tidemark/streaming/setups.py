@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.risk import MINIMUM_RR, RATE
 from ..operators.lifecycle import COOLDOWN_MINUTES, LIFE_HOURS, LIVE
+from ..operators.shared import kept, shared_dir
 
 SETUP = ("key", "profile", "zone_key", "direction", "status", "confirmation_price", "stop_price", "target", "risk_reward")
 EVENT = "symbol string, profile string, key string, event_time_ms bigint, seq int, status string, stored boolean, ignored boolean, reasons array<string>, gross_r double, commission_r double, net_r double"
@@ -130,6 +131,30 @@ def keep_events(spark: SparkSession, path: str) -> Callable[[DataFrame, int], No
     return store
 
 
+def replayed(setups: DataFrame, bars: DataFrame, spans: int = 4, files: int = 64) -> DataFrame:
+    """The event log that setups and bars leave when they are streamed through a store, in batches of `files` files of `spans` spans of time in order.
+
+    Both are written to the shared folder, a symbol in one file a span, so that no batch brings a setup after later bars.
+    """
+    spark = setups.sparkSession
+    rows = kept(inputs(setups, bars))
+    folder = f"{shared_dir(spark)}/kept/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    first, last = rows.agg(F.min("at_ms"), F.max("at_ms")).first()
+    width = ((last or 0) - (first or 0)) // spans + 1
+    for n in range(spans):
+        part = F.floor((F.col("at_ms") - F.lit(first or 0)) / width) == n
+        rows.where(part).repartition("symbol").write.parquet(f"{folder}/in/{n}")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    rocksdb(spark)
+    try:
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in/*")
+        sink = events(stream).writeStream.foreachBatch(keep_events(spark, f"{folder}/store"))
+        sink.option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return stored_events(spark, f"{folder}/store")
+
+
 def stored_events(spark: SparkSession, path: str) -> DataFrame:
     """All events of a store that are committed, each batch once."""
     rows = spark.read.schema("number bigint, at bigint, folder string").parquet(f"{path}/commits")
