@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
 #: One of each kind; the others run in the driver's own comparison.
-NAMES = ["k1_bars", "a1_feed_messages", "a9_gap_recovery", "b2_structure_breaks", "b7_gap_fills", "b8_average_true_range", "b_chunked_windows", "b16_directional_range", "b15_levels_near_zones", "d4_zone_overlap", "d1_tiered_targets", "b20_any_bar", "h2_acceptance", "h2_h3_stream_events", "h1_h10_setup_store", "h13_strategy_figures", "h15_walk_forward", "f_price_action_funnel"]
+NAMES = ["k1_bars", "a1_feed_messages", "a9_gap_recovery", "b2_structure_breaks", "b7_gap_fills", "b8_average_true_range", "b_chunked_windows", "b16_directional_range", "b15_levels_near_zones", "d4_zone_overlap", "d1_tiered_targets", "b20_any_bar", "h2_acceptance", "h2_h3_stream_events", "h1_h10_setup_store", "h13_strategy_figures", "h15_walk_forward", "i1_calendar_sessions", "f_price_action_funnel"]
 
 
 def plain(value):

@@ -38,6 +38,44 @@ def in_session(instants: DataFrame, days: DataFrame) -> DataFrame:
     return rows.withColumn("open", held).drop("_utc", "_s")
 
 
+#: Holidays of the Korean calendar by month and day, and the exchange's last day of the year.
+KOREAN_DAYS = ("01-01", "03-01", "05-01", "05-05", "06-06", "08-15", "10-03", "12-25", "12-31")
+
+
+def regular_sessions(spark: SparkSession, calendar: str, first: str, last: str, zone: str, opens: str, closes: str, month_days: tuple[str, ...] = (), holidays: DataFrame | None = None) -> DataFrame:
+    """calendar, day, open_utc and close_utc (ms) of the sessions of weekdays from first to last, at the clock of a time zone.
+
+    A session that closes at or before the hour it opens ends the next day. No session begins on month_days (MM-dd) or within
+    `span` days of a row of holidays (day, span; null span: 0), such as a table of lunar ones. One row a day.
+    """
+    days = spark.sql(f"SELECT explode(sequence(date'{first}', date'{last}')) AS day").where("weekday(day) < 5").where(~F.date_format("day", "MM-dd").isin(*month_days, ""))
+    if holidays is not None:
+        span = F.coalesce("span", F.lit(0))
+        off = holidays.where("day is not null").select(F.explode(F.sequence(F.date_sub("day", span), F.date_add("day", span))).alias("day")).distinct()
+        days = days.join(off, "day", "left_anti")
+    at = lambda day, clock: F.unix_millis(F.to_utc_timestamp(F.concat_ws(" ", F.date_format(day, "yyyy-MM-dd"), F.lit(clock)), zone))
+    end = F.date_add("day", 1 if closes <= opens else 0)
+    return days.select(F.lit(calendar).alias("calendar"), "day", at(F.col("day"), opens).alias("open_utc"), at(end, closes).alias("close_utc"))
+
+
+def calendar_open(instants: DataFrame, sessions: DataFrame) -> DataFrame:
+    """instants (calendar, ms) with open: whether a session of its calendar holds the instant, end excluded.
+
+    Null without a known calendar, without a time, and outside of what the calendar's sessions cover: not verified. Sessions
+    may overlap, last over midnight or for days; they meet instants by calendar and UTC day, so no instant meets a calendar's
+    whole history and a busy calendar spreads over its days.
+    """
+    day = lambda ms: F.floor(ms / 86_400_000)
+    table = sessions.where("calendar is not null and open_utc < close_utc")
+    span = table.groupBy("calendar").agg(F.min("open_utc").alias("_from"), F.max("close_utc").alias("_until"))
+    held = table.select("calendar", "open_utc", "close_utc", F.explode(F.sequence(day(F.col("open_utc")), day(F.col("close_utc") - 1))).alias("_day"))
+    held = held.groupBy("calendar", "_day").agg(F.collect_list(F.struct("open_utc", "close_utc")).alias("_s"))  # a few sessions a day
+    rows = instants.withColumn("_day", day(F.col("ms"))).join(span, "calendar", "left").join(held, ["calendar", "_day"], "left")
+    open_ = F.exists("_s", lambda s: (F.col("ms") >= s["open_utc"]) & (F.col("ms") < s["close_utc"]))
+    covered = (F.col("ms") >= F.col("_from")) & (F.col("ms") < F.col("_until"))
+    return rows.withColumn("open", F.when(covered, F.coalesce(open_, F.lit(False)))).select(*instants.columns, "open")
+
+
 def commodity_open(instants: DataFrame, days: DataFrame) -> DataFrame:
     """instants with open by the commodity week: Sunday 18:00 to Friday 17:00 New York, a break from 17:00 to 18:00, closed on New York holidays; an evening belongs to the next day's session."""
     local = F.from_utc_timestamp(F.timestamp_millis(F.col("ms")), "America/New_York")

@@ -414,6 +414,28 @@ def i1(spark, d):
     return sessions.in_session(order_days(spark, d), sessions.new_york_days(spark, "1991-01-01", "2027-12-31"))
 
 
+#: Lunar new year and autumn festival, of three days each, and Buddha's birthday, 1992 to 1998.
+LUNAR = "('1992-02-04', 1), ('1993-01-23', 1), ('1994-02-10', 1), ('1995-01-31', 1), ('1996-02-19', 1), ('1997-02-08', 1), ('1998-01-28', 1), ('1992-09-11', 1), ('1993-09-30', 1), ('1994-09-20', 1), ('1995-09-09', 1), ('1996-09-27', 1), ('1997-09-16', 1), ('1998-10-05', 1), ('1993-05-28', 0), ('1994-05-18', 0), ('1995-05-07', 0), ('1996-05-24', 0), ('1997-05-14', 0), ('1998-05-03', 0)"
+
+
+@query("i1_calendar_sessions", f"""WITH o AS (SELECT o_orderkey, epoch_ms(o_orderdate::TIMESTAMP) + o_orderkey % 1440 * 60000 AS ms, CASE o_orderkey % 4 WHEN 0 THEN 'KRX' WHEN 1 THEN 'NIGHT' WHEN 2 THEN 'NY' ELSE 'OTHER' END AS calendar FROM orders),
+l(day, span) AS (SELECT a::DATE, b FROM (VALUES {LUNAR}) v(a, b)), d AS (SELECT unnest(generate_series(DATE '1992-01-01', DATE '1997-12-31', INTERVAL 1 DAY))::DATE AS day),
+w AS (SELECT day, epoch_ms(day::TIMESTAMP) AS m FROM d WHERE isodow(day) < 6), t AS (SELECT * FROM w WHERE strftime(day, '%m-%d') NOT IN ({", ".join(f"'{x}'" for x in sessions.KOREAN_DAYS)}) AND NOT EXISTS (SELECT 1 FROM l WHERE l.day - l.span <= w.day AND l.day + l.span >= w.day)),
+ny AS (SELECT m, day >= (make_date(year(day), 4, 1) + (7 - isodow(make_date(year(day), 4, 1)))::INTEGER) AND day < (make_date(year(day), 10, 31) - (isodow(make_date(year(day), 10, 31)) % 7)::INTEGER) AS summer FROM w),
+s AS (SELECT 'KRX' AS calendar, m AS a, m + 23400000 AS z FROM t UNION ALL SELECT 'NIGHT', m + 39600000, m + 93600000 FROM t UNION ALL SELECT 'NY', m + 52200000 - CASE WHEN summer THEN 3600000 ELSE 0 END, m + 75600000 - CASE WHEN summer THEN 3600000 ELSE 0 END FROM ny),
+c AS (SELECT calendar, min(a) AS lo, max(z) AS hi FROM s GROUP BY calendar)
+SELECT o_orderkey, o.calendar, CASE WHEN ms >= lo AND ms < hi THEN coalesce(ms < z, false) END AS open FROM o ASOF LEFT JOIN s ON o.calendar = s.calendar AND o.ms >= s.a LEFT JOIN c ON c.calendar = o.calendar""")
+def i1_calendars(spark, d):
+    span = ("1992-01-01", "1997-12-31")
+    lunar = spark.sql(f"SELECT to_date(a) AS day, b AS span FROM VALUES {LUNAR} AS v(a, b)")
+    korean = {"zone": "Asia/Seoul", "month_days": sessions.KOREAN_DAYS, "holidays": lunar}
+    table = sessions.regular_sessions(spark, "KRX", *span, opens="09:00:00", closes="15:30:00", **korean)
+    table = table.unionByName(sessions.regular_sessions(spark, "NIGHT", *span, opens="20:00:00", closes="11:00:00", **korean))
+    table = table.unionByName(sessions.regular_sessions(spark, "NY", *span, "America/New_York", "09:30:00", "16:00:00"))
+    kind = F.element_at(F.array(F.lit("KRX"), F.lit("NIGHT"), F.lit("NY"), F.lit("OTHER")), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return sessions.calendar_open(order_days(spark, d).withColumn("calendar", kind), table).select("o_orderkey", "calendar", "open")
+
+
 @query("i2_i3_commodity_sessions")
 def i2(spark, d):
     rows = sessions.commodity_open(order_days(spark, d), sessions.new_york_days(spark, "1991-01-01", "2027-12-31"))
