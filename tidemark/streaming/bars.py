@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import upkeep
-from ..sources.bars import SERIES, TIMEFRAMES, feed_messages
+from ..sources.bars import SERIES, TIMEFRAMES, feed_messages, millis
 
 
 def stream_bars(ticks: DataFrame, timeframe: str, lateness: str = "10 minutes") -> DataFrame:
@@ -18,6 +18,7 @@ def stream_bars(ticks: DataFrame, timeframe: str, lateness: str = "10 minutes")
     length = TIMEFRAMES[timeframe]
     at = F.struct("ts", "seq")
     window = F.window("ts", f"{length // 1000} seconds")
+    ticks = ticks.withColumn("ts", F.timestamp_millis(millis(F.col("ts"))))  # as in batch
     bars = ticks.withWatermark("ts", lateness).groupBy("symbol", window.alias("w")).agg(F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("quantity").alias("volume"))
     start = F.unix_millis("w.start")
     return bars.select("symbol", F.lit(timeframe).alias("timeframe"), start.alias("open_time_ms"), (start + length - 1).alias("close_time_ms"), "open", "high", "low", "close", "volume")
