@@ -33,6 +33,8 @@ MIN_SUPPORT, MIN_PRECISION = 5, 0.6
 #: And if its distinct instances that are held true are so many as this share of its places in their own documents:
 #: common words stand before some of them by chance. Nothing here hangs on how large the corpus is.
 MIN_PLACES = 0.02
+#: Places are counted in one of so many texts first, then in more of them, last in all.
+PARTS = (64, 8, 1)
 #: Occurrences in one text up to which its pieces are picked where they lie; beyond, all pieces are dealt out.
 FEW = 64
 #: What follows is part of a pattern if it follows so many of the values that are held true behind the same words.
@@ -178,6 +180,21 @@ def placed(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     return counts.join(lefts, "left", "left_semi")
 
 
+def seldom_by_chance(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Those of patterns (key, left, right, of) whose instances are MIN_PLACES of all places of their lefts in rows (h1, h2, text), at least.
+
+    The more seeds there are, the more common words stand before five of them by chance, and these stand everywhere. What a
+    part of the texts holds is a lower bound, so such lefts go by a few of their places: of one that stays until the next
+    part at most 8 * of / MIN_PLACES places are to be expected there. Those left are counted in all texts.
+    """
+    for n in PARTS:
+        counts = placed(rows.where(F.pmod("h1", F.lit(n)) == 0) if n > 1 else rows, patterns)
+        met = patterns.join(counts, "left", "left_outer" if n > 1 else "inner")
+        few = F.col("of") >= MIN_PLACES * F.coalesce("n_places", F.lit(0))
+        patterns = written(met.where(few).select(*patterns.columns), "pii-wanted")
+    return patterns
+
+
 def scored(edges: DataFrame, sure: DataFrame, min_support: int, min_precision: float, min_confidence: float) -> DataFrame:
     """left, right and value of the edges (key, left, right, value) between accepted patterns and values that are held true.
 
@@ -253,8 +270,7 @@ def discovered(rows: DataFrame, min_support: int = MIN_SUPPORT, min_precision: f
             break
         there = written(new.select("h1", "h2").distinct(), "pii-own")
         texts = perhaps_in(rows.select("h1", "h2", "text"), F.col("h1"), there, F.col("h1"))
-        counts = placed(texts, wanted)
-        wanted = written(wanted.join(counts, "left").where(F.col("of") >= MIN_PLACES * F.col("n_places")).select(*pattern), "pii-wanted")
+        wanted = seldom_by_chance(texts, wanted).select(*pattern)
         own = slots(texts, wanted).join(there, ["h1", "h2"], "left_semi")
         near = own.select("left", "right", "value").distinct().join(voters.withColumn("true", F.lit(1)), "value", "left")
         likely = near.groupBy("left", "right").agg((F.count("true") / F.count(F.lit(1))).alias("p")).where(F.col("p") >= min_precision).select("left", "right")
