@@ -3,6 +3,7 @@
 import datetime as dt
 
 import duckdb
+import pytest
 
 from __spark_entry__ import oracle_sql, queries
 from tidemark.sources import bars as source
@@ -39,3 +40,14 @@ def test_a_stream_rounds_as_history_does(spark, tmp_path):
     want = source.bars_of(source.event_ticks(made), ["15m"])
     columns = want.columns
     assert sorted(map(tuple, spark.table("ticks_15m").select(columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("name", ["a4_history_load"])
+def test_what_is_made_of_bars_rounds_as_its_sql(spark, tmp_path, name):
+    events(spark, tmp_path)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = db.execute(oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    got = [tuple(r) for r in queries()[name](spark, str(tmp_path)).select(columns).collect()]
+    assert got and sorted(got, key=str) == sorted(want.fetchall(), key=str)
