@@ -42,7 +42,7 @@ def test_a_stream_rounds_as_history_does(spark, tmp_path):
     assert sorted(map(tuple, spark.table("ticks_15m").select(columns).collect())) == sorted(map(tuple, want.collect()))
 
 
-@pytest.mark.parametrize("name", ["a4_history_load", "a5_upsert_retention", "a6_window_read", "a9_gap_recovery"])
+@pytest.mark.parametrize("name", ["a4_history_load", "a5_upsert_retention", "a6_window_read", "a9_gap_recovery", "b_chunked_windows"])
 def test_what_is_made_of_bars_rounds_as_its_sql(spark, tmp_path, name):
     events(spark, tmp_path)
     db = duckdb.connect()
