@@ -42,7 +42,9 @@ def cover(start: Column, end: Column, sizes: int) -> Column:
         node = lambda n: F.struct(s.cast("int").alias("_size"), n.cast("long").alias("_node"))
         return F.array_compact(F.array(F.when((a < b) & (a % 2 == 1), node(a)), F.when((a < b) & (b % 2 == 1), node(b - 1))))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(sizes)), of_size))
+    # no node is larger than the span; one size more, as the logarithm may be rounded down
+    top = F.least(F.lit(sizes), F.coalesce(F.floor(F.log2(end - start)).cast("int"), F.lit(0)) + 1)
+    return F.flatten(F.transform(F.sequence(F.lit(0), top), of_size))
 
 
 def around(i: Column, sizes: int) -> Column:
@@ -77,16 +79,18 @@ def nearest(queries: DataFrame, facts: DataFrame, by: list[str], sizes: int, k:
 
     near is an array of struct(price, payload), nearest first, shorter or absent where there are fewer; of facts with one
     price it has the least payload. In each node facts and queries lie in one order of price; a fact carries those
-    next beyond it, and a query takes what the last fact before it carries. Queries differ in (by, i, up).
+    next beyond it, and a query takes what the last fact before it carries. Nodes without a query are left out before
+    that. Queries differ in (by, i, up) and are read twice.
     """
     sides = F.explode(F.array(F.lit(True), F.lit(False)))
     sign = F.when(F.col("up"), 1.0).otherwise(-1.0)
-    f = dealt(facts.select(*by, "from_i", "until_i", "price", "payload", sides.alias("up")), cover(F.col("from_i"), F.col("until_i"), sizes))
     key = [*by, "up", "_size", "_node"]
+    q = dealt(queries.select(*by, "up", "i", (F.col("edge") * sign).alias("_p")), around(F.col("i"), sizes))
+    f = dealt(facts.select(*by, "from_i", "until_i", "price", "payload"), cover(F.col("from_i"), F.col("until_i"), sizes)).withColumn("up", sides)
+    f = f.join(q.select(*key).distinct(), key, "left_semi")
     f = f.groupBy(*key, (F.col("price") * sign).alias("_p")).agg(F.min(F.struct("price", "payload")).alias("_own"))
     order = Window.partitionBy(*key).orderBy("_p")
     f = f.withColumn("_next", F.collect_list("_own").over(order.rowsBetween(0, k - 1)))
-    q = dealt(queries.select(*by, "up", "i", (F.col("edge") * sign).alias("_p")), around(F.col("i"), sizes))
     both = f.select(*key, "_p", F.lit(1).alias("_kind"), F.lit(None).cast(q.schema["i"].dataType).alias("i"), "_next")
     both = both.unionByName(q.select(*key, "_p", F.lit(0).alias("_kind"), "i", F.lit(None).cast(f.schema["_next"].dataType).alias("_next")))
     # from far to near; at one price the query comes first, so that the fact there is not beyond it

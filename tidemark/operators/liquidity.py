@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,30 +25,52 @@ def pools(points: DataFrame, bars: DataFrame, tolerance: float = 0.1, max_age: i
     (tolerance times the average true range at its confirmation) and young enough, or makes one. Each member makes a
     new version, whose price is the mean; a version holds until the next one's confirmation. bars must have atr.
     The order matters, so each series is folded by an Arrow function, over its swings only; pools too old to be
-    joined are dropped from the fold, so that its state is bounded by max_age.
+    joined leave the search, which is by price: a swing meets only the pools in its reach.
     """
     at = bars.select(*SERIES, F.col("i").alias("confirmation_index"), "atr")
     rows = points.join(at, [*SERIES, "confirmation_index"]).where("atr > 0").select(*SERIES, "kind", "i", "confirmation_index", "price", "atr")
 
     def fold(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(["confirmation_index", "i", "kind"])
-        alive: list[dict] = []
-        out: list[list] = []
-        made = 0
-        for kind, i, conf, price, reach in zip(own["kind"], own["i"], own["confirmation_index"], own["price"], own["atr"], strict=True):
-            alive = [p for p in alive if conf - p["conf"] <= max_age]
-            pool = next((p for p in reversed(alive) if p["kind"] == kind and abs(price - p["last"]) <= reach * tolerance), None)
-            if pool is None:
-                pool = {"pool": made, "kind": kind, "members": [], "sum": 0.0}
-                alive.append(pool)
-                made += 1
+        found: list[dict] = []
+        near: dict[str, list[tuple]] = {}  # by kind, in order of the last price: what can still be joined
+        joined: deque[tuple] = deque()
+        out: list[tuple] = []
+        superseded: list[int | None] = []
+
+        def leave(pool: dict) -> None:
+            entries, entry = near[pool["kind"]], (pool["last"], pool["pool"])
+            at = bisect_left(entries, entry)
+            if at < len(entries) and entries[at] == entry:  # a price that is no number is in no order
+                del entries[at]
+
+        for kind, i, conf, price, reach in zip(*[own[c].tolist() for c in ("kind", "i", "confirmation_index", "price", "atr")], strict=True):
+            while joined and conf - joined[0][0] > max_age:
+                before, number = joined.popleft()
+                if found[number]["conf"] == before:
+                    leave(found[number])
+            entries, most = near.setdefault(kind, []), reach * tolerance
+            slack = most + (abs(price) + most) * 1e-12
+            span = entries[bisect_left(entries, (price - slack,)) : bisect_right(entries, (price + slack, len(found)))]
+            number = max((k for last, k in span if abs(price - last) <= most), default=None)
+            if number is None:
+                pool = {"pool": len(found), "kind": kind, "members": [], "sum": 0.0}
+                found.append(pool)
             else:
-                out[pool["row"]][7] = conf
+                pool = found[number]
+                leave(pool)
+                superseded[pool["row"]] = conf
             pool["members"].append(i)
             pool["sum"] += price
             pool |= {"conf": conf, "last": price, "row": len(out)}
-            out.append([pool["pool"], len(pool["members"]) - 1, kind, pool["sum"] / len(pool["members"]), list(pool["members"]), conf, len(pool["members"]) > 1, None])
-        frame = pd.DataFrame(out, columns=["pool", "version", "kind", "price", "source_indices", "confirmation_index", "equal_level", "superseded_at"])
+            joined.append((conf, pool["pool"]))
+            if price == price:
+                insort(entries, (price, pool["pool"]))
+            n = len(pool["members"])
+            out.append((pool["pool"], n - 1, kind, pool["sum"] / n, list(pool["members"]), conf, n > 1))
+            superseded.append(None)
+        frame = pd.DataFrame(out, columns=["pool", "version", "kind", "price", "source_indices", "confirmation_index", "equal_level"])
+        frame["superseded_at"] = pd.array(superseded, dtype="Int32")
         frame.insert(0, "timeframe", own["timeframe"].iloc[0])
         frame.insert(0, "symbol", own["symbol"].iloc[0])
         return frame
