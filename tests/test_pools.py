@@ -51,3 +51,12 @@ def test_short_facts_are_asked_for_small_nodes_only(spark):
     facts = spark.createDataFrame([(5, 6), (4, 8), (3, 9), (7, 7), (9, 2), (0, None)], "a int, b int")
     got = [[tuple(x) for x in r["c"]] for r in facts.select(alive.cover(F.col("a"), F.col("b"), 4).alias("c")).collect()]
     assert got == [[(0, 5)], [(2, 1)], [(0, 3), (0, 8), (2, 1)], [], [], [(4, 0)]]
+
+
+def test_one_pool_of_many_swings_without_its_members(spark):
+    n = 30_000
+    tables = made(spark, [("low", i, 1.0) for i in range(n)], lambda i: 1.0)
+    found = liquidity.pools(*tables, members=False)
+    assert "source_indices" not in found.columns
+    row = found.agg(F.count("*"), F.max("version"), F.max("pool"), F.count("superseded_at"), F.min(F.col("superseded_at") - F.col("confirmation_index"))).first()
+    assert tuple(row) == (n, n - 1, 0, n - 1, 1)

@@ -18,14 +18,15 @@ def day_of() -> Column:
     return F.floor(F.col("open_time_ms") / 86_400_000)
 
 
-def pools(points: DataFrame, bars: DataFrame, tolerance: float = 0.1, max_age: int = 500) -> DataFrame:
+def pools(points: DataFrame, bars: DataFrame, tolerance: float = 0.1, max_age: int = 500, members: bool = True) -> DataFrame:
     """Pool versions: pool, version, kind, price, source_indices, confirmation_index, equal_level, superseded_at.
 
     In order of confirmation a swing joins the most recently made pool of its kind whose last member is near enough
     (tolerance times the average true range at its confirmation) and young enough, or makes one. Each member makes a
     new version, whose price is the mean; a version holds until the next one's confirmation. bars must have atr.
     The order matters, so each series is folded by an Arrow function, over its swings only; pools too old to be
-    joined leave the search, which is by price: a swing meets only the pools in its reach.
+    joined leave the search, which is by price: a swing meets only the pools in its reach. Every version lists all
+    its members, so a pool of n swings makes n^2 / 2 indices; without members source_indices is left out.
     """
     at = bars.select(*SERIES, F.col("i").alias("confirmation_index"), "atr")
     rows = points.join(at, [*SERIES, "confirmation_index"]).where("atr > 0").select(*SERIES, "kind", "i", "confirmation_index", "price", "atr")
@@ -54,28 +55,32 @@ def pools(points: DataFrame, bars: DataFrame, tolerance: float = 0.1, max_age: i
             span = entries[bisect_left(entries, (price - slack,)) : bisect_right(entries, (price + slack, len(found)))]
             number = max((k for last, k in span if abs(price - last) <= most), default=None)
             if number is None:
-                pool = {"pool": len(found), "kind": kind, "members": [], "sum": 0.0}
+                pool = {"pool": len(found), "kind": kind, "members": [], "n": 0, "sum": 0.0}
                 found.append(pool)
             else:
                 pool = found[number]
                 leave(pool)
                 superseded[pool["row"]] = conf
-            pool["members"].append(i)
+            if members:
+                pool["members"].append(i)
+            pool["n"] += 1
             pool["sum"] += price
             pool |= {"conf": conf, "last": price, "row": len(out)}
             joined.append((conf, pool["pool"]))
             if price == price:
                 insort(entries, (price, pool["pool"]))
-            n = len(pool["members"])
+            n = pool["n"]
             out.append((pool["pool"], n - 1, kind, pool["sum"] / n, list(pool["members"]), conf, n > 1))
             superseded.append(None)
         frame = pd.DataFrame(out, columns=["pool", "version", "kind", "price", "source_indices", "confirmation_index", "equal_level"])
+        frame = frame if members else frame.drop(columns="source_indices")
         frame["superseded_at"] = pd.array(superseded, dtype="Int32")
         frame.insert(0, "timeframe", own["timeframe"].iloc[0])
         frame.insert(0, "symbol", own["symbol"].iloc[0])
         return frame
 
-    return rows.groupBy(*SERIES).applyInPandas(fold, "symbol string, timeframe string, pool int, version int, kind string, price double, source_indices array<int>, confirmation_index int, equal_level boolean, superseded_at int")
+    listed = "source_indices array<int>, " if members else ""
+    return rows.groupBy(*SERIES).applyInPandas(fold, f"symbol string, timeframe string, pool int, version int, kind string, price double, {listed}confirmation_index int, equal_level boolean, superseded_at int")
 
 
 def sweeps(bars: DataFrame, levels: DataFrame, key: list[str], max_age: int = 500) -> DataFrame:

@@ -96,7 +96,7 @@ def snapshots(bars: DataFrame, profile: Profile) -> tuple[DataFrame, dict]:
     rows = kept(rows)
     found = zones.zones(zone["bars"], zones.order_blocks(zone["bars"], zone["breaks"]), zones.gaps(zone["bars"]))
     found = kept(alive.on_bars(found.drop("timeframe"), trigger["bars"], ["symbol"]))
-    pools = kept(liquidity.pools(trigger["swings"], own.select(*SERIES, "i", "atr")))
+    pools = kept(liquidity.pools(trigger["swings"], own.select(*SERIES, "i", "atr"), members=False))
     return rows, {"zones": found, "pools": pools, "trigger": trigger, "sizes": alive.heights(rows)}
 
 
