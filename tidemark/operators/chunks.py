@@ -12,6 +12,16 @@ from .shared import kept
 CHUNK = 65_536
 
 
+def joined(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the other columns of `others` that have the same series and keys. Bars without a symbol are series too, as in windows, so nulls meet."""
+    theirs = others.withColumnRenamed("symbol", "_symbol")
+    same = F.col("symbol").eqNullSafe(F.col("_symbol"))
+    for k in ["timeframe", *keys]:
+        theirs = theirs.withColumnRenamed(k, f"_other_{k}")
+        same = same & (F.col(k) == F.col(f"_other_{k}"))
+    return rows.join(theirs, same).drop("_symbol", *[f"_other_{k}" for k in ["timeframe", *keys]])
+
+
 def numbered(bars: DataFrame, size: int | None = None) -> DataFrame:
     """bars with i, their number in the series from 0 by open_time_ms; computed once and stored.
 
@@ -24,7 +34,7 @@ def numbered(bars: DataFrame, size: int | None = None) -> DataFrame:
     rows = kept(bars.withColumn("_chunk", chunk).withColumn("_n", F.row_number().over(own)))
     earlier = Window.partitionBy(*SERIES).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy(*SERIES, "_chunk").agg(F.max("_n").alias("_count")).select(*SERIES, "_chunk", F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_before"))
-    return rows.join(counts, [*SERIES, "_chunk"]).select(*bars.columns, (F.col("_n") - 1 + F.col("_before")).cast("int").alias("i"))
+    return joined(rows, counts, ["_chunk"]).select(*bars.columns, (F.col("_n") - 1 + F.col("_before")).cast("int").alias("i"))
 
 
 def with_halo(bars: DataFrame, before: int = 0, after: int = 0, size: int | None = None) -> DataFrame:
