@@ -76,5 +76,5 @@ def so_far(rows: DataFrame, values: dict[str, tuple[str, Column]], index: str =
     earlier = Window.partitionBy(*SERIES).orderBy(F.desc("_chunk") if ahead else F.asc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(*SERIES, "_chunk", *[over[how](F.col(name)).over(earlier).alias(f"_carried_{name}") for name, (how, _) in values.items()])
     seen = dealt.select("*", *[over[how](value).over(before).alias(f"_seen_{name}") for name, (how, value) in values.items()])
-    met = seen.join(carried, [*SERIES, "_chunk"])
+    met = joined(seen, carried, ["_chunk"])
     return met.select(*rows.columns, *[both[how](f"_seen_{name}", f"_carried_{name}").alias(name) for name, (how, _) in values.items()])

@@ -124,7 +124,7 @@ def b_chunks(spark, d):
     near = near.withColumn("top_10", F.max("high").over(chunks.inside().rowsBetween(-9, 0))).withColumn("low_next_5", F.min("low").over(chunks.inside().rowsBetween(1, 5)))
     rows = chunks.so_far(bars, {"top_before": ("max", F.col("high")), "last_down": ("last", F.when(F.col("close") < F.col("open"), F.col("i")))}, size=size)
     rows = chunks.so_far(rows, {"low_after": ("min", F.col("low"))}, ahead=True, size=size)
-    return chunks.own(near).select(*SERIES, "i", "top_10", "low_next_5").join(rows.select(*SERIES, "i", "top_before", "last_down", "low_after"), [*SERIES, "i"])
+    return chunks.joined(chunks.own(near).select(*SERIES, "i", "top_10", "low_next_5"), rows.select(*SERIES, "i", "top_before", "last_down", "low_after"), ["i"])
 
 
 def pool_versions(bars: DataFrame) -> DataFrame:
